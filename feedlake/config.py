@@ -117,13 +117,14 @@ BLOCK_ELEMENTS = (
     "nav", "ol", "p", "pre", "section", "table", "ul",
 )
 
-# Characters the text rules treat as white space besides the blank itself
-# (wider than Java's), as the inside of a character class.
-WHITESPACE_NOT_BLANK = (
-    "\\t\\n\\x0b\\f\\r\\x1c-\\x1f\\x85\\xa0"
-    "\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Characters the text rules treat as white space: the blank, other Latin-1 ones
+# and the rest (more than Java's own class).
+WHITESPACE_LATIN1 = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+WHITESPACE_OTHER = (
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE = " " + WHITESPACE_NOT_BLANK
+WHITESPACE = " " + WHITESPACE_LATIN1 + WHITESPACE_OTHER
 
 # --- End of fixed values ----------------------------------------------------
 

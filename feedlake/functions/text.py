@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 
 from feedlake import config as C
 
-_WS = f"[{C.WHITESPACE}]"
-_WS_RUN = f"{_WS}{{2,}}|[{C.WHITESPACE_NOT_BLANK}]"
-_WS_ENDS = f"^{_WS}+|{_WS}+$"
+# Java tests the non-Latin members of a character class before its Latin-1 bit
+# set, which makes mixed classes slow on ordinary text; hence the split classes.
+_WS_RUN = f"[ {C.WHITESPACE_LATIN1}]{{2,}}|[{C.WHITESPACE_LATIN1}]"
+_WS_OTHER = f"[{C.WHITESPACE_OTHER}]"
 
 # The inside of a tag; a quoted attribute value may hold ">". Possessive
 # throughout, so the matcher neither backtracks nor recurses.
@@ -36,12 +37,23 @@ _SCRIPT_BODIES = (
     r"(?is)<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>"
 )
 
+# What every deletion pattern needs somewhere; text without it skips them all.
+# Scanning for the word's last character and looking back beats trying each word
+# at each position.
+_HAZARD_MARKS = ("(", ":", "=", "<", "--")
+_HAZARD_WORDS = (
+    r"[.\s](?<=(?iU:document\.|window\.|location\.|DELETE\s|INSERT\s|UPDATE\s|DROP\s))"
+)
+
 _COMMON_NAMES = "|".join(entity[1:-1] for entity, _ in C.COMMON_ENTITIES)
 _OTHER_ENTITY = rf"&(?!(?:{_COMMON_NAMES});)(?:#[0-9xX]|[^\t\n\f <&#;])"
 
 
-def _nfkc_stable_class() -> str:
-    """Characters that NFKC neither changes nor joins to a neighbour.
+def _nfkc_unstable_patterns() -> tuple[str, str]:
+    """A quick (Latin-1 only) and a full pattern for text NFKC might change.
+
+    They match a character unless NFKC neither changes it nor joins it to a
+    neighbour.
 
     Derived from the Unicode data of the standard library. Short ranges are left
     out, which only sends a few more values to the Arrow path.
@@ -63,10 +75,15 @@ def _nfkc_stable_class() -> str:
             ranges.append((start, point - 1))
             start = None
     kept = [(a, b) for a, b in ranges if b - a >= 40 or b < 0x250]
-    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in kept)
 
+    def spell(spans: list[tuple[int, int]]) -> str:
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in spans)
 
-_NFKC_UNSTABLE = f"[^{_nfkc_stable_class()}]"
+    latin1 = [(a, min(b, 0xFF)) for a, b in kept if a <= 0xFF]
+    return f"[^{spell(latin1)}]", f"[^{spell(kept)}]"
+
+
+_NFKC_QUICK, _NFKC_UNSTABLE = _nfkc_unstable_patterns()
 
 
 @F.pandas_udf(T.StringType())
@@ -101,6 +118,21 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def change_where(
+    text: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]
+) -> Column:
+    """Apply ``change`` only to values that pass ``test``; others are untouched."""
+    return let(text, lambda v: F.when(test(v), change(v)).otherwise(v))
+
+
+def may_hold_hazards(text: Column) -> Column:
+    """A cheap test that is true wherever one of the deletion patterns can match."""
+    found = text.rlike(_HAZARD_WORDS)
+    for mark in reversed(_HAZARD_MARKS):
+        found = text.contains(mark) | found
+    return found
+
+
 def delete_patterns(text: Column, patterns: Iterable[str], flags: str) -> Column:
     """Delete each pattern in turn; order is part of the contract."""
     for pattern in patterns:
@@ -109,15 +141,24 @@ def delete_patterns(text: Column, patterns: Iterable[str], flags: str) -> Column
 
 
 def collapse_whitespace(text: Column) -> Column:
+    text = change_where(text, _beyond_latin1, lambda v: F.regexp_replace(v, _WS_OTHER, " "))
     return F.trim(F.regexp_replace(text, _WS_RUN, " "))
 
 
 def strip_whitespace(text: Column) -> Column:
-    return F.regexp_replace(text, _WS_ENDS, "")
+    return F.trim(text, F.lit(C.WHITESPACE))
 
 
 def is_blank(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(f"[^{C.WHITESPACE}]")
+    return text.isNull() | (strip_whitespace(text) == "")
+
+
+def _beyond_latin1(text: Column) -> Column:
+    return _not_ascii(text) & text.rlike(r"[^\x00-\xff]")
+
+
+def _not_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.length(text)
 
 
 def empty_to_null(text: Column) -> Column:
@@ -126,14 +167,18 @@ def empty_to_null(text: Column) -> Column:
 
 def strip_markup(text: Column, drop_scripts: bool = True) -> Column:
     """Remove tags and comments; block elements leave a line break behind."""
-    if drop_scripts:
-        text = F.regexp_replace(text, _SCRIPT_BODIES, "")
-    text = F.regexp_replace(text, _BLOCK_START, "\n")
-    return F.regexp_replace(text, _MARKUP, "")
+
+    def strip(value: Column) -> Column:
+        if drop_scripts:
+            value = F.regexp_replace(value, _SCRIPT_BODIES, "")
+        value = F.regexp_replace(value, _BLOCK_START, "\n")
+        return F.regexp_replace(value, _MARKUP, "")
+
+    return change_where(text, lambda v: v.contains("<"), strip)
 
 
 def needs_nfkc(text: Column) -> Column:
-    return text.rlike(_NFKC_UNSTABLE)
+    return _not_ascii(text) & text.rlike(_NFKC_QUICK) & text.rlike(_NFKC_UNSTABLE)
 
 
 def needs_full_unescape(text: Column) -> Column:
@@ -141,9 +186,11 @@ def needs_full_unescape(text: Column) -> Column:
 
 
 def unescape_common(text: Column) -> Column:
+    """Decode the common entities; ``text`` should be a plain column."""
+    decoded = text
     for entity, char in C.COMMON_ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def nfkc(text: Column) -> Column:
@@ -169,8 +216,14 @@ def plain(text: Column) -> Column:
 
 
 def title_tail(text: Column) -> Column:
-    text = collapse_whitespace(F.regexp_replace(text, "<[^>]*>", ""))
-    text = delete_patterns(text, C.TITLE_SQL_PATTERNS, "iUd")
+    text = change_where(
+        text, lambda v: v.contains("<"), lambda v: F.regexp_replace(v, "<[^>]*>", "")
+    )
+    text = change_where(
+        collapse_whitespace(text),
+        may_hold_hazards,
+        lambda v: delete_patterns(v, C.TITLE_SQL_PATTERNS, "iUd"),
+    )
     return F.coalesce(empty_to_null(text), F.lit(C.DEFAULT_TITLE))
 
 
@@ -191,8 +244,13 @@ def delete_active_content(text: Column, anchor: bool = True) -> Column:
     scripts = C.SUMMARY_SCRIPT_PATTERNS
     if anchor:
         scripts = tuple(_anchored(p) for p in scripts)
-    text = delete_patterns(text, scripts, "isU")
-    return delete_patterns(text, C.SUMMARY_SQL_PATTERNS, "iUd")
+    return change_where(
+        text,
+        may_hold_hazards,
+        lambda v: delete_patterns(
+            delete_patterns(v, scripts, "isU"), C.SUMMARY_SQL_PATTERNS, "iUd"
+        ),
+    )
 
 
 def summary_tail(text: Column) -> Column:
@@ -211,13 +269,18 @@ def normalize_author(text: Column) -> Column:
 
 def _distinct_ignoring_case(tags: Column) -> Column:
     """Keep the first spelling of each tag."""
-    return let(
-        tags,
-        lambda kept: F.transform(
-            F.array_distinct(F.transform(kept, F.lower)),
-            lambda key: F.get(F.filter(kept, lambda tag: F.lower(tag) == key), F.lit(0)),
+    keyed = F.array_sort(
+        F.transform(
+            tags, lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("i"), t.alias("tag"))
+        )
+    )
+    first = let(
+        keyed,
+        lambda rows: F.filter(
+            rows, lambda row, i: (i == 0) | (row["key"] != F.get(rows, i - 1)["key"])
         ),
     )
+    return F.transform(first, lambda row: row["tag"])
 
 
 def normalize_tags(tags: Column, drop_scripts: bool = True) -> Column:

@@ -6,7 +6,7 @@ import importlib
 
 from feedlake.plans.registry import QUERIES, SQL, Query
 
-_MODULES = ("cleaning",)
+_MODULES = ("cleaning", "loading")
 
 
 def _load() -> None:

@@ -61,10 +61,22 @@ def normalize_author(spark, sf):
     )
 
 
+_RAW_TAG = S.trim_space(S.strip(S.plain("raw")))
+
+
 @query(
     "normalize_tags",
-    f"""SELECT doc_id, array_to_string(tags, '|') AS tags, len(tags)::INT AS n_tags
-        FROM (SELECT doc_id, {S.tags("string_split(text, ' ')")} AS tags FROM documents)""",
+    f"""WITH items AS (
+          SELECT doc_id, unnest(string_split(text, ' ')) AS raw,
+                 generate_subscripts(string_split(text, ' '), 1) AS i
+          FROM documents),
+        cleaned AS (SELECT doc_id, i, {_RAW_TAG} AS tag FROM items),
+        kept AS (
+          SELECT doc_id, arg_min(tag, i) AS tag FROM cleaned WHERE tag <> ''
+          GROUP BY doc_id, lower(tag))
+        SELECT doc_id, coalesce(string_agg(tag, '|' ORDER BY tag), '') AS tags,
+               count(tag)::INT AS n_tags
+        FROM documents LEFT JOIN kept USING (doc_id) GROUP BY doc_id""",
 )
 def normalize_tags(spark, sf):
     return (
