@@ -285,14 +285,16 @@ def _distinct_ignoring_case(tags: Column) -> Column:
 
 def normalize_tags(tags: Column, drop_scripts: bool = True) -> Column:
     """Clean, drop blanks, deduplicate ignoring case, sort by code point."""
+    joined = F.array_join(tags, "\n")
+    simple = ~joined.contains("<") & ~joined.contains("&") & ~needs_nfkc(joined)
     hard = F.exists(tags, lambda t: needs_nfkc(t) | needs_full_unescape(t))
     decoded = F.coalesce(
-        _plain_list_batch(F.when(hard, tags)), F.transform(tags, unescape_common)
+        _plain_list_batch(F.when(~simple & hard, tags)), F.transform(tags, unescape_common)
     )
-    cleaned = F.filter(
-        F.transform(decoded, lambda t: strip_whitespace(strip_markup(t, drop_scripts))),
-        lambda t: t != "",
+    stripped = F.when(simple, tags).otherwise(
+        F.transform(decoded, lambda t: strip_markup(t, drop_scripts))
     )
+    cleaned = F.filter(F.transform(stripped, strip_whitespace), lambda t: t != "")
     empty = F.array().cast(T.ArrayType(T.StringType()))
     return F.coalesce(F.array_sort(_distinct_ignoring_case(cleaned)), empty)
 

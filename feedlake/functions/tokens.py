@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedlake import config as C
-from feedlake.functions.text import let
+from feedlake.functions.text import let, strip_whitespace
 
 _WORD = r"([\p{L}\p{N}_]+)"
 _SENTENCE = r"([^.!?]+[.!?]*)"
@@ -39,5 +39,7 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def sentences(text: Column) -> Column:
     """Trimmed, non-empty sentences."""
-    parts = F.transform(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(1)), F.trim)
+    parts = F.transform(
+        F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(1)), strip_whitespace
+    )
     return F.filter(parts, lambda s: s.rlike(r"[\p{L}\p{N}]"))

@@ -78,25 +78,22 @@ def run_counters(
     ``rows`` carry ``violations`` and an ``order`` number unique per row. Copies
     are counted per (feed, hash) first, so a hot hash shrinks before any join.
     """
-    is_error = F.size("violations") > 0
     per_hash = (
-        rows.select(feed, key, order, is_error.alias("is_error"))
+        rows.select(feed, key, order, (F.size("violations") > 0).alias("is_error"))
         .groupBy(feed, key, "is_error")
         .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_order"))
     )
-    winners = (
-        per_hash.filter(~F.col("is_error"))
-        .groupBy(key)
-        .agg(F.min("first_order").alias("winner"))
-        .join(existing.select(key), key, "left_anti")
-    )
-    won = F.col("winner").isNotNull() & ~F.col("is_error") & (F.col("first_order") == F.col("winner"))
+    stored = existing.select(key).distinct().withColumn("stored", F.lit(True))
+    candidate = F.when(~F.col("is_error") & F.col("stored").isNull(), F.col("first_order"))
     return (
-        per_hash.join(winners, key, "left")
+        per_hash.join(stored, key, "left")
+        .withColumn("candidate", candidate)
+        # At most two rows per feed and hash reach this window.
+        .withColumn("winner", F.min("candidate").over(Window.partitionBy(key)))
         .groupBy(feed)
         .agg(
             F.sum("n").alias("parsed"),
-            F.count_if(won).alias("inserted"),
+            F.count_if(F.col("candidate") == F.col("winner")).alias("inserted"),
             F.sum(F.when(F.col("is_error"), F.col("n")).otherwise(0)).alias("errors"),
         )
         .withColumn("skipped", F.col("parsed") - F.col("inserted") - F.col("errors"))

@@ -171,6 +171,13 @@ def recency_boost(published_at: Column, as_of: Column, halflife_hours: float = 4
     return F.exp(-F.log(F.lit(2.0)) * hours / F.lit(halflife_hours))
 
 
+def _weighted(column: str, weight: float) -> Column:
+    """Exact decimal product, so that no order of addition can change a rank."""
+    return F.col(column).cast(f"decimal(18,{SCORE_DIGITS})") * F.lit(str(weight)).cast(
+        "decimal(8,4)"
+    )
+
+
 def final_score(
     relevance: DataFrame,
     articles: DataFrame,
@@ -188,8 +195,8 @@ def final_score(
             recency_boost(F.col("published_at"), as_of, settings.halflife_hours), SCORE_DIGITS
         ),
     )
-    total = (
-        F.col("relevance") * settings.weight_relevance + F.col("recency") * settings.weight_recency
+    total = _weighted("relevance", settings.weight_relevance) + _weighted(
+        "recency", settings.weight_recency
     )
     if sources is not None:
         scored = scored.join(
@@ -197,8 +204,8 @@ def final_score(
         ).withColumn(
             "credibility_score", F.coalesce("credibility_score", F.lit(C.DEFAULT_CREDIBILITY))
         )
-        total = total + F.col("credibility_score") * settings.weight_credibility
-    return scored.withColumn("score", F.round(total, SCORE_DIGITS))
+        total = total + _weighted("credibility_score", settings.weight_credibility)
+    return scored.withColumn("score", F.round(total, SCORE_DIGITS).cast("double"))
 
 
 def top_per_topic(scored: DataFrame, n: int, rank: str = "rank") -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from feedlake.plans.registry import QUERIES, SQL, Query
 
-_MODULES = ("cleaning", "loading")
+_MODULES = ("cleaning", "loading", "ranking", "usage")
 
 
 def _load() -> None:

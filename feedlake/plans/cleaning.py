@@ -36,10 +36,10 @@ def canonical_url(spark, sf):
         SELECT 'document', doc_id, {S.summary('text')} FROM documents""",
 )
 def normalize_summary(spark, sf):
-    pages = I.table(spark, sf, "pages").select(
+    pages = I.pages_table(spark, sf).select(
         F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("raw")
     )
-    docs = I.table(spark, sf, "documents").select(
+    docs = I.documents_table(spark, sf).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("raw")
     )
     return pages.unionByName(docs).select(
@@ -80,7 +80,7 @@ _RAW_TAG = S.trim_space(S.strip(S.plain("raw")))
 )
 def normalize_tags(spark, sf):
     return (
-        I.table(spark, sf, "documents")
+        I.documents_table(spark, sf)
         .select("doc_id", F.split("text", " ").alias("raw"))
         .select("doc_id", text.normalize_tags(F.col("raw")).alias("tags"))
         .select("doc_id", F.array_join("tags", "|").alias("tags"), F.size("tags").alias("n_tags"))
@@ -93,7 +93,7 @@ def normalize_tags(spark, sf):
 )
 def nfkc_text(spark, sf):
     return (
-        I.table(spark, sf, "documents")
+        I.documents_table(spark, sf)
         .select("doc_id", text.nfkc(F.col("text")).alias("t"))
         .select(
             "doc_id",
@@ -412,7 +412,7 @@ def suspicious_content(spark, sf):
         F.lit("<p>"), F.col("html"), F.lit("</p> prescription "), (F.col("page_id") % 3)
     )
     cleaned = (
-        I.table(spark, sf, "pages")
+        I.pages_table(spark, sf)
         .select("page_id", raw.alias("raw"))
         .select("page_id", text.normalize_summary(F.col("raw")).alias("summary_raw"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.tokens import words
 from feedlake.functions.urls import url_host
+from feedlake.session import spread
 
 # Stand-ins for "now" and for publication times, which the tables lack.
 RUN_DATE = "2024-01-31"
@@ -18,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"), "page_id")
+
+
+def documents_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def run_date() -> Column:
     return F.lit(RUN_DATE).cast("timestamp")
 
@@ -30,7 +39,7 @@ def minutes_after_first_day(number: Column, step: int = 1) -> Column:
 
 def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as feed entries: https pages carry an RFC-822 date, others none."""
-    pages = table(spark, sf_dir, "pages")
+    pages = pages_table(spark, sf_dir)
     stamp = F.concat(
         F.lit("Mon, "),
         F.date_format(minutes_after_first_day(F.col("page_id")), "dd MMM yyyy HH:mm:ss"),
@@ -57,7 +66,7 @@ def page_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as undated entries; copies of a text share their link."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents_table(spark, sf_dir)
     return docs.select(
         "doc_id",
         F.col("doc_id").alias("feed_order"),
@@ -79,7 +88,7 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ranked_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as dated articles of the last thirty days."""
-    docs = table(spark, sf_dir, "documents")
+    docs = documents_table(spark, sf_dir)
     return docs.select(
         F.col("doc_id").alias("article_id"),
         F.substring_index("source", "src", -1).cast("long").alias("source_id"),
@@ -130,7 +139,7 @@ def fetch_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as feedback on documents: quality 1 is up, 0 is down."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("up"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents_table(spark, sf_dir).select("doc_id", "text", "lang", "source")
     return docs.join(labels, "doc_id")
 
 

@@ -171,7 +171,7 @@ def charset_audit(spark, sf):
         .when((lang == "fr") & latin, quoted)
         .otherwise(F.encode(text, "UTF-8"))
     )
-    payloads = I.table(spark, sf, "documents").select("doc_id", content.alias("content"))
+    payloads = I.documents_table(spark, sf).select("doc_id", content.alias("content"))
     return decode.charset_audit(decode.decode_payloads(payloads))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -36,3 +36,17 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
     return f"{shared_dir(spark)}/feedlake/{name}-{uuid.uuid4().hex}"
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Use all cores for heavy per-row work on a scan with few splits.
+
+    A file written as one row group is one task however large the cluster. Such
+    a scan is hashed on a key first (hashing, unlike dealing rows out in turn,
+    gives the same partitions when a lost task is run again). A scan with enough
+    splits is returned as it is, so large tables are never shuffled for this.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() * 2 > cores:
+        return rows
+    return rows.repartition(cores, key)
