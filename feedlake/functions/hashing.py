@@ -14,35 +14,28 @@ def link_stamp(link: Column) -> Column:
     return F.concat(F.lit("fallback:"), F.substring(F.sha2(link, 256), 1, 8))
 
 
+def _sha(*parts: Column) -> Column:
+    """Never null, so joins on it need no null filter (which would hash twice)."""
+    return F.coalesce(F.sha2(F.concat_ws("|", *parts), 256), F.lit(""))
+
+
 def content_hash(title: Column, link: Column, published_at: Column, summary: Column) -> Column:
     """SHA-256 over lower-cased title, link, time and the summary's start.
 
     The arguments are normalised fields; ``published_at`` is null for an undated
     article.
     """
-    return F.sha2(
-        F.concat_ws(
-            "|",
-            F.lower(title),
-            F.coalesce(link, F.lit("")),
-            F.coalesce(iso_utc(published_at), link_stamp(F.coalesce(link, F.lit("")))),
-            F.coalesce(F.substring(summary, 1, C.HASH_SUMMARY_PREFIX_LEN), F.lit("")),
-        ),
-        256,
+    return _sha(
+        F.lower(title),
+        F.coalesce(link, F.lit("")),
+        F.coalesce(iso_utc(published_at), link_stamp(F.coalesce(link, F.lit("")))),
+        F.coalesce(F.substring(summary, 1, C.HASH_SUMMARY_PREFIX_LEN), F.lit("")),
     )
 
 
 def legacy_content_hash(title: Column, link: Column, published_at: Column) -> Column:
     """Legacy identity: no summary in it."""
-    return F.sha2(
-        F.concat_ws(
-            "|",
-            F.lower(title),
-            link,
-            F.coalesce(iso_utc(published_at), link_stamp(link)),
-        ),
-        256,
-    )
+    return _sha(F.lower(title), link, F.coalesce(iso_utc(published_at), link_stamp(link)))
 
 
 def source_key(feed_url: Column) -> Column:

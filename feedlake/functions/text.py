@@ -118,6 +118,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def settled(value: Column) -> Column:
+    """Keep filters on this value above the projection that computes it.
+
+    The optimizer moves a filter below a projection by copying the expressions it
+    reads, and would run a whole cleaning chain twice. It never copies an
+    expression that depends on the partition, and this condition always holds.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def change_where(
     text: Column, test: Callable[[Column], Column], change: Callable[[Column], Column]
 ) -> Column:

@@ -24,6 +24,15 @@ def without_stop_words(tokens: Column, stop_words: tuple[str, ...] = C.STOP_WORD
     return F.filter(tokens, lambda t: ~t.isin(*stop_words))
 
 
+def each(items: Column) -> Column:
+    """One row per item, and one null row for none: filter nulls afterwards.
+
+    The plain generator makes Spark test the array for emptiness ahead of it,
+    which would compute the array twice.
+    """
+    return F.explode_outer(items)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Runs of ``n`` consecutive tokens joined by a blank."""
     if n == 1:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake import config as C
+from feedlake.functions.tokens import each
 from feedlake.operators.dedup import first_wins
 from feedlake.operators.ranking import top_per_topic
 
@@ -61,7 +62,8 @@ def keyword_weights(
     ratings keep their weight; unknown terms start at 1.
     """
     votes = (
-        rated.select("topic_id", "up", F.explode(F.array_distinct("terms")).alias("term"))
+        rated.select("topic_id", "up", each(F.array_distinct("terms")).alias("term"))
+        .filter(F.col("term").isNotNull())
         .groupBy("topic_id", "term")
         .agg(F.count_if(F.col("up")).alias("ups"), F.count_if(~F.col("up")).alias("downs"))
     )

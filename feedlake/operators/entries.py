@@ -55,21 +55,25 @@ def _compat_fields(df: DataFrame, title: str, summary: str, author: str | None)
     """Older step order; each stage is its own projection so that no regular
     expression chain is evaluated twice."""
     fields = [title, summary] + ([author] if author else [])
-    df = df.withColumns({c: text.nfkc(F.col(c)) for c in fields})
+
+    def stage(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+        return rows.withColumns({name: text.settled(value) for name, value in columns.items()})
+
+    df = stage(df, {c: text.nfkc(F.col(c)) for c in fields})
     first = {c: text.strip_markup(F.col(c), drop_scripts=False) for c in fields}
     # A stray "&" is spelt out before the patterns run, as a serialiser would.
     first[summary] = text.delete_active_content(
         F.regexp_replace(first[summary], r"&(?!#?\w+;)", "&amp;"), anchor=False
     )
-    df = df.withColumns(first)
-    df = df.withColumns({c: text.unescape(F.col(c)) for c in fields})
+    df = stage(df, first)
+    df = stage(df, {c: text.unescape(F.col(c)) for c in fields})
     last = {
         title: text.title_tail(F.col(title)),
         summary: text.summary_tail(F.col(summary)),
     }
     if author:
         last[author] = text.empty_to_null(text.strip_whitespace(F.col(author)))
-    return df.withColumns(last)
+    return stage(df, last)
 
 
 def _compat(raw: DataFrame) -> DataFrame:
@@ -158,6 +162,10 @@ def map_articles(entries: DataFrame, run_date: Column, profile: str = "strict")
 
 def suspicious_summaries(articles: DataFrame) -> DataFrame:
     """Articles whose cleaned summary still names active content."""
-    return articles.filter(text.is_suspicious(F.col("summary_raw"))).withColumn(
-        "summary_preview", F.substring("summary_raw", 1, C.PREVIEW_LEN)
+    flagged = articles.withColumns(
+        {
+            "suspicious": text.settled(text.is_suspicious(F.col("summary_raw"))),
+            "summary_preview": F.substring("summary_raw", 1, C.PREVIEW_LEN),
+        }
     )
+    return flagged.filter("suspicious").drop("suspicious")

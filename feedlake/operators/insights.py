@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake import config as C
-from feedlake.functions.tokens import ngrams, words
+from feedlake.functions.text import settled
+from feedlake.functions.tokens import each, ngrams, words
+from feedlake.session import materialize
 
 _PRIME = 2**31 - 1
 
@@ -37,19 +39,22 @@ def near_duplicates(
     bucket each document is compared with the bucket's leader (smallest id)
     only, so work grows with the rows of a bucket and not with their pairs, even
     when a third of the corpus is one family of copies. Every candidate is
-    checked by its exact Jaccard similarity. Nothing is capped.
+    checked by its exact Jaccard similarity. Nothing is capped. Signatures are
+    written once and read twice; texts of candidate pairs are shingled again, which
+    is cheaper than storing every shingle.
     """
     family = hash_family(settings.bands * settings.rows_per_band)
-    sets = docs.select("doc_id", shingle_set(F.col("text"), settings.shingle_words).alias("sh"))
-    signatures = (
-        sets.select("doc_id", F.explode("sh").alias("h"))
-        .groupBy("doc_id")
-        .agg(
+    shingles = docs.select(
+        "doc_id", each(shingle_set(F.col("text"), settings.shingle_words)).alias("h")
+    )
+    signatures = materialize(
+        shingles.groupBy("doc_id").agg(
             *[
                 F.min((F.col("h") * a + b) % _PRIME).alias(f"m{i}")
                 for i, (a, b) in enumerate(family)
             ]
-        )
+        ),
+        "signatures",
     )
     r = settings.rows_per_band
     bands = signatures.select(
@@ -79,15 +84,24 @@ def near_duplicates(
         .select("doc_id", "leader")
         .distinct()
     )
-    checked = (
-        pairs.join(sets, "doc_id")
-        .join(sets.select(F.col("doc_id").alias("leader"), F.col("sh").alias("leader_sh")), "leader")
-        .withColumn("common", F.size(F.array_intersect("sh", "leader_sh")))
+    texts = docs.select("doc_id", "text")
+    both = (
+        pairs.join(texts, "doc_id")
+        .join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("other")), "leader")
         .select(
             "doc_id",
             F.col("leader").alias("duplicate_of"),
-            F.round(
-                F.col("common") / (F.size("sh") + F.size("leader_sh") - F.col("common")), 6
+            shingle_set(F.col("text"), settings.shingle_words).alias("a"),
+            shingle_set(F.col("other"), settings.shingle_words).alias("b"),
+        )
+    )
+    checked = (
+        both.withColumn("common", F.size(F.array_intersect("a", "b")))
+        .select(
+            "doc_id",
+            "duplicate_of",
+            settled(
+                F.round(F.col("common") / (F.size("a") + F.size("b") - F.col("common")), 6)
             ).alias("jaccard"),
         )
         .filter(F.col("jaccard") >= settings.threshold)

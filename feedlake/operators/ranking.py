@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake import config as C
-from feedlake.functions.tokens import ngrams, words
+from feedlake.functions.tokens import each, ngrams, words
 
 SCORE_DIGITS = 6
 
@@ -35,9 +35,9 @@ def tokens(articles: DataFrame) -> DataFrame:
         lambda t, i: F.struct(F.lit("body").alias("field"), i.alias("position"), t.alias("token")),
     )
     return (
-        articles.select("article_id", F.explode(F.concat(titled, body)).alias("t"))
+        articles.select("article_id", each(F.concat(titled, body)).alias("t"))
         .select("article_id", "t.field", "t.position", "t.token")
-        .filter(~F.col("token").isin(*C.STOP_WORDS))
+        .filter(F.col("token").isNotNull() & ~F.col("token").isin(*C.STOP_WORDS))
     )
 
 
@@ -78,7 +78,7 @@ def keyword_score(
     rows = tokenised.select(
         "article_id",
         (F.size("tw") + F.size("bw")).alias("n_words"),
-        F.explode(F.concat(weighted("tw", settings.title_weight), weighted("bw", 1.0))).alias("g"),
+        each(F.concat(weighted("tw", settings.title_weight), weighted("bw", 1.0))).alias("g"),
     ).select("article_id", "n_words", "g.term", "g.weight")
     return (
         rows.join(terms, "term")
@@ -97,9 +97,9 @@ def term_counts(articles: DataFrame) -> DataFrame:
     return (
         articles.select(
             "article_id",
-            F.explode(F.concat(words(F.col("title")), words(F.col("body")))).alias("term"),
+            each(F.concat(words(F.col("title")), words(F.col("body")))).alias("term"),
         )
-        .filter(~F.col("term").isin(*C.STOP_WORDS))
+        .filter(F.col("term").isNotNull() & ~F.col("term").isin(*C.STOP_WORDS))
         .groupBy("article_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

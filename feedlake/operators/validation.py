@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake import config as C
 from feedlake import schemas
-from feedlake.functions.text import is_blank
+from feedlake.functions.text import is_blank, settled
 from feedlake.functions.urls import url_scheme
 
 
@@ -46,7 +46,7 @@ def validate_articles(articles: DataFrame, check_lengths: bool = False) -> DataF
     """Add ``violations`` and the ``link_scheme_ok`` warning."""
     return articles.withColumns(
         {
-            "violations": article_violations(check_lengths),
+            "violations": settled(article_violations(check_lengths)),
             "link_scheme_ok": url_scheme(F.col("link")).isin(*C.ALLOWED_URL_SCHEMES),
         }
     )

@@ -13,6 +13,7 @@ from feedlake.operators import deliveries, ranking
 from feedlake.plans import inputs as I
 from feedlake.plans import sqltext as S
 from feedlake.plans.registry import query
+from feedlake.session import materialize
 
 # The window covers all articles of the supplied tables.
 SETTINGS = C.RankingSettings(window_days=31)
@@ -200,7 +201,9 @@ def _two_days(spark, sf):
         I.ranked_articles(spark, sf), I.run_date(), SETTINGS.window_days
     )
     relevance = ranking.keyword_score(articles, I.topics(spark, sf), SETTINGS)
-    scored = ranking.final_score(relevance, articles, I.run_date(), SETTINGS)
+    scored = materialize(
+        ranking.final_score(relevance, articles, I.run_date(), SETTINGS), "candidates"
+    )
     nothing = spark.createDataFrame([], _NO_DELIVERIES)
     yesterday = deliveries.daily_picks(scored, nothing, F.to_date(F.lit("2024-01-30")))
     today = deliveries.daily_picks(

@@ -38,6 +38,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/feedlake/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(rows: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result that several steps read, and read it back.
+
+    It lives in the shared folder, so losing an executor loses nothing, and later
+    steps plan with its real size. Clearing that folder is left to its owner.
+    """
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """Use all cores for heavy per-row work on a scan with few splits.
 
