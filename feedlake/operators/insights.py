@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake import config as C
-from feedlake.functions.text import settled
+from feedlake.functions.text import let, settled
 from feedlake.functions.tokens import each, ngrams, words
 from feedlake.session import materialize
 
@@ -21,13 +21,21 @@ def hash_family(n: int, seed: int = 1) -> list[tuple[int, int]]:
     return [(rng.randrange(1, _PRIME), rng.randrange(0, _PRIME)) for _ in range(n)]
 
 
+def shingles(text: Column, n: int) -> Column:
+    """Word n-grams; a text of fewer words counts as one."""
+    return let(
+        words(text),
+        lambda w: F.when(F.size(w) >= n, ngrams(w, n)).otherwise(F.array(F.array_join(w, " "))),
+    )
+
+
+def shingle_hash(gram: Column) -> Column:
+    """31-bit hash of a shingle, the same on every engine that has MD5."""
+    return F.conv(F.substring(F.md5(gram), 1, 12), 16, 10).cast("long") % _PRIME
+
+
 def shingle_set(text: Column, n: int) -> Column:
-    """Distinct 31-bit hashes of the word n-grams; short texts count as one."""
-    grams = ngrams(words(text), n)
-    whole = F.array(F.array_join(words(text), " "))
-    grams = F.when(F.size(grams) > 0, grams).otherwise(whole)
-    number = lambda g: F.conv(F.substring(F.md5(g), 1, 12), 16, 10).cast("long") % _PRIME
-    return F.array_distinct(F.transform(grams, number))
+    return F.array_distinct(F.transform(shingles(text, n), shingle_hash))
 
 
 def near_duplicates(
@@ -44,11 +52,11 @@ def near_duplicates(
     is cheaper than storing every shingle.
     """
     family = hash_family(settings.bands * settings.rows_per_band)
-    shingles = docs.select(
-        "doc_id", each(shingle_set(F.col("text"), settings.shingle_words)).alias("h")
-    )
+    hashed = docs.select(
+        "doc_id", each(shingles(F.col("text"), settings.shingle_words)).alias("gram")
+    ).select("doc_id", shingle_hash(F.col("gram")).alias("h"))
     signatures = materialize(
-        shingles.groupBy("doc_id").agg(
+        hashed.groupBy("doc_id").agg(
             *[
                 F.min((F.col("h") * a + b) % _PRIME).alias(f"m{i}")
                 for i, (a, b) in enumerate(family)

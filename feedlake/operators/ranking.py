@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake import config as C
+from feedlake.functions.text import let
 from feedlake.functions.tokens import each, ngrams, words
 
 SCORE_DIGITS = 6
@@ -56,32 +57,42 @@ def keyword_score(
 ) -> DataFrame:
     """(topic_id, article_id, relevance): weighted term frequency over length.
 
-    Words and phrases of an article become rows, which meet the topics' terms in
-    one equi-join; the terms are a small table, so in practice the join happens
-    in the scan's stage and only matches are shuffled.
+    Words and phrases of an article become rows. Those no topic asks for drop out
+    at once, the rest is summed per (article, term), and only then do terms meet
+    topics: a term shared by many topics multiplies sums, not occurrences. The
+    topics' terms are the small side of both joins; Spark broadcasts them when
+    they fit its limit.
     """
     terms = topic_terms(topics)
-    tokenised = articles.select(
-        "article_id", words(F.col("title")).alias("tw"), words(F.col("body")).alias("bw")
-    )
 
     def grams(column: str) -> Column:
-        return F.concat(
-            *[ngrams(F.col(column), n) for n in range(1, settings.max_phrase_words + 1)]
+        tokens = words(F.col(column))
+        return let(
+            tokens,
+            lambda w: F.concat(*[ngrams(w, n) for n in range(1, settings.max_phrase_words + 1)]),
         )
 
-    def weighted(column: str, weight: float) -> Column:
-        return F.transform(
-            grams(column), lambda g: F.struct(g.alias("term"), F.lit(weight).alias("weight"))
+    occurrences = (
+        articles.select(
+            "article_id",
+            (F.size(words(F.col("title"))) + F.size(words(F.col("body")))).alias("n_words"),
+            grams("title").alias("title_grams"),
+            grams("body").alias("body_grams"),
         )
-
-    rows = tokenised.select(
-        "article_id",
-        (F.size("tw") + F.size("bw")).alias("n_words"),
-        each(F.concat(weighted("tw", settings.title_weight), weighted("bw", 1.0))).alias("g"),
-    ).select("article_id", "n_words", "g.term", "g.weight")
+        .select(
+            "article_id",
+            "n_words",
+            F.size("title_grams").alias("n_title"),
+            F.posexplode_outer(F.concat("title_grams", "body_grams")).alias("position", "term"),
+        )
+        .join(terms.select("term").distinct(), "term", "left_semi")
+    )
+    in_title = F.col("position") < F.col("n_title")
+    per_term = occurrences.groupBy("article_id", "n_words", "term").agg(
+        F.sum(F.when(in_title, settings.title_weight).otherwise(1.0)).alias("weight")
+    )
     return (
-        rows.join(terms, "term")
+        per_term.join(terms, "term")
         .groupBy("topic_id", "article_id")
         .agg((F.sum("weight") / F.max("n_words")).alias("relevance"))
         .withColumn("relevance", F.round("relevance", SCORE_DIGITS))
