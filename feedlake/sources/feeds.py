@@ -161,8 +161,10 @@ def feed_metadata(spark: SparkSession, path: str) -> DataFrame:
             F.col(_CORRUPT).isNotNull().alias("damaged"),
         )
     )
+    # The XML reader refuses queries that touch nothing but the damage column.
+    read = F.length(F.coalesce("title", F.lit(""))) >= 0
     entries = read_entries(spark, path).groupBy("feed_path").agg(
-        F.count_if(F.col("corrupt_record").isNull()).alias("entry_count"),
+        F.count_if(F.col("corrupt_record").isNull() & read).alias("entry_count"),
         F.count_if(F.col("corrupt_record").isNotNull()).alias("bad_entries"),
     )
     files = read_payloads(spark, path).select(F.col("path").alias("feed_path"))
