@@ -22,13 +22,19 @@ def daily_picks(
     An article is never delivered twice to a topic, and a topic that already has
     picks for the day is left alone.
     """
+    fresh = scored.join(
+        deliveries.select("topic_id", "article_id"), ["topic_id", "article_id"], "left_anti"
+    )
+    # Frozen topics are dropped from the few picks, not from all candidates: a
+    # join on the topic alone would send a hot topic's candidates to one task.
     frozen = (
         deliveries.filter(F.col("delivery_date") == delivery_date).select("topic_id").distinct()
     )
-    fresh = scored.join(
-        deliveries.select("topic_id", "article_id"), ["topic_id", "article_id"], "left_anti"
-    ).join(frozen, "topic_id", "left_anti")
-    return top_per_topic(fresh, picks, "position").withColumn("delivery_date", delivery_date)
+    return (
+        top_per_topic(fresh, picks, "position")
+        .join(frozen, "topic_id", "left_anti")
+        .withColumn("delivery_date", delivery_date)
+    )
 
 
 def short_topics(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from feedlake import config as C
 from feedlake.functions.text import let
 from feedlake.functions.tokens import each, ngrams, words
+from feedlake.session import materialize
 
 SCORE_DIGITS = 6
 
@@ -135,11 +136,12 @@ def tfidf_score(
     """(topic_id, article_id, relevance): cosine of TF-IDF vectors.
 
     The topic is a pseudo-document of its keywords' words. Only topic terms
-    reach the product; the article norms need every term once.
+    reach the product; the article norms need every term once. Texts are read once:
+    the counts are written out, and so is the IDF, which stays fixed for the run.
     """
-    counts = term_counts(articles)
+    counts = materialize(term_counts(articles), "term-counts")
     if idf is None:
-        idf = idf_snapshot(counts, articles)
+        idf = materialize(idf_snapshot(counts, articles), "idf")
     weights = counts.join(idf, "term").select(
         "article_id", "term", (F.col("tf") * F.col("idf")).alias("w")
     )
