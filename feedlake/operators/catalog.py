@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from feedlake import config as C
 from feedlake.functions.hashing import source_key
 from feedlake.operators.dedup import first_wins
+from feedlake.operators.skew import join_one_per_key
 
 _SEEDED = ("name", "url", "credibility_score", "is_active")
 
@@ -120,24 +121,36 @@ def source_by_id(sources: DataFrame, source_id: int) -> DataFrame:
     return sources.filter(F.col("id") == source_id).limit(1)
 
 
+def _moment(ts: Column, run_id: Column) -> Column:
+    """Time and run id as one number: order by time, then id.
+
+    A number of fixed width is aggregated by hashing, a struct only by sorting the
+    whole log.
+    """
+    micros = F.unix_micros(ts.cast("timestamp")).cast("decimal(19,0)")
+    above_any_id = F.lit("10000000000000000000").cast("decimal(20,0)")
+    return (micros * above_any_id + run_id.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def source_health(runs: DataFrame) -> DataFrame:
     """Health per source after a log of runs.
 
     ``runs``: source_id, run_id, ts, ok, error. Errors count since the last
-    success. Both passes aggregate on the map side and the join between them has
-    one row per source on one side, so a source with a third of all runs is
-    never sorted into one task.
+    success. Both passes aggregate on the map side and the join between them is
+    salted, so a source with a third of all runs never meets in one task.
     """
-    runs = runs.withColumn("moment", F.struct("ts", "run_id"))
+    runs = runs.withColumn("moment", _moment(F.col("ts"), F.col("run_id")))
     last_ok = runs.groupBy("source_id").agg(
-        F.max(F.when(F.col("ok"), F.col("moment"))).alias("last_ok")
+        F.max(F.when(F.col("ok"), F.col("moment"))).alias("last_ok"),
+        F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_fetched_at"),
     )
     is_open = ~F.col("ok") & (
         F.col("last_ok").isNull() | (F.col("moment") > F.col("last_ok"))
     )
     failed = (
-        runs.filter(~F.col("ok"))
-        .join(last_ok, "source_id")
+        join_one_per_key(
+            runs.filter(~F.col("ok")), last_ok.drop("last_fetched_at"), ["source_id"], "run_id"
+        )
         .filter(is_open)
         .groupBy("source_id")
         .agg(
@@ -147,7 +160,7 @@ def source_health(runs: DataFrame) -> DataFrame:
     )
     return last_ok.join(failed, "source_id", "left").select(
         "source_id",
-        F.col("last_ok.ts").alias("last_fetched_at"),
+        "last_fetched_at",
         F.coalesce("error_count", F.lit(0)).cast("long").alias("error_count"),
         F.substring(F.col("last_failure.error"), 1, C.ERROR_MAX_LEN).alias("last_error"),
     )

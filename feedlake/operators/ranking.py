@@ -154,15 +154,16 @@ def tfidf_score(
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     topic_weights = topic_words.join(idf, "term").select(
-        "topic_id", "term", (F.col("tf") * F.col("idf")).alias("tw")
+        "topic_id", "term", "idf", (F.col("tf") * F.col("idf")).alias("tw")
     )
     topic_norms = topic_weights.groupBy("topic_id").agg(
         F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("topic_norm")
     )
+    # One join per shuffle on the term: a hot term can then be split.
     products = (
-        weights.join(topic_weights, "term")
+        counts.join(topic_weights, "term")
         .groupBy("topic_id", "article_id")
-        .agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+        .agg(F.sum(F.col("tf") * F.col("idf") * F.col("tw")).alias("dot"))
     )
     return (
         products.join(norms, "article_id")
