@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -10,6 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
+@functools.cache
+def _local_fallback() -> str:
+    return tempfile.mkdtemp(prefix="feedlake-")
+
+
 def pin_utc(spark: SparkSession) -> SparkSession:
     """All timestamps are UTC; pin the session so that rendering agrees."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -28,9 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    path = tempfile.mkdtemp(prefix="feedlake-")
-    spark.conf.set(CHECKPOINT_CONF, path)
-    return path
+    return _local_fallback()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
