@@ -10,6 +10,7 @@ from feedlake.operators import entries, validation
 from feedlake.plans import inputs as I
 from feedlake.plans import sqltext as S
 from feedlake.plans.registry import query
+from feedlake.session import spread
 
 
 @query(
@@ -122,7 +123,7 @@ def parse_published(spark, sf):
         .otherwise(F.date_format(day, "MMMM yyyy"))
     )
     parsed = (
-        I.table(spark, sf, "orders")
+        spread(I.table(spark, sf, "orders"), "o_orderkey")
         .select("o_orderkey", shown.alias("raw"))
         .withColumn("parsed", dates.parse_published(F.col("raw")))
     )
