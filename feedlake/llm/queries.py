@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from feedlake.llm import sqltext
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -25,9 +27,24 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm import decontaminate
+
+    benchmark = _table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), benchmark)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        decontaminate.items_digest(F.col("items")).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sqltext.SQL)
