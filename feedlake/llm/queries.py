@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedlake.llm import sqltext
+from feedlake.llm.textrules import fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm import quality
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    weights = quality.fit(docs, labels, fold(F.col("doc_id"), 5) != 0)
+    scored = docs.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        quality.scorer(weights, F.col("text")).alias("score"),
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm import simhash
 
