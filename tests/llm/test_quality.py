@@ -28,7 +28,7 @@ def test_blocks_do_not_change_scores(monkeypatch):
     monkeypatch.setattr(q, "BLOCK", 7)
     assert np.allclose(whole, q.score(w, texts), atol=1e-5)
     assert np.allclose(whole, [q.score(w, [t])[0] for t in texts], atol=1e-5)
-    assert whole[0] == whole[-1]
+    assert np.isclose(whole[0], whole[-1], atol=1e-5)
 
 
 def test_gradients_match_differences():
@@ -85,10 +85,10 @@ def test_odd_rows(spark):
     scores = docs.select("doc_id", q.scorer(w, docs.text).alias("s")).collect()
     assert len(scores) == 6
     assert all(0 <= r.s <= 1 for r in scores)
-    assert len({r.s for r in scores if r.doc_id in (2, 3)}) == 1
+    assert len({round(r.s, 5) for r in scores if r.doc_id in (2, 3)}) == 1
     kept = q.keep_good(docs, w, 0.0)
     assert kept.columns == docs.columns
     assert kept.count() == 6
     assert q.keep_good(docs.where("false"), w).count() == 0
     untrained = q.fit(docs, labels.where("false"))
-    assert [r.s for r in docs.select(q.scorer(untrained, docs.text).alias("s")).collect()] == [0.5] * 6
+    assert [r.s for r in docs.select(q.scorer(untrained, docs.text).alias("s")).collect()] == pytest.approx([0.5] * 6)
