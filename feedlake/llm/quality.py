@@ -30,7 +30,7 @@ BLOCK = 256
 #: its start, half from its end). Scoring has no such bounds.
 TRAIN_ROWS = 4000
 TRAIN_CHARS = 6000
-EPOCHS = 8
+STEPS = 800
 BATCH = 32
 RATE = 3e-3
 
@@ -164,18 +164,17 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Weights:
     rng = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
-    step, steps = 0, EPOCHS * -(-len(parts) // BATCH)
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(parts))
-        for at in range(0, len(order), BATCH):
-            batch = order[at : at + BATCH]
-            step += 1
-            rate = RATE * (1 - 0.9 * step / steps)
-            for k, g in gradients(w, [parts[i] for i in batch], y[batch]).items():
-                first[k] += 0.1 * (g - first[k])
-                second[k] += 0.001 * (g * g - second[k])
-                fresh = first[k] / (1 - 0.9**step)
-                w[k] -= rate * fresh / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+    order: list[int] = []
+    for step in range(1, STEPS + 1):
+        if len(order) < BATCH:
+            order += rng.permutation(len(parts)).tolist()
+        batch, order = order[:BATCH], order[BATCH:]
+        rate = RATE * (1 - 0.9 * step / STEPS)
+        for k, g in gradients(w, [parts[i] for i in batch], y[batch]).items():
+            first[k] += 0.1 * (g - first[k])
+            second[k] += 0.001 * (g * g - second[k])
+            fresh = first[k] / (1 - 0.9**step)
+            w[k] -= rate * fresh / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
     return w
 
 
