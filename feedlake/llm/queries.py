@@ -56,6 +56,21 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm import langid
+
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.learn(docs.where(fold(F.col("doc_id"), 5) != 0))
+    found = docs.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        langid.languages(model, F.col("text")).alias("found"),
+    )
+    return found.select(
+        "doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score", "found.mixture"
+    )
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
