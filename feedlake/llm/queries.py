@@ -41,6 +41,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm import extract
+
+    pages = _table(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", extract.texts(F.col("html")).alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm import decontaminate
 
