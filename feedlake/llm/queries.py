@@ -41,6 +41,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm import maxent
+
+    docs = _table(spark, sf_dir, "documents")
+    found = maxent.scores(docs, fold(F.col("doc_id"), 7) == 2)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm import extract
 
