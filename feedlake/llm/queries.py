@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from feedlake.llm import sqltext
 from feedlake.llm.textrules import fold
 
+#: Weights reach this share of the greatest entropy, with no source read more often.
+MIX_ENTROPY, MIX_REPEATS = sqltext.MIX_ENTROPY, sqltext.MIX_REPEATS
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -72,6 +75,14 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm import mixing
+
+    target = mixing.Target(entropy=MIX_ENTROPY, repeats=MIX_REPEATS)
+    found = mixing.mix(_table(spark, sf_dir, "documents"), target)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm import langid
 

@@ -30,6 +30,65 @@ hit_words AS (SELECT doc_id, count(DISTINCT j) AS n_hit
               FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM occurrences) GROUP BY doc_id)"""
 
 
+MIX_ENTROPY, MIX_REPEATS = 0.95, 4.0
+
+
+def _hex_number(text: str) -> str:
+    digits = f"list_transform(string_split(substr({text}, 1, 8), ''), lambda c: (instr('0123456789abcdef', c) - 1)::BIGINT)"
+    return f"list_reduce({digits}, lambda a, b: a * 16 + b)"
+
+
+def mixing_sql(docs: str = "documents") -> str:
+    """Rows of the mixture; the exponent is bisected over a list of shares."""
+    powers = "list_sum(list_transform(ps, lambda p: pow(p, {a})))"
+    entropy = (
+        f"(ln({powers}) - {{a}} * list_sum(list_transform(ps, lambda p: pow(p, {{a}}) * ln(p))) / {powers})"
+    )
+    repeats = f"(list_max(list_transform(ps, lambda p: exp(({{a}} - 1) * ln(p)))) / {powers})"
+    middle = "((lo + hi) / 2)"
+
+    def bisect(name: str, high_enough: str) -> str:
+        return f"""
+{name} AS (
+  SELECT 0 AS step, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, ps FROM shares
+  UNION ALL
+  SELECT step + 1, CASE WHEN {high_enough} THEN lo ELSE {middle} END,
+         CASE WHEN {high_enough} THEN {middle} ELSE hi END, ps
+  FROM {name} WHERE step < 24)"""
+
+    return f"""
+WITH RECURSIVE unit AS (
+  SELECT doc_id, coalesce(source, '') AS source,
+         sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS n_tokens
+  FROM {docs} GROUP BY ALL),
+sources AS (SELECT source, sum(n_tokens) AS total, count(*) AS n_units FROM unit GROUP BY source),
+whole AS (SELECT sum(total)::DOUBLE AS t FROM sources),
+shares AS (SELECT list(total / t ORDER BY source) AS ps FROM sources, whole WHERE total > 0),
+{bisect("by_entropy", f"{entropy.format(a=middle)} < {MIX_ENTROPY} * ln(len(ps))")},
+{bisect("by_repeats", f"{repeats.format(a=middle)} <= {MIX_REPEATS}")},
+chosen AS (SELECT greatest((SELECT round(hi, 6) FROM by_entropy WHERE step = 24),
+                           (SELECT round(hi, 6) FROM by_repeats WHERE step = 24)) AS a),
+raised AS (SELECT source, total, n_units, CASE WHEN total > 0 THEN pow(total / t, a) ELSE 0 END AS r
+           FROM sources, whole, chosen),
+budgets AS (SELECT *, round(r / (SELECT sum(r) FROM raised) * t)::BIGINT AS budget FROM raised, whole),
+planned AS (SELECT source, CASE WHEN total > 0 THEN budget // total ELSE 0 END AS passes,
+                   CASE WHEN total > 0 THEN budget % total ELSE budget END AS rest,
+                   ceil(n_units / 64)::BIGINT AS n_blocks FROM budgets),
+dealt AS (SELECT u.doc_id, u.source, u.n_tokens, p.passes, p.rest,
+                 {_hex_number("md5(coalesce(u.doc_id::VARCHAR, ''))")} % n_blocks AS block
+          FROM unit u JOIN planned p USING (source)),
+ordered AS (SELECT *, sum(n_tokens) OVER (
+              PARTITION BY source
+              ORDER BY md5(concat_ws('|', 'mix', passes + 1, source, block)), block,
+                       md5(concat_ws('|', 'mix', passes + 1, coalesce(doc_id::VARCHAR, ''))), doc_id
+              ROWS UNBOUNDED PRECEDING) AS through FROM dealt),
+counted AS (SELECT *, passes + CASE WHEN passes = 0 AND rest = 0 THEN 0 WHEN through <= rest THEN 1 ELSE 0 END AS times
+            FROM ordered),
+passed AS (SELECT *, unnest(range(1, times::BIGINT + 1)) AS pass FROM counted)
+SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, pass::INTEGER AS pass, block::BIGINT AS block,
+       md5(concat_ws('|', 'mix', pass, source, block)) AS order_key FROM passed"""
+
+
 SQL = {
     "op5_decontaminate": f"""
 WITH {contamination_ctes()},
@@ -38,4 +97,5 @@ digests AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY it
 SELECT d.doc_id, len(d.ws) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(g.n_items, 0) AS n_items,
        sha256(coalesce(g.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN digests g USING (doc_id)""",
+    "op7_mixing": mixing_sql(),
 }
