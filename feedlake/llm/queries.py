@@ -75,6 +75,15 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm import lines
+
+    found = lines.similar_lines(_table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"), "line", "first_id", "first_line", "n_links", "match_id", "match_line", "removed"
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from feedlake.llm import mixing
 

@@ -30,6 +30,30 @@ hit_words AS (SELECT doc_id, count(DISTINCT j) AS n_hit
               FROM (SELECT doc_id, unnest(range(i, i + size)) AS j FROM occurrences) GROUP BY doc_id)"""
 
 
+def line_ctes(docs: str = "documents") -> str:
+    """judged(doc_id, line, first_id, first_line, n_links, match_id, match_line): Jaccard of
+    every two word sets that share a word, by counting shared words."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+split AS (SELECT doc_id, string_split({lower}, chr(10)) AS ls FROM {docs} WHERE text IS NOT NULL),
+numbered AS (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS line FROM split),
+worded AS (SELECT DISTINCT doc_id, line,
+                  list_sort(list_distinct(regexp_extract_all(l, '[^ 	-]+'))) AS ws FROM numbered),
+lines AS (SELECT * FROM worded WHERE len(ws) > 0),
+sets AS (SELECT ws, len(ws) AS n, arg_min(doc_id, (doc_id, line)) AS first_id, arg_min(line, (doc_id, line)) AS first_line,
+                row_number() OVER () AS s FROM lines GROUP BY ws),
+members AS (SELECT s, n, unnest(ws) AS w FROM sets),
+shared AS (SELECT a.s AS s, b.s AS t, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS o
+           FROM members a JOIN members b ON a.w = b.w AND a.s <> b.s GROUP BY a.s, b.s),
+links AS (SELECT s, t FROM shared WHERE 5 * o >= 4 * (n + m - o)),
+partners AS (SELECT l.s, count(*) AS n_links, min((first_id, first_line)) AS there
+             FROM links l JOIN sets x ON l.t = x.s GROUP BY l.s),
+judged AS (SELECT l.doc_id, l.line, x.first_id, x.first_line, coalesce(p.n_links, 0) AS n_links,
+                  CASE WHEN p.there < (x.first_id, x.first_line) THEN p.there[1] ELSE x.first_id END AS match_id,
+                  CASE WHEN p.there < (x.first_id, x.first_line) THEN p.there[2] ELSE x.first_line END AS match_line
+           FROM lines l JOIN sets x USING (ws) LEFT JOIN partners p ON p.s = x.s)"""
+
+
 MIX_ENTROPY, MIX_REPEATS = 0.95, 4.0
 
 
@@ -97,5 +121,9 @@ digests AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY it
 SELECT d.doc_id, len(d.ws) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(g.n_items, 0) AS n_items,
        sha256(coalesce(g.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM doc_words d LEFT JOIN hit_words h USING (doc_id) LEFT JOIN digests g USING (doc_id)""",
+    "op6_lines": f"""
+WITH {line_ctes()}
+SELECT doc_id, line::INTEGER AS line, first_id, first_line::INTEGER AS first_line, n_links, match_id,
+       match_line::INTEGER AS match_line, NOT (match_id = doc_id AND match_line = line) AS removed FROM judged""",
     "op7_mixing": mixing_sql(),
 }
