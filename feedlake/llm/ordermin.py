@@ -43,7 +43,7 @@ def _once(rows: DataFrame, name: str, value: Column) -> DataFrame:
 def sketches(rows: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
     """(keys, fingerprint) with one row per distinct ``keys``, which name a text each.
 
-    The fingerprint has eight hexadecimal digits per sketch. A text of fewer units
+    The fingerprint has four bytes per sketch. A text of fewer units
     than a k-mer is one k-mer, one without units has the fingerprint of nothing.
     Where ``rows`` is dealt out by one of the keys, nothing is shuffled.
     """
@@ -95,12 +95,17 @@ def sketches(rows: DataFrame, text_col: str, keys: list[str]) -> DataFrame:
         swapped = F.xxhash64(_hash_part(b), _hash_part(a))
         value = F.when(first | a.isNull() | b.isNull(), F.xxhash64(_hash_part(a), _hash_part(b))).otherwise(swapped)
         parts.append(F.lpad(F.lower(F.hex(value.bitwiseAND(0xFFFFFFFF))), 8, "0"))
-    return found.select(*keys, F.concat(*parts).alias("fingerprint"))
+    return found.select(*keys, F.unhex(F.concat(*parts)).alias("fingerprint"))
+
+
+def digits(fingerprint: Column) -> Column:
+    """A fingerprint in lower-case hexadecimal, eight digits per sketch."""
+    return F.lower(F.hex(fingerprint))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal sketches of two fingerprints, 0 to 1."""
-    same = [(F.substring(a, 8 * j + 1, 8) == F.substring(b, 8 * j + 1, 8)).cast("int") for j in range(SKETCHES)]
+    same = [(F.substring(a, 4 * j + 1, 4) == F.substring(b, 4 * j + 1, 4)).cast("int") for j in range(SKETCHES)]
     return reduce(lambda x, y: x + y, same) / F.lit(float(SKETCHES))
 
 
@@ -127,7 +132,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fingerprint) per row of ``docs``, repeated rows and null texts included."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("row", F.monotonically_increasing_id())
-    return sketches(rows, "text", ["id", "row"]).select("id", "fingerprint")
+    return sketches(rows, "text", ["id", "row"]).select("id", digits(F.col("fingerprint")).alias("fingerprint"))
+
+
+def _both_sketches(rows: DataFrame) -> DataFrame:
+    """Fingerprints of the texts and edited texts of rows (id, next_id, text, head)."""
+    third = "cast(length(text) div 3 as int)"
+    edited = F.expr(
+        f"concat(substring(text, 1, length(text) - {third}), substring(coalesce(head, ''), 1, {third}))"
+    )
+    rows = rows.select(
+        "id",
+        F.monotonically_increasing_id().alias("row"),
+        F.length("text").alias("n_chars"),
+        "next_id",
+        "text",
+        edited.alias("edited"),
+    )
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    both = F.explode(
+        F.array(
+            F.struct(F.lit(False).alias("edited"), F.lit("").alias("sha"), F.col("text").alias("text")),
+            F.struct(F.lit(True).alias("edited"), sha.alias("sha"), F.col("edited").alias("text")),
+        )
+    )
+    keys = ["id", "row", "n_chars", "next_id"]
+    each = rows.select(*keys, both.alias("x")).select(*keys, "x.edited", "x.sha", "x.text")
+    return sketches(each, "text", [*keys, "edited", "sha"])
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,7 +174,8 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Texts are shuffled once, by id; both uses read that shuffle.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    counted = rows.where("id is not null").groupBy("id").agg(
+    known, unknown = rows.where("id is not null"), rows.where("id is null")
+    counted = known.groupBy("id").agg(
         F.max(F.length("text")).alias("longest"), F.count("*").alias("n")
     )
     counted = materialize(counted, "lengths")
@@ -153,7 +185,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("id").alias("for_id"),
         (F.col("longest") / 3).cast("int").alias("most"),
     )
-    heads = rows.join(needed, "id").select("for_id", F.expr("substring(text, 1, most)").alias("head"), "text")
+    heads = known.join(needed, "id").select("for_id", F.expr("substring(text, 1, most)").alias("head"), "text")
     repeated = counted.where("n > 1").select(F.col("id").alias("next_id"))
     if repeated.head(1):
         by_id = following.join(repeated, "next_id", "left_semi").select(F.col("id").alias("for_id"))
@@ -162,28 +194,13 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
         heads = heads.join(by_id, "for_id", "left_anti").select("for_id", "head").unionByName(several)
     heads = heads.select(F.col("for_id").alias("id"), "head").join(following, "id")
-    joined = rows.join(heads, "id", "left").select(
-        "id",
-        F.monotonically_increasing_id().alias("row"),
-        F.length("text").alias("n_chars"),
-        "next_id",
-        "text",
-        F.coalesce("head", F.lit("")).alias("head"),
-    )
-    third = "cast(n_chars div 3 as int)"
-    edited = F.expr(f"concat(substring(text, 1, n_chars - {third}), substring(head, 1, {third}))")
-    joined = joined.select("id", "row", "n_chars", "next_id", "text", edited.alias("edited"))
-    sha = F.sha2(F.col("edited").cast("binary"), 256)
-    both = F.explode(
-        F.array(
-            F.struct(F.lit(False).alias("edited"), F.lit("").alias("sha"), F.col("text").alias("text")),
-            F.struct(F.lit(True).alias("edited"), sha.alias("sha"), F.col("edited").alias("text")),
-        )
-    )
-    each = joined.select("id", "row", "n_chars", "next_id", both.alias("x"))
+    both = known.join(heads, "id", "left").select("id", "next_id", "text", "head")
+    found = materialize(_both_sketches(both), "fingerprints")
+    if unknown.head(1):
+        alone = unknown.select("id", F.col("id").alias("next_id"), "text", F.lit("").alias("head"))
+        more = _both_sketches(alone).withColumn("row", -1 - F.col("row"))
+        found = found.unionByName(materialize(more, "fingerprints"))
     keys = ["id", "row", "n_chars", "next_id"]
-    each = each.select(*keys, "x.edited", "x.sha", "x.text")
-    found = materialize(sketches(each, "text", [*keys, "edited", "sha"]), "fingerprints")
     own = found.where("not edited").select(*keys, "fingerprint")
     other = found.where("edited").select(
         "row", F.col("sha").alias("edited_sha256"), F.col("fingerprint").alias("edited_fingerprint")
@@ -194,8 +211,8 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "id",
         F.col("n_chars").cast("long").alias("n_chars"),
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        digits(F.col("fingerprint")).alias("fingerprint"),
+        digits(F.col("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
         F.coalesce(likeness(F.col("fingerprint"), F.col("next_fingerprint")), F.lit(0.0)).alias("near_next"),
     )
