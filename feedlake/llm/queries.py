@@ -113,6 +113,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordermin.edit_report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from feedlake.llm import repeats
+
+    return repeats.report(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
