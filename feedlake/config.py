@@ -172,7 +172,6 @@ class RankingSettings:
     halflife_hours: float = 48.0
     top_n: int = 10
     daily_picks: int = 3
-    max_phrase_words: int = 2
 
 
 @dataclass(frozen=True)
@@ -196,12 +195,10 @@ class SummarySettings:
 
 @dataclass(frozen=True)
 class NearDuplicateSettings:
-    """Shingle length, MinHash size and the exact similarity threshold."""
+    """Shingle length and the exact similarity threshold, in hundredths."""
 
-    shingle_words: int = 3
-    bands: int = 8
-    rows_per_band: int = 2
-    threshold: float = 0.5
+    shingle_words: int = 5
+    percent: int = 80
 
 
 @dataclass(frozen=True)

@@ -8,13 +8,49 @@ from pyspark.sql import functions as F
 from feedlake.functions.text import let, strip_whitespace
 
 _WEEKDAY = r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,?\s+"
-_ZONE = r"(?:\s*(Z|[A-Za-z]{2,5}|[+-]\d{2}:?\d{2}))?$"
+_ZONE = r"(?:\s*(Z|[A-Za-z]{2,5}|[+-]\d{2}(?::?\d{2})?))?$"
+_MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 
 
 def _offset(text: Column) -> Column:
     """Numeric offset of the text; names other than offsets count as UTC."""
-    digits = F.regexp_extract(text, r"([+-]\d{2}):?(\d{2})$", 0)
-    return F.when(digits == "", F.lit("+0000")).otherwise(F.replace(digits, F.lit(":"), F.lit("")))
+    digits = F.replace(F.regexp_extract(text, r"[+-]\d{2}(:?\d{2})?$", 0), F.lit(":"), F.lit(""))
+    return F.when(digits == "", F.lit("+0000")).otherwise(F.rpad(digits, 5, "0"))
+
+
+def _with_century(text: Column) -> Column:
+    """"15 Jan 23" to four digits: years to 68 are of this century, as RFC 2822 reads them."""
+    shape = r"^(\d{1,2}[\s-][A-Za-z]{3,9}[\s-])(\d{2})(?=\s|$)"
+    century = F.when(F.regexp_extract(text, shape, 2) <= "68", F.lit("20")).otherwise(F.lit("19"))
+    year = F.concat(F.regexp_extract(text, shape, 1), century, F.regexp_extract(text, shape, 2))
+    return F.when(text.rlike(shape), F.concat(year, F.regexp_replace(text, shape, ""))).otherwise(text)
+
+
+def _slashes(text: Column) -> Column:
+    """"1/15/2023 ..." to "Jan 15, 2023 ..." or "15 Jan 2023 ...", the month first unless
+    only the second number can be one."""
+    shape = r"^(\d{1,2})/(\d{1,2})/(\d{4})(?=\s|$)"
+    one, two = (F.regexp_extract(text, shape, k).try_cast("int") for k in (1, 2))
+    swapped = (one > 12) & (two <= 12)
+    month, day = F.when(swapped, two).otherwise(one), F.when(swapped, one).otherwise(two)
+    name = F.get(F.array(*map(F.lit, _MONTHS)), month - 1)
+    year, rest = F.regexp_extract(text, shape, 3), F.regexp_replace(text, shape, "")
+    with_half = text.rlike(r"(?i)[ap]m\b")
+    us = F.concat(name, F.lit(" "), day.cast("string"), F.lit(", "), year, rest)
+    plain = F.concat(day.cast("string"), F.lit(" "), name, F.lit(" "), year, rest)
+    return F.when(text.rlike(shape), F.when(with_half, us).otherwise(plain)).otherwise(text)
+
+
+def _common_shape(text: Column) -> Column:
+    """Shapes that differ from a known one in arrangement only, rearranged."""
+    text = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
+    text = F.regexp_replace(text, r"^(\d{4})/(\d{2})/(\d{2})(?=\s|T|$)", "$1-$2-$3")
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})T?(\d{2})(\d{2})(\d{2})", "$1-$2-$3T$4:$5:$6")
+    text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(?!\d)", "$1-$2-$3T$4:$5")
+    asctime = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s+(\d{4})$"
+    text = F.regexp_replace(text, asctime, "$2 $1 $4 $3")
+    return _slashes(_with_century(text))
 
 
 def _parse(text: Column, shape: str, head: str, pattern: str) -> Column:
@@ -27,8 +63,10 @@ def _parse(text: Column, shape: str, head: str, pattern: str) -> Column:
 def parse_published(text: Column) -> Column:
     """UTC timestamp of a feed date, or null when blank or not understood.
 
-    Understood: RFC-822 (the weekday is ignored), ISO dates and times, and
-    "January 15, 2023 10:00 AM". Times without an offset are UTC.
+    Understood: RFC-822 with two or four digits of the year (the weekday is ignored),
+    ISO dates and times in extended and basic form, asctime, slash dates with the month
+    first, and "January 15, 2023 10:00 AM". Offsets may name hours only; fractions are
+    cut to microseconds. Times without an offset are UTC.
     """
     time = r"\d{1,2}:\d{2}(?::\d{2})?"
     iso_head = rf"^(\d{{4}}-\d{{2}}-\d{{2}}(?:[T\s]+{time}(?:\.\d{{1,6}})?)?){_ZONE}"
@@ -49,7 +87,8 @@ def parse_published(text: Column) -> Column:
             _parse(us, us_head, us_head, "MMM d, yyyy[ h:mm[:ss] a]"),
         )
 
-    return let(F.regexp_replace(strip_whitespace(text), _WEEKDAY, ""), attempt)
+    bare = F.regexp_replace(strip_whitespace(text), _WEEKDAY, "")
+    return let(let(bare, _common_shape), attempt)
 
 
 def published_or_run_date(text: Column, run_date: Column) -> tuple[Column, Column]:

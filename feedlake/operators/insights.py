@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +13,6 @@ from feedlake.session import materialize
 _PRIME = 2**31 - 1
 
 
-def hash_family(n: int, seed: int = 1) -> list[tuple[int, int]]:
-    """Multipliers and offsets of ``n`` hash functions modulo 2**31 - 1."""
-    rng = random.Random(seed)
-    return [(rng.randrange(1, _PRIME), rng.randrange(0, _PRIME)) for _ in range(n)]
-
-
 def shingles(text: Column, n: int) -> Column:
     """Word n-grams; a text of fewer words counts as one."""
     return let(
@@ -41,89 +33,62 @@ def shingle_set(text: Column, n: int) -> Column:
 def near_duplicates(
     docs: DataFrame, settings: C.NearDuplicateSettings = C.NearDuplicateSettings()
 ) -> DataFrame:
-    """(doc_id, duplicate_of, jaccard): the most similar earlier leader per document.
-
-    ``docs``: doc_id, text. Documents meet in MinHash band buckets. Inside a
-    bucket each document is compared with the bucket's leader (smallest id)
-    only, so work grows with the rows of a bucket and not with their pairs, even
-    when a third of the corpus is one family of copies. Every candidate is
-    checked by its exact Jaccard similarity. Nothing is capped. Signatures are
-    written once and read twice; texts of candidate pairs are shingled again, which
-    is cheaper than storing every shingle.
+    """(doc_id, duplicate_of, jaccard): the most similar earlier document.
+
+    ``docs``: doc_id, text. Every pair of shingle sets at the threshold is found: such
+    sets share one of their rarest shingles (prefix filter), early enough in that order
+    (positional filter), and differ little in size; the pairs left are verified. Equal
+    sets meet once, through their first document, so a crowd of copies costs its rows
+    and no pairs. Ties go to the smallest id.
     """
-    family = hash_family(settings.bands * settings.rows_per_band)
-    hashed = docs.select(
-        "doc_id", each(shingles(F.col("text"), settings.shingle_words)).alias("gram")
-    ).select("doc_id", shingle_hash(F.col("gram")).alias("h"))
-    signatures = materialize(
-        hashed.groupBy("doc_id").agg(
-            *[
-                F.min((F.col("h") * a + b) % _PRIME).alias(f"m{i}")
-                for i, (a, b) in enumerate(family)
-            ]
-        ),
-        "signatures",
-    )
-    r = settings.rows_per_band
-    bands = signatures.select(
+    percent = settings.percent
+    sets = docs.select(
+        "doc_id", F.array_sort(shingle_set(F.col("text"), settings.shingle_words)).alias("s")
+    ).select("doc_id", F.xxhash64("s").alias("key"), F.size("s").alias("n"), "s")
+    sets = materialize(sets, "sets")
+    leaders = materialize(sets.groupBy("key", "n").agg(F.min("doc_id").alias("leader")), "leaders")
+    leading = sets.join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi")
+
+    rows = leading.select("doc_id", "n", each(F.col("s")).alias("h"))
+    frequency = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
+    # The words of one document at most come together here.
+    ordered = rows.join(frequency.filter("f > 0"), "h").groupBy("doc_id", "n").agg(
+        F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o")
+    )
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    prefix = ordered.select("doc_id", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "x"))
+    prefix = prefix.select("doc_id", "n", "at", F.col("x.h").alias("h"))
+    a = prefix.select("h", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "n", "at")))
+    b = prefix.select("h", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "at")))
+    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (
+        rest * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
+    )
+    pairs = a.join(b, "h").filter((F.col("b_doc_id") < F.col("a_doc_id")) & fits)
+    pairs = pairs.select("a_doc_id", "b_doc_id").distinct()
+    both = pairs.join(
+        leading.select(F.col("doc_id").alias("a_doc_id"), F.col("s").alias("a_s")), "a_doc_id"
+    ).join(leading.select(F.col("doc_id").alias("b_doc_id"), F.col("s").alias("b_s")), "b_doc_id")
+    common = F.size(F.array_intersect("a_s", "b_s"))
+    measured = both.select(
+        F.col("a_doc_id").alias("doc_id"),
+        F.col("b_doc_id").alias("duplicate_of"),
+        settled(common).alias("common"),
+        (F.size("a_s") + F.size("b_s")).alias("total"),
+    ).filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent)
+    similar = measured.select(
         "doc_id",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(band).alias("band"),
-                        *[F.col(f"m{band * r + i}").alias(f"k{i}") for i in range(r)],
-                    )
-                    for band in range(settings.bands)
-                ]
-            )
-        ).alias("b"),
-    ).select("doc_id", "b.*")
-    key = ["band", *[f"k{i}" for i in range(r)]]
-    leaders = (
-        bands.groupBy(*key)
-        .agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .drop("n")
+        "duplicate_of",
+        F.round(F.col("common") / (F.col("total") - F.col("common")), 6).alias("jaccard"),
     )
-    pairs = (
-        bands.join(leaders, key)
+    best = Window.partitionBy("doc_id").orderBy(F.desc("jaccard"), "duplicate_of")
+    similar = similar.withColumn("r", F.row_number().over(best)).filter("r = 1").drop("r")
+    copies = (
+        sets.join(leaders, ["key", "n"])
         .filter(F.col("doc_id") != F.col("leader"))
-        .select("doc_id", "leader")
-        .distinct()
-    )
-    texts = docs.select("doc_id", "text")
-    both = (
-        pairs.join(texts, "doc_id")
-        .join(texts.select(F.col("doc_id").alias("leader"), F.col("text").alias("other")), "leader")
-        .select(
-            "doc_id",
-            F.col("leader").alias("duplicate_of"),
-            shingle_set(F.col("text"), settings.shingle_words).alias("a"),
-            shingle_set(F.col("other"), settings.shingle_words).alias("b"),
-        )
-    )
-    checked = (
-        both.withColumn("common", F.size(F.array_intersect("a", "b")))
-        .select(
-            "doc_id",
-            "duplicate_of",
-            settled(
-                F.round(F.col("common") / (F.size("a") + F.size("b") - F.col("common")), 6)
-            ).alias("jaccard"),
-        )
-        .filter(F.col("jaccard") >= settings.threshold)
-    )
-    best = F.max(F.struct("jaccard", -F.col("duplicate_of"))).alias("best")
-    return (
-        checked.groupBy("doc_id")
-        .agg(best)
-        .select(
-            "doc_id",
-            (-F.col("best.col2")).alias("duplicate_of"),
-            F.col("best.jaccard").alias("jaccard"),
-        )
+        .select("doc_id", F.col("leader").alias("duplicate_of"), F.lit(1.0).alias("jaccard"))
     )
+    return similar.unionByName(copies)
 
 
 def adjacent_topics(interests: DataFrame) -> DataFrame:
@@ -198,23 +163,19 @@ def source_diversity(activity: DataFrame, source: str) -> DataFrame:
 
 
 def time_to_delivery(deliveries: DataFrame, *by: str | Column) -> DataFrame:
-    """Median and 95th percentile of delivered_at - published_at in hours.
+    """Median and 95th percentile of delivered_at - published_at in hours, exact.
 
-    Delays count in whole minutes and are summed per minute first, so the exact
-    percentiles hold one entry per minute of delay and not one per delivery.
+    Equal delays are counted first, so the percentiles hold an entry per delay, to the
+    microsecond, and not one per delivery.
     """
     micros = F.unix_micros(F.col("delivered_at").cast("timestamp")) - F.unix_micros(
         F.col("published_at").cast("timestamp")
     )
-    per_minute = (
-        deliveries.withColumn("minutes", F.floor(micros / F.lit(60_000_000)))
-        .groupBy(*by, "minutes")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return per_minute.groupBy(*by).agg(
+    counted = deliveries.withColumn("delay", micros).groupBy(*by, "delay").agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy(*by).agg(
         F.sum("n").alias("n"),
-        (F.percentile("minutes", 0.5, F.col("n")) / 60).alias("p50_hours"),
-        (F.percentile("minutes", 0.95, F.col("n")) / 60).alias("p95_hours"),
+        (F.percentile("delay", 0.5, F.col("n")) / 3_600_000_000).alias("p50_hours"),
+        (F.percentile("delay", 0.95, F.col("n")) / 3_600_000_000).alias("p95_hours"),
     )
 
 

@@ -62,15 +62,18 @@ def keyword_score(
     at once, the rest is summed per (article, term), and only then do terms meet
     topics: a term shared by many topics multiplies sums, not occurrences. The
     topics' terms are the small side of both joins; Spark broadcasts them when
-    they fit its limit.
+    they fit its limit. Phrases may have any number of words: the lengths in use, a
+    handful of numbers, are asked of the topics first.
     """
     terms = topic_terms(topics)
+    sizes = terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()
+    lengths = sorted(r.n for r in sizes) or [1]
 
     def grams(column: str) -> Column:
         tokens = words(F.col(column))
         return let(
             tokens,
-            lambda w: F.concat(*[ngrams(w, n) for n in range(1, settings.max_phrase_words + 1)]),
+            lambda w: F.concat(*[ngrams(w, n) for n in lengths]),
         )
 
     occurrences = (

@@ -104,28 +104,45 @@ def nfkc_text(spark, sf):
     )
 
 
+#: Date shapes feeds use, by number; those from 10 on drop the seconds or the time.
+_DATE_SHAPES = (
+    "'Mon, 'dd MMM yyyy HH:mm:ss' GMT'",
+    "'Tue, 'd MMM yy HH:mm:ss' +0000'",
+    "yyyy-MM-dd'T'HH:mm:ss'Z'",
+    "yyyy-MM-dd'T'HH:mm:ss'.1234567Z'",
+    "yyyy-MM-dd HH:mm:ss'+00'",
+    "yyyyMMdd'T'HHmmss'Z'",
+    "'Wed 'MMM d HH:mm:ss yyyy",
+    "MM/dd/yyyy HH:mm:ss",
+    "MM/dd/yyyy h:mm:ss a",
+    "yyyy/MM/dd HH:mm:ss",
+    "MMMM d, yyyy h:mm a",
+    "d MMMM yyyy",
+    "MMMM yyyy",
+)
+
+
 @query(
     "parse_published",
-    """SELECT o_orderkey,
-              CASE WHEN substr(o_orderpriority, 1, 1) = '5' THEN '2024-01-31 00:00:00'
-                   ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS published_at,
-              substr(o_orderpriority, 1, 1) = '5' AS is_fallback_date
-       FROM orders""",
+    """WITH stamped AS (
+         SELECT o_orderkey, o_orderkey % 13 AS kind,
+                o_orderdate + to_seconds(((o_orderkey * 7919) % 86400)::INT) AS t FROM orders)
+       SELECT o_orderkey,
+              CASE WHEN kind = 12 THEN '2024-01-31 00:00:00' WHEN kind = 11 THEN strftime(t, '%Y-%m-%d 00:00:00')
+                   WHEN kind = 10 THEN strftime(t, '%Y-%m-%d %H:%M:00')
+                   ELSE strftime(t, '%Y-%m-%d %H:%M:%S') END AS published_at,
+              kind = 12 AS is_fallback_date
+       FROM stamped""",
 )
 def parse_published(spark, sf):
-    """Order dates rendered in a format per priority; the last one is no date."""
-    day, kind = F.col("o_orderdate"), F.substring("o_orderpriority", 1, 1)
-    shown = (
-        F.when(kind == "1", F.date_format(day, "'Mon, 'dd MMM yyyy HH:mm:ss' GMT'"))
-        .when(kind == "2", F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        .when(kind == "3", F.date_format(day, "yyyy-MM-dd HH:mm:ss"))
-        .when(kind == "4", F.date_format(day, "MMMM d, yyyy h:mm a"))
-        .otherwise(F.date_format(day, "MMMM yyyy"))
-    )
-    parsed = (
-        spread(I.table(spark, sf, "orders"), "o_orderkey")
-        .select("o_orderkey", shown.alias("raw"))
-        .withColumn("parsed", dates.parse_published(F.col("raw")))
+    """Order times rendered in thirteen shapes; the last one is no date."""
+    orders = I.table(spark, sf, "orders")
+    moment = F.timestamp_add("SECOND", F.col("o_orderkey") * 7919 % 86400, "o_orderdate")
+    shown = F.lit(None).cast("string")
+    for kind, shape in enumerate(_DATE_SHAPES):
+        shown = F.when(F.col("o_orderkey") % 13 == kind, F.date_format(moment, shape)).otherwise(shown)
+    parsed = orders.select("o_orderkey", shown.alias("raw")).withColumn(
+        "parsed", dates.parse_published(F.col("raw"))
     )
     return parsed.select(
         "o_orderkey",

@@ -99,12 +99,12 @@ def ranked_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark items as topics: their words, and their first two as a phrase."""
+    """Benchmark items as topics: their words, and their first 2 to 5 as phrases."""
     tokens = words(F.col("text"))
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("topic_id"),
         F.array_distinct(
-            F.concat(tokens, F.array(F.array_join(F.slice(tokens, 1, 2), " ")))
+            F.concat(tokens, F.array(*(F.array_join(F.slice(tokens, 1, n), " ") for n in range(2, 6))))
         ).alias("keywords"),
     )
 

@@ -32,18 +32,19 @@ topic_words AS (SELECT item_id AS topic_id, {S.words('text')} AS w FROM benchmar
 topic_terms AS (
   SELECT DISTINCT topic_id, term FROM (
     SELECT topic_id, unnest(w) AS term FROM topic_words
-    UNION ALL SELECT topic_id, array_to_string(w[1:2], ' ') FROM topic_words)
+    UNION ALL SELECT topic_id, array_to_string(w[1:n], ' ') FROM topic_words, range(2, 6) t(n))
   WHERE term NOT IN ({S.STOP_LIST}) AND term <> '')
 """
 
 _KEYWORDS = f"""{_ARTICLES}, {_TERMS},
 grams AS (
-  SELECT article_id, unnest(tw) AS term, 2.0 AS weight FROM articles
-  UNION ALL SELECT article_id, unnest(bw), 1.0 FROM articles
-  UNION ALL SELECT article_id,
-    unnest(list_transform(range(1, len(tw)), lambda i: tw[i] || ' ' || tw[i + 1])), 2.0 FROM articles
-  UNION ALL SELECT article_id,
-    unnest(list_transform(range(1, len(bw)), lambda i: bw[i] || ' ' || bw[i + 1])), 1.0 FROM articles),
+  SELECT article_id, unnest(list_transform(range(1, len(tw) - n + 2),
+                                           lambda i: array_to_string(tw[i:i + n - 1], ' '))) AS term, 2.0 AS weight
+  FROM articles, range(1, 6) t(n)
+  UNION ALL
+  SELECT article_id, unnest(list_transform(range(1, len(bw) - n + 2),
+                                           lambda i: array_to_string(bw[i:i + n - 1], ' '))), 1.0
+  FROM articles, range(1, 6) t(n)),
 relevance AS (
   SELECT topic_id, article_id,
          round(sum(weight)::DOUBLE / any_value(len(tw) + len(bw)), 6) AS relevance

@@ -73,19 +73,9 @@ def token_budget(spark, sf):
 
 
 def _near_duplicates_sql() -> str:
+    """All pairs that share a shingle, measured; no prefixes and no leaders."""
     settings = C.NearDuplicateSettings()
-    n, r = settings.shingle_words, settings.rows_per_band
-    family = insights.hash_family(settings.bands * r)
-    mins = ", ".join(
-        f"min((h * {a} + {b}) % 2147483647) AS m{i}" for i, (a, b) in enumerate(family)
-    )
-    keys = ", ".join(f"k{i}" for i in range(r))
-    bands = " UNION ALL ".join(
-        f"SELECT doc_id, {band} AS band, "
-        + ", ".join(f"m{band * r + i} AS k{i}" for i in range(r))
-        + " FROM signatures"
-        for band in range(settings.bands)
-    )
+    n = settings.shingle_words
     gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
     return f"""
 WITH tokenised AS (SELECT doc_id, {S.words('text')} AS w FROM documents),
@@ -97,23 +87,15 @@ grams AS (
 shingles AS (
   SELECT DISTINCT doc_id, ('0x' || substr(md5(g), 1, 12))::BIGINT % 2147483647 AS h FROM grams),
 sizes AS (SELECT doc_id, count(*) AS size FROM shingles GROUP BY doc_id),
-signatures AS (SELECT doc_id, {mins} FROM shingles GROUP BY doc_id),
-bands AS ({bands}),
-leaders AS (
-  SELECT band, {keys}, min(doc_id) AS leader FROM bands GROUP BY ALL HAVING count(*) > 1),
-pairs AS (
-  SELECT DISTINCT doc_id, leader FROM bands JOIN leaders USING (band, {keys})
-  WHERE doc_id <> leader),
 common AS (
-  SELECT p.doc_id, p.leader, count(*) AS c
-  FROM pairs p JOIN shingles a ON a.doc_id = p.doc_id
-  JOIN shingles b ON b.doc_id = p.leader AND b.h = a.h
-  GROUP BY ALL),
+  SELECT a.doc_id, b.doc_id AS other, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.h = b.h AND b.doc_id < a.doc_id GROUP BY ALL),
 checked AS (
-  SELECT doc_id, leader, round(c / (x.size + y.size - c), 6) AS jaccard
-  FROM common JOIN sizes x USING (doc_id) JOIN sizes y ON y.doc_id = leader)
-SELECT doc_id, leader AS duplicate_of, jaccard FROM checked WHERE jaccard >= {settings.threshold}
-QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, leader) = 1"""
+  SELECT c.doc_id, other, round(c / (x.size + y.size - c), 6) AS jaccard
+  FROM common c JOIN sizes x USING (doc_id) JOIN sizes y ON y.doc_id = other
+  WHERE c * 100 >= (x.size + y.size - c) * {settings.percent})
+SELECT doc_id, other AS duplicate_of, jaccard FROM checked
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY jaccard DESC, other) = 1"""
 
 
 @query("near_duplicates", _near_duplicates_sql())
@@ -192,14 +174,14 @@ def source_diversity(spark, sf):
 @query(
     "time_to_delivery",
     """SELECT o_orderpriority AS topic, count(*) AS n,
-              round(quantile_cont((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3600000000.0,
-                                  0.5), 6) AS p50_hours,
-              round(quantile_cont((epoch_us(l_shipdate) - epoch_us(o_orderdate)) / 3600000000.0,
-                                  0.95), 6) AS p95_hours
-       FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL""",
+              round(quantile_cont(delay, 0.5) / 3600000000.0, 6) AS p50_hours,
+              round(quantile_cont(delay, 0.95) / 3600000000.0, 6) AS p95_hours
+       FROM (SELECT o_orderpriority, (epoch_us(l_shipdate) - epoch_us(o_orderdate)
+                + (l_orderkey * 7919 + l_linenumber * 13) % 86400 * 1000000)::DOUBLE AS delay
+             FROM lineitem JOIN orders ON o_orderkey = l_orderkey) GROUP BY ALL""",
 )
 def time_to_delivery(spark, sf):
-    """Order date to ship date, by priority."""
+    """Order date to ship date and a time of that day, by priority."""
     orders = I.table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_orderpriority").alias("topic"),
@@ -207,7 +189,12 @@ def time_to_delivery(spark, sf):
     )
     delivered = (
         I.table(spark, sf, "lineitem")
-        .select("l_orderkey", F.col("l_shipdate").alias("delivered_at"))
+        .select(
+            "l_orderkey",
+            F.timestamp_add(
+                "SECOND", (F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 13) % 86400, "l_shipdate"
+            ).alias("delivered_at"),
+        )
         .join(orders, "l_orderkey")
     )
     timed = insights.time_to_delivery(delivered, "topic")

@@ -22,14 +22,14 @@ def _decode_windows_1252(values: pd.Series) -> pd.Series:
 def charset_of(content: Column) -> dict[str, Column]:
     """``charset`` and the ``rule`` that named it.
 
-    The whole payload is judged: byte-order mark, then UTF-8 validity, then the
+    The whole payload is judged, its declaration up to its end: byte-order mark, then UTF-8 validity, then the
     charset its XML declaration names, then the presence of C1 bytes, which
     ISO-8859-1 text does not use and windows-1252 text does.
     """
-    head = F.decode(F.substring(content, 1, 200), "ISO-8859-1")
+    latin = F.decode(content, "ISO-8859-1")
+    head = F.substring_index(latin, "?>", 1)
     declared = F.lower(F.regexp_extract(head, r"""<\?xml[^>]*encoding=["']([A-Za-z0-9_-]+)""", 1))
     mark = F.hex(F.substring(content, 1, 3))
-    latin = F.decode(content, "ISO-8859-1")
     valid_utf8 = F.is_valid_utf8(content.cast("string"))
     usable = declared.isin(*C.ALLOWED_ENCODINGS) & ~declared.isin("utf-8", "ascii")
     rule = (
