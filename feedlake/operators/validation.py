@@ -43,10 +43,18 @@ def article_violations(check_lengths: bool = False) -> Column:
 
 
 def validate_articles(articles: DataFrame, check_lengths: bool = False) -> DataFrame:
-    """Add ``violations`` and the ``link_scheme_ok`` warning."""
+    """Add ``violations`` and the ``link_scheme_ok`` warning.
+
+    Entries that could not be read (``corrupt_record``, if there is such a column) break
+    the rule of that name, whatever their fields look like.
+    """
+    found = article_violations(check_lengths)
+    if "corrupt_record" in articles.columns:
+        damaged = F.when(F.col("corrupt_record").isNotNull(), F.array(F.lit("corrupt_record")))
+        found = F.concat(F.coalesce(damaged, F.array().cast("array<string>")), found)
     return articles.withColumns(
         {
-            "violations": settled(article_violations(check_lengths)),
+            "violations": settled(found),
             "link_scheme_ok": url_scheme(F.col("link")).isin(*C.ALLOWED_URL_SCHEMES),
         }
     )

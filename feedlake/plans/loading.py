@@ -70,11 +70,33 @@ def scan_corrupt_feed(spark, sf):
     return parsed.select("page_id", F.col("item.link").alias("link"), "parse_error")
 
 
+def _landed_channels(spark, sf):
+    """A folder with one RSS file per host; a page cut before its end is a cut item."""
+    path = scratch_path(spark, "channels")
+    host = urls.url_host(F.col("url"))
+    title = F.when(host.startswith("www."), F.lit("")).otherwise(
+        F.concat(F.lit("<title>Feed of "), host, F.lit(" &amp; co</title>"))
+    )
+    item = F.concat(
+        F.lit("<item><title>p"), F.col("page_id").cast("string"),
+        F.when(F.col("html").contains("</html>"), F.lit("</title></item>")).otherwise(F.lit("</ti")),
+    )
+    per_host = I.table(spark, sf, "pages").select(host.alias("host"), title.alias("title"), item.alias("item"))
+    whole = per_host.groupBy("host", "title").agg(F.array_join(F.collect_list("item"), "\n").alias("items"))
+    text = F.concat(
+        F.lit("<rss><channel>"), F.col("title"), F.lit("<link>https://"), F.col("host"), F.lit("</link>"),
+        F.col("items"), F.lit("</channel></rss>"),
+    )
+    files = whole.select(F.concat(F.lit("host-"), "host").alias("folder"), text.alias("value"))
+    files.write.partitionBy("folder").option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 @query(
     "feed_metadata",
-    f"""SELECT {S.host('url')} AS feed_path,
+    f"""SELECT {S.host('url')} AS host,
                CASE WHEN {S.host('url')} LIKE 'www.%' THEN 'Unknown Feed'
-                    ELSE 'Feed of ' || {S.host('url')} END AS title,
+                    ELSE 'Feed of ' || {S.host('url')} || ' & co' END AS title,
                'https://' || {S.host('url')} AS link, '' AS description,
                count(*) FILTER (html LIKE '%</html>%') AS entry_count,
                CASE WHEN count(*) FILTER (html NOT LIKE '%</html>%') > 0
@@ -83,32 +105,13 @@ def scan_corrupt_feed(spark, sf):
         FROM pages GROUP BY ALL""",
 )
 def feed_metadata(spark, sf):
-    """Hosts as feeds; a page cut before its end counts as a damaged entry."""
-    host = urls.url_host(F.col("url"))
-    complete = F.col("html").contains("</html>")
-    per_feed = (
-        I.table(spark, sf, "pages")
-        .select(host.alias("feed_path"), complete.alias("complete"))
-        .groupBy("feed_path")
-        .agg(
-            F.count_if("complete").alias("entry_count"),
-            F.count_if(~F.col("complete")).alias("bad_entries"),
-        )
-        .withColumns(
-            {
-                "title": F.when(
-                    ~F.col("feed_path").startswith("www."),
-                    F.concat(F.lit("Feed of "), F.col("feed_path")),
-                ),
-                "link": F.concat(F.lit("https://"), F.col("feed_path")),
-                "description": F.lit(None).cast("string"),
-                "damaged": F.lit(False),
-            }
-        )
-    )
-    return feeds.summarize_feeds(per_feed).withColumn(
-        "parsing_errors", F.array_join("parsing_errors", "; ")
-    )
+    """Hosts as feeds, landed as files and read back."""
+    found = feeds.feed_metadata(spark, _landed_channels(spark, sf))
+    return found.select(
+        F.regexp_extract("feed_path", r"folder=host-([^/]+)/", 1).alias("host"),
+        "title", "link", "description", "entry_count",
+        F.array_join("parsing_errors", "; ").alias("parsing_errors"),
+    )
 
 
 @query(
@@ -127,13 +130,13 @@ def scan_source_list(spark, sf):
 
 @query(
     "payload_size_guard",
-    f"""SELECT page_id, octet_length(encode(html))::INT AS length,
-               octet_length(encode(html)) <= {C.MAX_PAYLOAD_BYTES} AS size_ok
-        FROM pages""",
+    """SELECT page_id, octet_length(encode(html))::INT AS length, octet_length(encode(html)) <= 2000 AS size_ok
+       FROM pages""",
 )
 def payload_size_guard(spark, sf):
+    """A limit that the longer pages exceed."""
     payloads = I.table(spark, sf, "pages").select("page_id", F.octet_length("html").alias("length"))
-    return feeds.payload_size_guard(payloads)
+    return feeds.payload_size_guard(payloads, limit=2000)
 
 
 @query(

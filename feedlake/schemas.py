@@ -129,6 +129,8 @@ UNIQUE_KEYS: tuple[tuple[str, tuple[str, ...]], ...] = (
 ENTRY = T.StructType(
     [
         T.StructField("feed_path", T.StringType()),
+        T.StructField("feed_time", T.TimestampType()),
+        T.StructField("ordinal", T.IntegerType()),
         T.StructField("title", T.StringType()),
         T.StructField("link", T.StringType()),
         T.StructField(

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from feedlake import config as C
 from feedlake import schemas
+from feedlake.functions.text import unescape
+from feedlake.sources.decode import decode_payloads
 
 _TEXT = T.StringType()
 _CORRUPT = "_corrupt_record"
@@ -17,6 +19,15 @@ def _fields(*names: str) -> list[T.StructField]:
     return [T.StructField(name, _TEXT) for name in names]
 
 
+_PAYLOAD = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
+
 RSS_ITEM = T.StructType(
     [
         *_fields("title", "link", "description", "author", "dc:creator", "pubDate", "dc:date"),
@@ -35,68 +46,108 @@ ATOM_ENTRY = T.StructType(
     ]
 )
 
-CHANNEL = T.StructType([*_fields("title", "link", "description"), *_fields(_CORRUPT)])
+_ITEM_START = r"(?i)(?=<(?:item|entry)[\s>])"
+_ITEM = r"(?is)^<(item|entry)[\s>].*?</\1\s*>"
+#: Note on a payload that is not read for its size.
+OVERSIZED = "payload above the size limit"
 
 
 def _null(data_type: str) -> Column:
     return F.lit(None).cast(data_type)
 
 
-def _xml(spark: SparkSession, row_tag: str, schema: T.StructType, streaming=False, **options: str):
-    reader = spark.readStream if streaming else spark.read
-    return (
-        reader.format("xml")
-        .options(**options)
-        .schema(schema)
-        .option("rowTag", row_tag)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _CORRUPT)
-        .option("recursiveFileLookup", "true")
-    )
-
-
 def _links_type() -> T.DataType:
     return schemas.ENTRY["links"].dataType
 
 
-def rss_entries(items: DataFrame) -> DataFrame:
-    """RSS items in the common entry shape."""
-    return items.select(
-        F.col("_metadata.file_path").alias("feed_path"),
-        "title",
-        "link",
-        F.lit(None).cast(_links_type()).alias("links"),
-        _null("string").alias("summary"),
-        "description",
-        F.coalesce("author", F.col("`dc:creator`")).alias("author"),
-        F.col("category").alias("tags"),
-        F.col("pubDate").alias("published"),
-        F.col("`dc:date`").alias("updated"),
-        F.col(_CORRUPT).alias("corrupt_record"),
+def _parsed(xml: Column, schema: T.StructType) -> Column:
+    """One element out of an XML string; damage shows in its corrupt-record field."""
+    names = schema.simpleString()
+    for name in ("dc:creator", "dc:date"):
+        names = names.replace(name, f"`{name}`")
+    return F.from_xml(xml, names, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT})
+
+
+def read_texts(
+    spark: SparkSession, path: str, streaming: bool = False, limit: int = C.MAX_PAYLOAD_BYTES, **options: str
+) -> DataFrame:
+    """(feed_path, feed_time, length, size_ok, charset, rule, text, n_replaced) per file.
+
+    No file can stop the scan: one above the size limit is not opened (its text is
+    null), bytes are decoded by rule, and what no rule can decode becomes replacement
+    characters, which are counted.
+    """
+    files = read_payloads(spark, path, streaming, **options)
+    guarded = payload_size_guard(files, limit=limit)
+    small = decode_payloads(guarded.filter(F.col("length") <= limit))
+    names = ["feed_path", "feed_time", "length", "size_ok", "charset", "rule", "text", "n_replaced"]
+    renamed = {"path": "feed_path", "modificationTime": "feed_time"}
+    large = guarded.filter(F.col("length") > limit).drop("content").withColumns(
+        {"charset": _null("string"), "rule": _null("string"), "text": _null("string"), "n_replaced": _null("int")}
+    )
+    return small.withColumnsRenamed(renamed).select(names).unionByName(
+        large.withColumnsRenamed(renamed).select(names)
     )
 
 
-def atom_entries(entries: DataFrame) -> DataFrame:
-    """Atom entries in the common entry shape; the link is the alternate one."""
+def split_items(texts: DataFrame) -> DataFrame:
+    """A row per item or entry, with its ordinal in the file and its markup; ``xml`` is
+    null where the closing tag is missing. ``head`` is what stands ahead of the first
+    item, on each file's first row; a file without items has that row alone, and its
+    ordinal is null. (An item tag spelled out inside a CDATA section counts as a start.)
+    """
+    pieces = F.split(F.coalesce("text", F.lit("")), _ITEM_START)
+    # A text that begins with an item has no head, but an empty piece is not split off.
+    headless = F.coalesce("text", F.lit("")).rlike(r"(?i)^<(?:item|entry)[\s>]")
+    rows = texts.withColumn("_pieces", F.when(headless, F.concat(F.array(F.lit("")), F.array_remove(pieces, ""))).otherwise(pieces))
+    items = F.slice("_pieces", F.lit(2), F.greatest(F.size("_pieces") - 1, F.lit(0)))
+    rows = rows.select(
+        *texts.columns, F.get("_pieces", F.lit(0)).alias("_head"), F.posexplode_outer(items).alias("ordinal", "piece")
+    )
+    return rows.select(
+        *texts.columns,
+        "ordinal",
+        "piece",
+        F.when(F.coalesce("ordinal", F.lit(0)) == 0, F.col("_head")).alias("head"),
+        F.nullif(F.regexp_extract("piece", _ITEM, 0), F.lit("")).alias("xml"),
+        F.lower(F.regexp_extract("piece", r"(?i)^<(item|entry)", 1)).alias("tag"),
+    )
+
+
+def _entries(items: DataFrame) -> DataFrame:
+    """Rows of split_items in the common entry shape."""
+    parsed = items.withColumns(
+        {
+            "rss": _parsed(F.when(F.col("tag") == "item", F.col("xml")), RSS_ITEM),
+            "atom": _parsed(F.when(F.col("tag") == "entry", F.col("xml")), ATOM_ENTRY),
+        }
+    )
     links = F.transform(
-        "link",
+        "atom.link",
         lambda a: F.struct(
             F.coalesce(a["_rel"], F.lit("alternate")).alias("rel"), a["_href"].alias("href")
         ),
     )
     alternate = F.get(F.filter(links, lambda a: a["rel"] == "alternate"), F.lit(0))
-    return entries.select(
-        F.col("_metadata.file_path").alias("feed_path"),
-        "title",
-        alternate["href"].alias("link"),
+    damage = (
+        F.when(~F.col("size_ok"), F.lit(OVERSIZED))
+        .when(F.col("ordinal").isNotNull() & F.col("xml").isNull(), F.col("piece"))
+        .otherwise(F.coalesce(f"rss.{_CORRUPT}", f"atom.{_CORRUPT}"))
+    )
+    return parsed.select(
+        "feed_path",
+        "feed_time",
+        "ordinal",
+        F.coalesce("rss.title", "atom.title").alias("title"),
+        F.coalesce("rss.link", alternate["href"]).alias("link"),
         links.cast(_links_type()).alias("links"),
-        "summary",
-        F.col("content").alias("description"),
-        F.col("author.name").alias("author"),
-        F.transform("category", lambda c: c["_term"]).alias("tags"),
-        "published",
-        "updated",
-        F.col(_CORRUPT).alias("corrupt_record"),
+        F.col("atom.summary").alias("summary"),
+        F.coalesce("rss.description", "atom.content").alias("description"),
+        F.coalesce("rss.author", "rss.`dc:creator`", "atom.author.name").alias("author"),
+        F.coalesce(F.col("rss.category"), F.transform("atom.category", lambda c: c["_term"])).alias("tags"),
+        F.coalesce("rss.pubDate", "atom.published").alias("published"),
+        F.coalesce("rss.`dc:date`", "atom.updated").alias("updated"),
+        damage.alias("corrupt_record"),
     )
 
 
@@ -105,27 +156,31 @@ def read_entries(
     path: str,
     streaming: bool = False,
     dialects: tuple[str, ...] = ("rss", "atom"),
+    limit: int = C.MAX_PAYLOAD_BYTES,
     **options: str,
 ) -> DataFrame:
     """Entries of all feed files below ``path``; a feed without items gives none.
 
-    Each dialect is one scan. Name the one a folder holds to read it once.
+    One scan reads both dialects. An entry that cannot be read (cut off, not well
+    formed) and a file above the size limit are rows with ``corrupt_record``, which
+    validation reports; every other entry of the same file is read.
     """
-    scans = {
-        "rss": lambda: rss_entries(_xml(spark, "item", RSS_ITEM, streaming, **options).load(path)),
-        "atom": lambda: atom_entries(_xml(spark, "entry", ATOM_ENTRY, streaming, **options).load(path)),
-    }
-    first, *rest = [scans[d]() for d in dialects]
-    for more in rest:
-        first = first.unionByName(more)
-    return first
+    wanted = [{"rss": "item", "atom": "entry"}[d] for d in dialects]
+    items = split_items(read_texts(spark, path, streaming, limit, **options))
+    return _entries(items.filter(F.col("tag").isin(wanted) | ~F.col("size_ok")))
+
 
+def feed_order(entries: DataFrame) -> DataFrame:
+    """Add ``feed_order``: file time, file and place in it, as text that sorts like them."""
+    moment = F.lpad(F.unix_micros("feed_time").cast("string"), 20, "0")
+    place = F.lpad(F.coalesce("ordinal", F.lit(0)).cast("string"), 9, "0")
+    return entries.withColumn("feed_order", F.concat_ws("|", moment, "feed_path", place))
 
-def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+
+def read_payloads(spark: SparkSession, path: str, streaming: bool = False, **options: str) -> DataFrame:
     """Whole payloads as landed: path, modificationTime, length, content."""
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    )
+    reader = spark.readStream.schema(_PAYLOAD) if streaming else spark.read
+    return reader.format("binaryFile").options(**options).option("recursiveFileLookup", "true").load(path)
 
 
 def payload_size_guard(
@@ -140,37 +195,47 @@ def parse_items(payloads: DataFrame, xml: str) -> DataFrame:
 
     A damaged payload is no error: the row survives with ``parse_error`` set.
     """
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    parsed = F.from_xml(F.col(xml), RSS_ITEM.simpleString().replace("dc:creator", "`dc:creator`")
-                        .replace("dc:date", "`dc:date`"), options)
+    parsed = _parsed(F.col(xml), RSS_ITEM)
     return payloads.withColumn("item", parsed).withColumn(
         "parse_error", F.col(f"item.{_CORRUPT}").isNotNull()
     )
 
 
-def feed_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Per feed file: title, link, description, entry_count, parsing_errors."""
-    channels = (
-        _xml(spark, "channel", CHANNEL)
-        .load(path)
-        .select(
-            F.col("_metadata.file_path").alias("feed_path"),
-            "title",
-            "link",
-            "description",
-            F.col(_CORRUPT).isNotNull().alias("damaged"),
-        )
-    )
-    # The XML reader refuses queries that touch nothing but the damage column.
-    read = F.length(F.coalesce("title", F.lit(""))) >= 0
-    entries = read_entries(spark, path).groupBy("feed_path").agg(
-        F.count_if(F.col("corrupt_record").isNull() & read).alias("entry_count"),
-        F.count_if(F.col("corrupt_record").isNotNull()).alias("bad_entries"),
+def _head_text(tag: str) -> Column:
+    """Text of the first such element of a head, without CDATA marks and entities."""
+    inner = F.regexp_extract("head", rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>", 1)
+    return unescape(F.trim(F.regexp_replace(inner, r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", "$1")))
+
+
+def feed_metadata(spark: SparkSession, path: str, limit: int = C.MAX_PAYLOAD_BYTES) -> DataFrame:
+    """Per feed file: title, link, description, entry_count, parsing_errors.
+
+    One scan. The channel's own fields are those ahead of its first item.
+    """
+    items = split_items(read_texts(spark, path, limit=limit))
+    closed = F.col("text").rlike(r"(?i)</(?:channel|feed)\s*>")
+    damaged = F.coalesce(~closed, F.lit(True))
+    rows = items.withColumns(
+        {
+            "_title": _head_text("title"),
+            "_link": _head_text("link"),
+            "_about": F.coalesce(F.nullif(_head_text("description"), F.lit("")), _head_text("subtitle")),
+            "damaged": damaged,
+            "rss": _parsed(F.when(F.col("tag") == "item", F.col("xml")), RSS_ITEM),
+            "atom": _parsed(F.when(F.col("tag") == "entry", F.col("xml")), ATOM_ENTRY),
+        }
     )
-    files = read_payloads(spark, path).select(F.col("path").alias("feed_path"))
-    return summarize_feeds(
-        files.join(channels, "feed_path", "left").join(entries, "feed_path", "left")
+    good = F.col("xml").isNotNull() & F.coalesce(f"rss.{_CORRUPT}", f"atom.{_CORRUPT}").isNull()
+    # One row of a file has its head; the others are null there.
+    per_file = rows.groupBy("feed_path").agg(
+        F.max("_title").alias("title"),
+        F.max("_link").alias("link"),
+        F.max("_about").alias("description"),
+        F.bool_or("damaged").alias("damaged"),
+        F.count_if(good).alias("entry_count"),
+        F.count_if(F.col("ordinal").isNotNull() & ~good).alias("bad_entries"),
     )
+    return summarize_feeds(per_file)
 
 
 def summarize_feeds(feeds: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from feedlake.operators.entries import map_articles
 from feedlake.sinks.tables import load_articles
-from feedlake.sources.feeds import read_entries
+from feedlake.sources.feeds import feed_order, read_entries
 
 
 def stream_ingest(
@@ -26,7 +26,9 @@ def stream_ingest(
 
     Each micro-batch is one run of :func:`load_articles` named after its batch
     id: a batch replayed after a failure overwrites its own run, and the check
-    against earlier runs covers all history without any streaming state.
+    against earlier runs covers all history without any streaming state. The first
+    of equal articles is that of the earlier file, or place in a file. Entries and
+    files that cannot be read are counted as errors and kept in quarantine.
     ``every`` polls (for instance "5 minutes"); by default the query drains what
     has landed and stops.
     """
@@ -34,11 +36,8 @@ def stream_ingest(
     entries = read_entries(spark, landing, streaming=True, dialects=dialects, **options)
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        good = batch.filter(F.col("corrupt_record").isNull())
-        rows = map_articles(good.withColumn("source_id", source_id), run_date).withColumn(
-            "feed_order", F.xxhash64("feed_path", "link", "title", "published_at")
-        )
-        load_articles(rows, table, f"{batch_id:012d}", ["feed_order", "link", "title"])
+        placed = feed_order(batch.withColumn("source_id", source_id))
+        load_articles(map_articles(placed, run_date), table, f"{batch_id:012d}", ["feed_order"])
 
     writer = entries.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}

@@ -75,6 +75,59 @@ def test_malformed_feed_is_no_crash(spark, landing):
     assert meta["bad.xml"].title == "Unknown Feed" and meta["bad.xml"].entry_count == 0
 
 
+def bad_folder(folder):
+    """Good, undeclared Latin-1, stray-byte, cut-off, oversized and foreign files."""
+    (folder / "good.xml").write_text(items(1, 2))
+    (folder / "latin.xml").write_bytes(items(3).replace("UTF-8", "none").replace(' encoding="none"', "").replace("more", "caf\xe9").encode("latin-1"))
+    (folder / "stray.xml").write_bytes(items(4).encode() + b"\xff\xfe\x80")
+    (folder / "cut.xml").write_text(items(5, 6)[:-150])
+    (folder / "large.xml").write_text(items(*range(100, 160)))
+    (folder / "page.xml").write_text("<html><body>moved</body></html>")
+    (folder / "empty.xml").write_text("")
+
+
+def test_no_file_stops_a_scan(spark, landing, tmp_path):
+    bad_folder(landing)
+    rows = feeds.read_entries(spark, str(landing), limit=8000).collect()
+    named = {r.title: r for r in rows if r.corrupt_record is None}
+    assert set(named) == {"Story 1 & more", "Story 2 & more", "Story 3 & caf\xe9", "Story 4 & more", "Story 5 & more"}
+    damaged = {r.feed_path.rsplit("/", 1)[1]: r.corrupt_record for r in rows if r.corrupt_record is not None}
+    assert set(damaged) == {"cut.xml", "large.xml"}
+    assert damaged["large.xml"] == feeds.OVERSIZED and damaged["cut.xml"].startswith("<item><title>Story 6")
+    texts = {r.feed_path.rsplit("/", 1)[1]: r for r in feeds.read_texts(spark, str(landing), limit=8000).collect()}
+    assert texts["large.xml"].text is None and not texts["large.xml"].size_ok
+    assert texts["latin.xml"].charset == "iso-8859-1"
+    meta = {r.feed_path.rsplit("/", 1)[1]: r for r in feeds.feed_metadata(spark, str(landing), limit=8000).collect()}
+    assert (meta["cut.xml"].entry_count, meta["cut.xml"].parsing_errors) == (1, ["damaged channel", "1 damaged entries"])
+    assert meta["page.xml"].parsing_errors == ["damaged channel"]
+
+
+def test_stream_counts_what_it_cannot_read(spark, landing, tmp_path):
+    bad_folder(landing)
+    table = str(tmp_path / "table")
+    query = stream_ingest(spark, str(landing), table, str(tmp_path / "cp"), F.lit(1).cast("long"), run_date())
+    query.awaitTermination()
+    total = spark.read.parquet(f"{table}/counters").agg(F.sum("parsed"), F.sum("inserted"), F.sum("errors")).first()
+    assert tuple(total) == (66, 65, 1)
+    kept = spark.read.parquet(f"{table}/quarantine").collect()
+    assert [r.violations[0] for r in kept] == ["corrupt_record"]
+
+
+def test_first_entry_wins_whatever_the_partitions(spark, landing, tmp_path):
+    import os
+
+    same = '<item><title>Same</title><link>https://e.com/x</link><description>text</description><author>{a}</author></item>'
+    (landing / "b.xml").write_text(RSS.format(items=same.format(a="one") + same.format(a="two") + items(1)[:0]))
+    (landing / "a.xml").write_text(RSS.format(items=same.format(a="three")))
+    os.utime(landing / "b.xml", (1, 1))
+    for k in range(3):
+        entries = feeds.feed_order(feeds.read_entries(spark, str(landing))).withColumn("source_id", F.lit(1).cast("long"))
+        rows = map_articles(entries.repartition(k + 1, F.rand(k)), run_date())
+        loaded = sink.load_articles(rows, str(tmp_path / f"t{k}"), "001", ["feed_order"])
+        assert counters(loaded) == {1: (3, 1, 2, 0)}
+        assert [r.author for r in spark.read.parquet(str(tmp_path / f"t{k}/articles")).collect()] == ["one"]
+
+
 def test_payload_parse_and_size_guard(spark, landing):
     (landing / "a.xml").write_text(items(1))
     payloads = feeds.payload_size_guard(feeds.read_payloads(spark, str(landing)), limit=10)
@@ -167,10 +220,9 @@ def test_snapshots(spark, tmp_path):
 
 def test_large_feed(spark, landing, tmp_path):
     (landing / "large.xml").write_text(items(*range(100)))
-    rows = map_articles(
-        feeds.read_entries(spark, str(landing)).withColumn("source_id", F.lit(7).cast("long")), run_date()
-    ).withColumn("feed_order", F.xxhash64("link"))
-    result = sink.load_articles(rows, str(tmp_path / "t"), "001", ["feed_order", "link"])
+    entries = feeds.feed_order(feeds.read_entries(spark, str(landing)))
+    rows = map_articles(entries.withColumn("source_id", F.lit(7).cast("long")), run_date())
+    result = sink.load_articles(rows, str(tmp_path / "t"), "001", ["feed_order"])
     assert counters(result) == {7: (100, 100, 0, 0)}
 
 
