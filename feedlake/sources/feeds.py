@@ -256,14 +256,16 @@ def summarize_feeds(feeds: DataFrame) -> DataFrame:
     )
 
 
-def write_rss(entries: DataFrame, path: str) -> None:
-    """Write entries as RSS item files (title, link, description, author, ...)."""
+def write_rss(entries: DataFrame, path: str, per_file: int = 100) -> None:
+    """Write entries as RSS files of at most ``per_file`` items (title, link, description,
+    author, ...): a file is read by one task and has a size limit."""
     (
         entries.select("title", "link", "description", "author", "pubDate", "category")
         .write.format("xml")
         .option("rowTag", "item")
         .option("rootTag", "channel")
         .option("declaration", 'version="1.0" encoding="UTF-8"')
+        .option("maxRecordsPerFile", per_file)
         .mode("overwrite")
         .save(path)
     )
