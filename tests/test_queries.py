@@ -10,6 +10,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry
+from feedlake import plans
 from tools.check_oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -22,15 +23,20 @@ def con():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_query_matches_sql(spark, con, name):
-    sql = entry.oracle_sql().get(name)
-    ok, note = compare(spark, con, SF_DIR, name, entry.queries()[name], sql)
+    sql = plans.oracle_sql().get(name)
+    ok, note = compare(spark, con, SF_DIR, name, plans.queries()[name], sql)
     assert ok, note
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(plans.queries()) == set(plans.oracle_sql())
+
+
+def test_entry_registers_them():
+    assert plans.queries().items() <= entry.queries().items()
+    assert plans.oracle_sql().items() <= entry.oracle_sql().items()
 
 
 def test_entry(spark):
@@ -40,7 +46,7 @@ def test_entry(spark):
 
 
 def plan_of(spark, name):
-    df = entry.queries()[name](spark, SF_DIR)
+    df = plans.queries()[name](spark, SF_DIR)
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -50,7 +56,7 @@ def test_top_k_is_limited_before_the_shuffle(spark, name):
     assert plan.count("WindowGroupLimit") == 2
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - {"stream_ingest"}))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - {"stream_ingest"}))
 def test_no_cartesian_products(spark, name):
     plan = plan_of(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
