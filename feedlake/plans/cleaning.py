@@ -235,12 +235,23 @@ def map_articles(spark, sf):
 
 @query(
     "field_fallbacks",
-    """SELECT doc_id, text AS raw_summary, NULL::VARCHAR AS raw_published,
+    """SELECT doc_id, CASE WHEN lang = 'en' THEN 'short: ' || source ELSE text END AS raw_summary,
+              CASE lang WHEN 'de' THEN '2024-01-02' WHEN 'fr' THEN '2024-01-03' END AS raw_published,
               lang || '|' || upper(lang) || '|' || source AS raw_tags
        FROM documents""",
 )
 def field_fallbacks(spark, sf):
-    rows = entries.field_fallbacks(I.document_entries(spark, sf))
+    """English entries have a summary beside the description, German ones both dates,
+    French ones the date of their update only."""
+    lang = F.col("author")
+    given = I.document_entries(spark, sf).withColumns(
+        {
+            "summary": F.when(lang == "en", F.concat(F.lit("short: "), "source")).otherwise(""),
+            "published": F.when(lang == "de", "2024-01-02").otherwise(""),
+            "updated": F.when(lang.isin("de", "fr"), "2024-01-03"),
+        }
+    )
+    rows = entries.field_fallbacks(given)
     return rows.select(
         "doc_id", "raw_summary", "raw_published", F.array_join("raw_tags", "|").alias("raw_tags")
     )
