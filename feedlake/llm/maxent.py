@@ -1,9 +1,10 @@
 """Language-model scores from a hashed maximum-entropy model.
 
-P(word | history) is factored by word class: a softmax over classes, whose inputs are
-hashed n-gram and skip features of the four words before, times the word's share of
-its class. The most frequent words are classes of their own; the rest fall into
-classes by ending. Class weights are learned by distributed gradient updates: in each
+P(word | history) is factored twice: a softmax over groups of classes, one over the
+classes of the word's group, both on hashed n-gram and skip features of the four words
+before, and the word's share of its class. A position so costs as many outputs as there
+are groups and classes in one group. The most frequent words are classes of their own;
+the rest fall into classes by ending. Weights are learned by distributed gradient updates: in each
 round every task runs mini-batches over its documents of that round, starting from
 the same weights, and the changes are averaged row by row. The rounds share out all
 training documents.
@@ -20,6 +21,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,9 @@ from feedlake.session import materialize
 HEADS = 56
 TAILS = 40
 CLASSES = HEADS + TAILS
+#: Classes in order fall into groups of this size.
+GROUP = 8
+GROUPS = CLASSES // GROUP
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 FEATURES = 5
@@ -41,7 +46,7 @@ ROUNDS = 3
 RATE = 0.12
 BATCH = 4096
 #: Text of one block; a longer document is a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Rows of the weight table that travel together.
 ROWS = 128
 #: The token at the end of every text; no word is empty.
@@ -79,7 +84,7 @@ def word_hash(token: bytes) -> int:
 
 
 def features(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """(n, FEATURES) buckets from the words before each position of its text: the last
+    """(FEATURES, n) buckets from the words before each position of its text: the last
     one, those two, three and four back (skips), and the last two together."""
     before = []
     for back in range(1, 5):
@@ -87,107 +92,157 @@ def features(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
         shifted[back:] = hashes[:-back]
         before.append(np.where(at >= back, shifted, np.uint32(0x5BD1E995)))
     pair = before[0] * np.uint32(0x85EBCA6B) ^ before[1]
-    out = np.empty((len(hashes), FEATURES), np.int32)
+    out = np.empty((FEATURES, len(hashes)), np.int32)
     for j, value in enumerate([*before, pair]):
         mixed = (value ^ np.uint32((j + 1) * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0xCC9E2D51)
         mixed ^= mixed >> np.uint32(15)
         mixed *= np.uint32(0x1B873593)
-        out[:, j] = mixed >> np.uint32(32 - BUCKET_BITS)
+        out[j] = mixed >> np.uint32(32 - BUCKET_BITS)
     return out
 
 
-def _class_logs(weights: np.ndarray, bias: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    z = np.repeat(bias[None], len(rows), axis=0)
-    for j in range(FEATURES):
-        z += weights[rows[:, j]]
+class Weights:
+    """Weights of groups, a row per bucket, and of classes, a row per bucket and group;
+    and the biases, which stay as counted."""
+
+    def __init__(self, totals: np.ndarray, both: np.ndarray | None = None):
+        prior = (totals + 0.5).reshape(GROUPS, GROUP)
+        self.group_bias = np.log(prior.sum(axis=1) / prior.sum()).astype(np.float32)
+        self.class_bias = np.log(prior / prior.sum(axis=1, keepdims=True)).astype(np.float32)
+        both = np.zeros((BUCKETS, GROUPS + CLASSES), np.float32) if both is None else both
+        self.group = both[:, :GROUPS].copy()
+        self.classes = both[:, GROUPS:].reshape(BUCKETS * GROUPS, GROUP).copy()
+
+    def both(self) -> np.ndarray:
+        return np.hstack([self.group, self.classes.reshape(BUCKETS, CLASSES)])
+
+    def logs(self, rows: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log probabilities of all groups, of the classes in each position's group, and
+        the rows of the class weights that say so."""
+        group = classes // GROUP
+        inner = rows * np.int32(GROUPS) + group.astype(np.int32)
+        outer = np.repeat(self.group_bias[None], rows.shape[1], axis=0)
+        return _log_softmax(outer, self.group, rows), _log_softmax(self.class_bias[group], self.classes, inner), inner
+
+
+def _log_softmax(z: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    for row in rows:
+        z += table.take(row, axis=0, mode="clip")
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def class_log10(weights: np.ndarray, bias: np.ndarray, hashes: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
+def class_log10(weights: Weights, hashes: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """log10 P(class | history) at every position."""
     rows = features(hashes, at)
     out = np.empty(len(hashes))
     for start in range(0, len(hashes), BATCH):
         part = slice(start, start + BATCH)
-        logs = _class_logs(weights, bias, rows[part])
-        out[part] = logs[np.arange(len(logs)), classes[part]]
+        kinds = classes[part]
+        outer, inner, _ = weights.logs(rows[:, part], kinds)
+        places = np.arange(len(kinds))
+        out[part] = outer[places, kinds // GROUP] + inner[places, kinds % GROUP]
     return out / math.log(10)
 
 
-def learn(weights: np.ndarray, squares: np.ndarray, bias: np.ndarray, hashes: np.ndarray, at: np.ndarray, classes: np.ndarray) -> None:
-    """AdaGrad over mini-batches, in place; the classes' bias stays as counted."""
+def _descend(table: np.ndarray, squares: np.ndarray, used: np.ndarray, error: np.ndarray) -> None:
+    """One AdaGrad step on the summed slope of each row; ``used`` has equal rows together."""
+    firsts = np.flatnonzero(np.diff(used, prepend=-1))
+    rows = used[firsts]
+    slope = np.add.reduceat(error, firsts)
+    seen = squares.take(rows, axis=0)
+    seen += slope * slope
+    squares[rows] = seen
+    seen += 1
+    np.sqrt(seen, out=seen)
+    slope *= RATE
+    slope /= seen
+    table[rows] -= slope
+
+
+def learn(weights: Weights, squares: Weights, hashes: np.ndarray, at: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Mini-batches in place; returns how often each bucket was used."""
     rows = features(hashes, at)
     for start in range(0, len(hashes), BATCH):
         part = slice(start, start + BATCH)
-        batch = rows[part]
-        error = np.exp(_class_logs(weights, bias, batch))
-        error[np.arange(len(batch)), classes[part]] -= 1
-        for j in range(FEATURES):
-            order = np.argsort(batch[:, j], kind="stable")
-            used = batch[order, j]
-            firsts = np.flatnonzero(np.diff(used, prepend=-1))
-            used = used[firsts]
-            slope = np.add.reduceat(error[order], firsts)
-            squares[used] += slope * slope
-            weights[used] -= RATE * slope / np.sqrt(squares[used] + 1)
-
-
-def _stream(texts: list[list[bytes]], known: dict[bytes, tuple[int, int]], classes: Classes) -> tuple[np.ndarray, ...]:
+        batch, kinds = rows[:, part], classes[part]
+        outer, inner, inner_rows = weights.logs(batch, kinds)
+        places = np.arange(len(kinds))
+        group = kinds // GROUP
+        np.exp(outer, out=outer)
+        np.exp(inner, out=inner)
+        outer[places, group] -= 1
+        inner[places, kinds % GROUP] -= 1
+        # One order per feature, by bucket and then by group, serves both tables.
+        by_group = np.argsort(group.astype(np.uint8), kind="stable")
+        for row, inner_row in zip(batch, inner_rows, strict=True):
+            order = by_group[np.argsort(row[by_group].astype(np.uint16), kind="stable")]
+            _descend(weights.group, squares.group, row[order], outer.take(order, axis=0))
+            _descend(weights.classes, squares.classes, inner_row[order], inner.take(order, axis=0))
+    return np.bincount(rows.ravel(), minlength=BUCKETS)
+
+
+class Vocabulary(dict):
+    """Numbers words as they come, with their hashes and classes."""
+
+    def __init__(self, classes: Classes):
+        self.classes, self.hashes, self.kinds = classes, [], []
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self.hashes)
+        self.hashes.append(word_hash(word))
+        self.kinds.append(self.classes.of(word))
+        return number
+
+
+def _stream(texts: list[list[bytes]], known: Vocabulary) -> tuple[np.ndarray, ...]:
     """Hash, position and class of every token of some texts, one after the other."""
-    pairs = []
-    for words in texts:
-        for w in words:
-            found = known.get(w)
-            if found is None:
-                found = known[w] = (word_hash(w), classes.of(w))
-            pairs.append(found)
-    both = np.array(pairs, np.int64).reshape(-1, 2)
     lengths = [len(words) for words in texts]
-    at = np.arange(len(pairs)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return both[:, 0].astype(np.uint32), at, both[:, 1]
+    total = sum(lengths)
+    numbers = np.fromiter(map(known.__getitem__, chain.from_iterable(texts)), np.int64, total)
+    at = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return np.array(known.hashes, np.uint32)[numbers], at, np.array(known.kinds, np.int64)[numbers]
 
 
-def train(texts: DataFrame, id_col: str, text_col: str, classes: Classes, bias: np.ndarray) -> np.ndarray:
-    """Class weights (BUCKETS x CLASSES) after ROUNDS rounds over all of ``texts``.
+def train(texts: DataFrame, id_col: str, text_col: str, classes: Classes) -> Weights:
+    """Weights after ROUNDS rounds over all of ``texts``.
 
     A task sends the rows it changed, as half floats with the number of its words that
     used them; their weighted means make the next round's weights. The table has a
     fixed size; what is sent grows with the number of tasks.
     """
     spark = texts.sparkSession
-    weights = np.zeros((BUCKETS, CLASSES), np.float32)
+    totals = classes.total
+    weights = Weights(totals).both()
     key = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.length(text_col)), F.lit(ROUNDS))
     for r in range(ROUNDS):
         start = spark.sparkContext.broadcast(weights)
 
         def work(batches: Iterator[pd.DataFrame], start=start) -> Iterator[pd.DataFrame]:
-            own, squares = start.value.copy(), np.zeros((BUCKETS, CLASSES), np.float32)
+            own, squares = Weights(totals, start.value), Weights(totals)
             uses = np.zeros(BUCKETS, np.int64)
-            known: dict[bytes, tuple[int, int]] = {}
+            known = Vocabulary(classes)
             held: list[list[bytes]] = []
             size = 0
 
             def flush() -> None:
-                if len(known) > 1_000_000:
-                    known.clear()
-                hashes, at, kinds = _stream(held, known, classes)
-                learn(own, squares, bias, hashes, at, kinds)
-                for column in features(hashes, at).T:
-                    uses[:] += np.bincount(column, minlength=BUCKETS)
+                nonlocal known
+                if len(known) > 500_000:
+                    known = Vocabulary(classes)
+                uses[:] += learn(own, squares, *_stream(held, known))
                 held.clear()
 
             for batch in batches:
                 for text in batch["text"]:
                     held.append([*space_words(text), END])
                     size += len(held[-1])
-                    if size >= 16 * BATCH:
+                    if size >= 64 * BATCH:
                         flush()
                         size = 0
             if held:
                 flush()
-            change = own - start.value
+            change = own.both() - start.value
             for first in range(0, BUCKETS, ROWS):
                 part = slice(first, first + ROWS)
                 if uses[part].any():
@@ -195,16 +250,16 @@ def train(texts: DataFrame, id_col: str, text_col: str, classes: Classes, bias:
                         {
                             "first": [first],
                             "uses": [uses[part].tobytes()],
-                            "change": [change[part].astype(np.float16).tobytes()],
+                            "change": [zlib.compress(change[part].astype(np.float16).tobytes(), 1)],
                         }
                     )
 
         def mean(group: pd.DataFrame) -> pd.DataFrame:
-            uses, change = np.zeros(ROWS, np.int64), np.zeros((ROWS, CLASSES))
+            uses, change = np.zeros(ROWS, np.int64), np.zeros((ROWS, GROUPS + CLASSES))
             for row_uses, row_change in zip(group["uses"], group["change"], strict=True):
                 n = np.frombuffer(row_uses, np.int64)
                 uses += n
-                change += n[:, None] * np.frombuffer(row_change, np.float16).reshape(ROWS, CLASSES)
+                change += n[:, None] * np.frombuffer(zlib.decompress(row_change), np.float16).reshape(change.shape)
             change /= np.maximum(uses, 1)[:, None]
             return pd.DataFrame({"first": group["first"][:1], "change": [change.astype(np.float32).tobytes()]})
 
@@ -212,9 +267,10 @@ def train(texts: DataFrame, id_col: str, text_col: str, classes: Classes, bias:
         sent = part.mapInPandas(work, "first int, uses binary, change binary")
         means = sent.groupBy("first").applyInPandas(mean, "first int, change binary")
         for row in means.collect():
-            weights[row["first"] : row["first"] + ROWS] += np.frombuffer(row.change, np.float32).reshape(ROWS, CLASSES)
+            part = slice(row["first"], row["first"] + ROWS)
+            weights[part] += np.frombuffer(row.change, np.float32).reshape(ROWS, GROUPS + CLASSES)
         start.unpersist()
-    return weights
+    return Weights(totals, weights)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
@@ -255,7 +311,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> Dat
                 if not held:
                     used, times = np.unique(coded, return_counts=True)
                     counts[used] += times
-                out.append((block, None if pd.isna(i) else i, held, coded.tobytes(), None, None, None))
+                out.append((block, None if pd.isna(i) else i, held, zlib.compress(coded.tobytes(), 1), None, None, None))
                 size += len(text or "") + 1
                 if size >= BLOCK_BYTES:
                     yield pd.DataFrame(out, columns=schema.names, dtype=object)
@@ -270,15 +326,20 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> Dat
     return materialize(rows.mapInPandas(cut, schema), "blocks")
 
 
-def count_classes(counts: DataFrame) -> Classes:
-    """Head words, and words in all and distinct of each class, of a (token, c) table."""
-    known = counts.where("c > 0")
-    heads = [bytes(r.token) for r in known.orderBy(F.col("c").desc(), "token").limit(HEADS).collect()]
+def class_column(heads: list[bytes]) -> Column:
+    """Classes.of for a token column."""
     ending = F.crc32(F.expr("substring(token, -2, 2)")) % F.lit(TAILS)
     marked = F.lit(None).cast("long")
     for k, token in enumerate(heads):
         marked = F.when(F.col("token") == F.lit(bytearray(token)), F.lit(k)).otherwise(marked)
-    sizes = known.groupBy(F.coalesce(marked, ending + HEADS).cast("int").alias("k")).agg(
+    return F.coalesce(marked, ending + HEADS).cast("int")
+
+
+def count_classes(counts: DataFrame) -> Classes:
+    """Head words, and words in all and distinct of each class, of a (token, c) table."""
+    known = counts.where("c > 0")
+    heads = [bytes(r.token) for r in known.orderBy(F.col("c").desc(), "token").limit(HEADS).collect()]
+    sizes = known.groupBy(class_column(heads).alias("k")).agg(
         F.sum("c").alias("n"), F.count("*").alias("v")
     )
     total, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -300,10 +361,8 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     counts = materialize(dictionaries.groupBy("token").agg(F.sum("n").alias("c")), "counts")
     classes = count_classes(counts)
     tokens, distinct = int(classes.total.sum()), int(classes.distinct.sum())
-    prior = classes.total + 0.5
-    bias = np.log(prior / prior.sum()).astype(np.float32)
     training = docs.where(~F.coalesce(held_out, F.lit(False)))
-    weights = train(training, id_col, text_col, classes, bias)
+    weights = train(training, id_col, text_col, classes)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     lowest = math.log10(tokens + distinct + 1)
 
@@ -315,14 +374,14 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         kinds = np.zeros(size, np.int64)
         number = dictionary["number"].to_numpy()
         count[number] = dictionary["c"].to_numpy()
-        hashes[number] = np.fromiter(map(word_hash, dictionary["token"]), np.uint32, size)
-        kinds[number] = np.fromiter(map(classes.of, map(bytes, dictionary["token"])), np.int64, size)
+        hashes[number] = dictionary["hash"].to_numpy().astype(np.uint32)
+        kinds[number] = dictionary["kind"].to_numpy()
         base = np.log10(count + 1) - lowest
         share = classes.log_share(kinds, count)
         out = []
         for words in batch["words"]:
-            w = np.frombuffer(words, np.int32)
-            logs = class_log10(shared.value, bias, hashes[w], np.arange(len(w)), kinds[w])
+            w = np.frombuffer(zlib.decompress(words), np.int32)
+            logs = class_log10(shared.value, hashes[w], np.arange(len(w)), kinds[w])
             out.append((len(w), int((count[w] > 0).sum()), tokens, float(base[w].sum()), float((logs + share[w]).sum())))
         found = pd.DataFrame(out, columns=names[2:])
         found.insert(0, "id", batch["id"].to_numpy())
@@ -332,6 +391,7 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    explained = dictionaries.join(counts, "token").select("block", "number", "token", "c")
+    told = counts.select("token", "c", F.crc32("token").alias("hash"), class_column(classes.heads).alias("kind"))
+    explained = dictionaries.join(told, "token").select("block", "number", "hash", "kind", "c")
     coded = staged.where("token is null").select(F.col("block").alias("of_block"), "id", "held_out", "words")
     return coded.groupBy("of_block").cogroup(explained.groupBy("block")).applyInPandas(score, schema)

@@ -53,13 +53,17 @@ def test_null_id_row(spark):
     assert len({(r.n_tokens, r.n_known, r.base_score, r.score) for r in got}) == 1
 
 
+def random_weights(rng):
+    both = rng.normal(size=(m.BUCKETS, m.GROUPS + m.CLASSES)).astype(np.float32)
+    return m.Weights(rng.integers(1, 99, m.CLASSES), both)
+
+
 def test_class_probabilities_sum_to_one():
-    rng = np.random.default_rng(1)
-    weights = rng.normal(size=(m.BUCKETS, m.CLASSES)).astype(np.float32)
-    bias = rng.normal(size=m.CLASSES).astype(np.float32)
+    weights = random_weights(np.random.default_rng(1))
     hashes, at = np.full(m.CLASSES, 77, np.uint32), np.zeros(m.CLASSES, int)
-    logs = m.class_log10(weights, bias, hashes, at, np.arange(m.CLASSES))
+    logs = m.class_log10(weights, hashes, at, np.arange(m.CLASSES))
     assert (10**logs).sum() == pytest.approx(1, abs=1e-4)
+    assert np.array_equal(m.Weights(np.ones(m.CLASSES), weights.both()).both(), weights.both())
 
 
 def test_shares_of_a_class_sum_to_one():
@@ -75,24 +79,26 @@ def test_shares_of_a_class_sum_to_one():
 def test_gradient_matches_difference():
     rng = np.random.default_rng(2)
     hashes, at = rng.integers(0, 99, 40).astype(np.uint32), np.arange(40)
-    kinds, bias = rng.integers(0, m.CLASSES, 40), np.zeros(m.CLASSES, np.float32)
-    weights = np.zeros((m.BUCKETS, m.CLASSES), np.float32)
-    loss = lambda: -m.class_log10(weights, bias, hashes, at, kinds).sum() * math.log(10)
+    kinds = rng.integers(0, m.CLASSES, 40)
+    weights, squares = m.Weights(np.ones(m.CLASSES)), m.Weights(np.ones(m.CLASSES))
+    loss = lambda: -m.class_log10(weights, hashes, at, kinds).sum() * math.log(10)
     before = loss()
-    row, k = m.features(hashes, at)[20, 0], kinds[20]
-    weights[row, k] = 1e-2
-    slope = (loss() - before) / 1e-2
-    weights[row, k] = 0
-    squares = np.zeros_like(weights)
-    m.learn(weights, squares, bias, hashes, at, kinds)
-    assert squares[row, k] == pytest.approx(slope**2, rel=0.05)
-    assert loss() < before
+    row, k = m.features(hashes, at)[0, 20], kinds[20]
+    slopes = []
+    for table, r, c in ((weights.group, row, k // m.GROUP), (weights.classes, row * m.GROUPS + k // m.GROUP, k % m.GROUP)):
+        table[r, c] = 1e-2
+        slopes.append((loss() - before) / 1e-2)
+        table[r, c] = 0
+    uses = m.learn(weights, squares, hashes, at, kinds)
+    assert squares.group[row, k // m.GROUP] == pytest.approx(slopes[0] ** 2, rel=0.05)
+    assert squares.classes[row * m.GROUPS + k // m.GROUP, k % m.GROUP] == pytest.approx(slopes[1] ** 2, rel=0.05)
+    assert loss() < before and uses.sum() == 40 * m.FEATURES
 
 
 def test_features_stay_inside_a_text():
     words = np.array([1, 2, 3, 4, 5, 6], np.uint32)
     alone = m.features(words[3:], np.arange(3))
-    after = m.features(words, np.array([0, 1, 2, 0, 1, 2]))[3:]
+    after = m.features(words, np.array([0, 1, 2, 0, 1, 2]))[:, 3:]
     assert np.array_equal(alone, after)
 
 
@@ -108,3 +114,12 @@ def test_query_on_supplied_table(spark):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
     kept = spark.createDataFrame([(i,) for i, _ in rows], "i long").select("i", (fold(F.col("i"), 7) == 2).alias("h"))
     assert [r.h for r in kept.orderBy("i").collect()] == [h for _, h in sorted(zip([i for i, _ in rows], held, strict=True))]
+
+
+def test_classes_in_spark_and_python_agree(spark):
+    tokens = [b"", b"a", b"ab", b"the", b"of", "été".encode(), b"x" * 50, b"ing."]
+    heads = [b"the", b"", b"zz"]
+    frame = spark.createDataFrame([(bytearray(t),) for t in tokens], "token binary")
+    got = frame.select(m.class_column(heads).alias("k"), F.crc32("token").alias("h")).collect()
+    classes = m.Classes(heads, np.zeros(m.CLASSES), np.zeros(m.CLASSES))
+    assert [(r.k, r.h) for r in got] == [(classes.of(t), m.word_hash(t)) for t in tokens]
