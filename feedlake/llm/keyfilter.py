@@ -20,7 +20,7 @@ def key_filter(keys: DataFrame, column: str) -> Broadcast:
     Keys are taken by their low bits, so they should be hashes. An empty table gives an
     empty bitmap."""
     count = keys.count()
-    bits = 1 << min(MOST_BITS, max(16, (16 * count).bit_length()))
+    bits = 1 << min(MOST_BITS, max(16, (32 * count).bit_length()))
     part = min(bits, 1 << 20)
 
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -8,11 +8,12 @@ that start at anchors (about one position in 85) stand for all windows, and clas
 suffixes are refined in three rounds. In each, tasks exchange keys and counts only, and
 what is alone in its class leaves:
 
-1. suffixes by the anchor's k-gram;
-2. those by their whole stretch, the bytes of all windows that have this anchor: where
-   it recurs, every byte of it is repeated;
-3. where one k-gram has different stretches (the edges of repeated passages), by the
-   windows themselves, one stretch of each kind against the others.
+1. suffixes by the anchor's k-gram, then by their whole stretch, the bytes of all
+   windows that have this anchor: where it recurs, every byte of it is repeated;
+2. where one k-gram has different stretches (around an edit, or the edge of a repeated
+   passage), by groups of up to 16 neighbouring windows, first by the bytes all of them
+   share and then by all their bytes, one stretch of each kind against the others;
+3. where one group of windows has different bytes, by the windows themselves.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ LENGTH = 200
 GRAM = 32
 #: Windows that are worked on at once; longer texts go block by block.
 BLOCK = 1 << 20
+#: log2 of the windows of a group in the second round.
+GROUP_BITS = 4
 _POSITION_BITS = 24
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -85,7 +89,7 @@ def blocks(text: str | None, length: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def anchors(block: Block, size: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(k-gram hash, stretch hash, first window, windows) of each anchor of a block."""
+    """(k-gram hash, stretch hash, first window, windows, place) of each anchor of a block."""
     grams = block.hashes(slice(0, size - gram + 1), slice(gram, size + 1))
     mask = _U((1 << _POSITION_BITS) - 1)
     # The place in the low bits makes the leftmost of equal k-grams the least.
@@ -102,7 +106,7 @@ def anchors(block: Block, size: int, length: int, gram: int) -> tuple[np.ndarray
     at = place[first]
     stretch = block.hashes(first, first + count - 1 + length)
     shape = _mixed((at - first).astype(np.uint64) * _U(1 << 20) + count.astype(np.uint64))
-    return grams[at], _mixed(stretch ^ shape), first, count
+    return grams[at], _mixed(stretch ^ shape), first, count, at
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -118,7 +122,7 @@ def suffixes(keyed: DataFrame, text_col: str, length: int, gram: int) -> DataFra
             held, size = [], 0
             for key, text in zip(batch["key"], batch["text"], strict=True):
                 for offset, data in blocks(text, length):
-                    grams, stretches, first, count = anchors(Block(data), len(data), length, gram)
+                    grams, stretches, first, count, _ = anchors(Block(data), len(data), length, gram)
                     held.append((np.full(len(first), key), grams, stretches, first + offset, count))
                     size += len(first)
                 if size > 100_000:
@@ -137,46 +141,82 @@ def suffixes(keyed: DataFrame, text_col: str, length: int, gram: int) -> DataFra
     return rows.mapInPandas(cut, "key long, gram long, stretch long, first int, windows int")
 
 
-def windows_of(keyed: DataFrame, text_col: str, mixed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(window, stretch, at): hashes of all windows of the stretches whose k-gram has
-    several kinds of stretch, one stretch of each kind per task."""
-    wanted = key_filter(mixed, "gram")
+def groups_of(block: Block, chosen: np.ndarray, found: tuple[np.ndarray, ...], length: int) -> tuple[np.ndarray, ...]:
+    """Groups of neighbouring windows of the chosen anchors: (shared bytes, all bytes,
+    anchor, first window, windows). Groups are cut by distance from the anchor, so equal
+    windows fall into equal groups; at the ends of a stretch a group may be partial, but
+    what its windows share is taken as if it were whole."""
+    _, _, first, count, place = found
+    count = count[chosen]
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    window = np.repeat(first[chosen], count) + step
+    anchor = np.repeat(chosen, count)
+    number = (place[anchor] - window) >> GROUP_BITS
+    begins = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0))
+    n = np.diff(begins, append=len(window))
+    at, anchor, number = window[begins], anchor[begins], number[begins]
+    last = place[anchor] - (number << GROUP_BITS)
+    shared = block.hashes(last, last - (1 << GROUP_BITS) + 1 + length)
+    whole = block.hashes(at, at + n - 1 + length)
+    shape = _mixed((last - at).astype(np.uint64) * _U(1 << 20) + n.astype(np.uint64))
+    return shared, _mixed(whole ^ shape), anchor, at, n
+
+
+def _refined(
+    keyed: DataFrame,
+    text_col: str,
+    grams: Broadcast,
+    stretches: Broadcast,
+    groups: Broadcast | None,
+    length: int,
+    gram: int,
+) -> DataFrame:
+    """Second round: (shared, bytes, stretch, at, n), the groups of windows of some
+    stretches. Third, with ``groups``: (window, bytes, at), the windows of some groups.
+
+    Filters hold the k-grams in question and, for stretches and groups, a kind together
+    with one place that has it (stretch and key, bytes and stretch), so that the corpus
+    gives each kind once, but for what the filters mistake.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bitmap = wanted.value
-        seen: set[int] = set()
         for batch in batches:
             held, size = [], 0
-            for text in batch["text"]:
+            for key, text in zip(batch["key"].to_numpy().view(np.uint64), batch["text"], strict=True):
                 for _, data in blocks(text, length):
                     block = Block(data)
-                    grams, stretches, first, count = anchors(block, len(data), length, gram)
-                    fresh = np.flatnonzero(may_hold(bitmap, grams))
-                    fresh = np.array([k for k in fresh if not _known(seen, int(stretches[k]))], np.int64)
-                    if len(fresh):
-                        count = count[fresh]
-                        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                        start = np.repeat(first[fresh], count) + at
-                        held.append((block.hashes(start, start + length), np.repeat(stretches[fresh], count), at))
-                        size += len(at)
+                    found = anchors(block, len(data), length, gram)
+                    fresh = np.flatnonzero(may_hold(grams.value, found[0]))
+                    fresh = fresh[may_hold(stretches.value, found[1][fresh] ^ key)]
+                    if not len(fresh):
+                        continue
+                    shared, whole, anchor, at, n = groups_of(block, fresh, found, length)
+                    if groups is None:
+                        held.append((shared, whole, found[1][anchor], at - found[2][anchor], n))
+                    else:
+                        pick = np.flatnonzero(may_hold(groups.value, whole ^ found[1][anchor]))
+                        n = n[pick]
+                        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        start = np.repeat(at[pick], n) + step
+                        held.append((block.hashes(start, start + length), np.repeat(whole[pick], n), step))
+                    size += len(held[-1][0])
                 if size > 200_000:
                     yield _frame(held)
                     held, size = [], 0
             if held:
                 yield _frame(held)
 
-    def _known(seen: set[int], key: int) -> bool:
-        if key in seen:
-            return True
-        seen.add(key)
-        return False
-
     def _frame(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
-        window, stretch, at = (np.concatenate(x) for x in zip(*held, strict=True))
-        return pd.DataFrame({"window": window.view(np.int64), "stretch": stretch.view(np.int64), "at": at.astype(np.int16)})
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        return pd.DataFrame(
+            {k: x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int32) for k, x in zip(names, columns, strict=True)}
+        )
 
-    rows = keyed.select(F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, "window long, stretch long, at short")
+    names = ["shared", "bytes", "stretch", "at", "n"] if groups is None else ["window", "bytes", "at"]
+    kinds = {"at": "int", "n": "int"}
+    schema = ", ".join(f"{x} {kinds.get(x, 'long')}" for x in names)
+    rows = keyed.select(F.col("__key").alias("key"), F.col(text_col).alias("text"))
+    return rows.mapInPandas(cut, schema)
 
 
 def _runs(places: pd.Series) -> pd.Series:
@@ -201,11 +241,29 @@ def repeated_stretches(keyed: DataFrame, text_col: str, length: int, gram: int)
     often = mixed.groupBy("stretch").agg(F.count("*").alias("n")).where("n > 1").select("stretch")
     whole = alive.where("not mixed").unionByName(mixed.join(often, "stretch", "left_semi").select(*alive.columns))
 
-    windows = materialize(windows_of(keyed, text_col, grams.where("mixed"), length, gram), "windows")
-    shared = windows.groupBy("window").agg((F.min("stretch") != F.max("stretch")).alias("several"))
-    places = windows.join(shared.where("several"), "window").groupBy("stretch").agg(F.collect_set("at").alias("at"))
+    chosen = mixed.groupBy("stretch").agg(F.min("key").alias("key"))
+    chosen = materialize(chosen.select(F.col("stretch").bitwiseXOR(F.col("key")).alias("chosen")), "chosen")
+    filters = key_filter(grams.where("mixed"), "gram"), key_filter(chosen, "chosen")
+    groups = materialize(_refined(keyed, text_col, *filters, None, length, gram), "groups")
+    several = (F.min("stretch") != F.max("stretch")).alias("several")
+    repeated = groups.groupBy("bytes").agg(several).where("several").select("bytes")
+    unlike = (F.min("bytes") != F.max("bytes")).alias("unlike")
+    mixed_groups = groups.groupBy("shared").agg(unlike).where("unlike").select("shared")
+    picked = groups.join(mixed_groups, "shared", "left_semi").groupBy("bytes").agg(F.min("stretch").alias("stretch"))
+    picked = materialize(picked.select(F.col("bytes").bitwiseXOR(F.col("stretch")).alias("chosen")), "picked")
+    windows = _refined(keyed, text_col, *filters, key_filter(picked, "chosen"), length, gram)
+    windows = materialize(windows, "windows")
+    places = windows.join(windows.groupBy("window").agg(unlike).where("unlike"), "window")
     in_runs = F.pandas_udf(_runs, "array<struct<first:int,windows:int>>")
-    runs = places.select("stretch", F.explode(in_runs("at")).alias("run"))
+    places = places.groupBy("bytes").agg(F.collect_set("at").alias("at")).select("bytes", in_runs("at").alias("runs"))
+    found_runs = groups.join(repeated, "bytes", "left_semi").select("stretch", "at", F.lit(0).alias("f"), F.col("n").alias("w"))
+    found_runs = found_runs.unionByName(
+        groups.join(places, "bytes").select("stretch", "at", F.explode("runs").alias("r")).select(
+            "stretch", "at", F.col("r.first").alias("f"), F.col("r.windows").alias("w")
+        )
+    )
+    runs = found_runs.select("stretch", F.struct((F.col("at") + F.col("f")).alias("first"), F.col("w").alias("windows")).alias("run"))
+    runs = runs.distinct()
     edges = mixed.select("key", "stretch", F.col("first").alias("start")).join(runs, "stretch")
     return whole.select("key", "first", "windows").unionByName(
         edges.select("key", (F.col("start") + F.col("run.first")).alias("first"), F.col("run.windows").alias("windows"))

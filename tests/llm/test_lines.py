@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import pytest
 
+from feedlake.llm import keyfilter
 from feedlake.llm import lines as m
 from feedlake.llm.textrules import space_words
 
@@ -65,7 +66,8 @@ def test_against_brute_force(spark, similarity, vocabulary):
 
 
 def test_small_filter_changes_nothing(spark, monkeypatch):
-    monkeypatch.setattr(m, "FILTER_BITS", 3)
+    monkeypatch.setattr(keyfilter, "MOST_BITS", 3)
+    monkeypatch.setattr(m, "VERIFY_PAIRS", 3)
     rows = varied(5, 150, [f"w{i}" for i in range(30)])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(m.similar_lines(docs)) == plain(rows)
