@@ -9,16 +9,20 @@ met once, through the first line that has the set.
 
 from __future__ import annotations
 
+import operator
+import struct
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedlake.llm.keyfilter import key_filter, may_hold
 from feedlake.llm.textrules import space_words
 from feedlake.session import materialize
 
@@ -28,20 +32,31 @@ SIMILARITY = Fraction(4, 5)
 COUNTER_BITS = 18
 COUNTERS = 1 << COUNTER_BITS
 _PART = 1 << 12
-#: log2 of the greatest size, in bits, of the filter for lines that are candidates.
-FILTER_BITS = 27
+_HALVES = struct.Struct(">qq")
+_SHIFTS = np.arange(16, dtype=np.uint64) * np.uint64(4)
+#: Pairs that one task verifies together, on average.
+VERIFY_PAIRS = 200_000
 
 
-def word_hashes(line: str) -> np.ndarray:
+class Hashes(dict):
+    """Word hashes, each worked out once while it is held."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        number = self[word] = xxhash.xxh64_intdigest(word)
+        return number
+
+
+def word_hashes(line: str, known: Hashes) -> np.ndarray:
     """Distinct word hashes of a line, in no special order."""
     words = set(space_words(line))
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def set_key(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a word set."""
-    digest = xxhash.xxh3_128_digest(np.sort(hashes).tobytes())
-    return int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
+    """128 bits that stand for a word set, given by its sorted hashes."""
+    return _HALVES.unpack(xxhash.xxh3_128_digest(hashes.tobytes()))
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -53,18 +68,19 @@ def rarity(texts: DataFrame, text_col: str) -> Broadcast:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
+        known = Hashes()
         held: list[np.ndarray] = []
         size = 0
         for batch in batches:
             for text in batch["text"]:
                 for line in (text or "").split("\n"):
-                    held.append(_slots(word_hashes(line)))
+                    held.append(word_hashes(line, known))
                     size += len(held[-1])
                     if size > COUNTERS:
-                        total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                        total += np.bincount(_slots(np.concatenate(held)), minlength=COUNTERS)
                         held, size = [], 0
         if size:
-            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+            total += np.bincount(_slots(np.concatenate(held)), minlength=COUNTERS)
         for first in range(0, COUNTERS, _PART):
             yield pd.DataFrame({"first": [first], "n": [total[first : first + _PART].tobytes()]})
 
@@ -80,9 +96,17 @@ def rarity(texts: DataFrame, text_col: str) -> Broadcast:
 
 
 def _signature(hashes: np.ndarray) -> int:
-    """64 bits, one per word at most: two sets differ in at least as many words as bits."""
-    bits = int(np.bitwise_or.reduce(np.uint64(1) << (hashes & np.uint64(63))))
-    return bits - (1 << 64) if bits >> 63 else bits
+    """Sixteen counters of four bits: words by hash, 15 at most. The counters of two sets
+    differ by no more in all than the sets differ in words."""
+    counts = np.minimum(np.bincount((hashes & np.uint64(15)).astype(np.int64), minlength=16), 15)
+    packed = int((counts.astype(np.uint64) << _SHIFTS).sum())
+    return packed - (1 << 64) if packed >> 63 else packed
+
+
+def _apart(a: str, b: str) -> Column:
+    """Sum of the differences of two signatures' counters."""
+    nibble = lambda c, k: F.shiftrightunsigned(c, 4 * k).bitwiseAND(15)
+    return reduce(operator.add, (F.abs(nibble(a, k) - nibble(b, k)) for k in range(16)))
 
 
 def line_sets(docs: DataFrame, table: Broadcast, id_col: str, text_col: str, similarity: Fraction) -> DataFrame:
@@ -97,19 +121,22 @@ def line_sets(docs: DataFrame, table: Broadcast, id_col: str, text_col: str, sim
         counts = table.value
         names = ["id", "line", "hi", "lo", "n", "bits", "prefix"]
         seen: set[tuple[int, int]] = set()
+        known = Hashes()
         for batch in batches:
             out = []
             for i, text in zip(batch["id"].astype(object), batch["text"], strict=True):
                 i = None if pd.isna(i) else i
                 for number, line in enumerate((text or "").split("\n"), 1):
-                    hashes = word_hashes(line)
+                    hashes = word_hashes(line, known)
                     n = len(hashes)
                     if not n:
                         continue
+                    hashes.sort()
                     key, prefix = set_key(hashes), None
                     if key not in seen:
                         seen.add(key)
-                        order = np.lexsort((hashes, counts[_slots(hashes)]))
+                        # Sorted already, so a stable sort by count breaks ties by hash.
+                        order = np.argsort(counts[_slots(hashes)], kind="stable")
                         length = n + 1 + -n * similarity.numerator // similarity.denominator
                         prefix = hashes[order[:length]].astype(np.uint32).view(np.int32)
                     out.append((i, number, *key, n, _signature(hashes), prefix))
@@ -125,7 +152,8 @@ def line_sets(docs: DataFrame, table: Broadcast, id_col: str, text_col: str, sim
 
 
 def candidates(lines: DataFrame, similarity: Fraction) -> DataFrame:
-    """(a, b): keys (lo) of sets that pass all filters, each pair once, a below b.
+    """(a, b, word): keys (lo) of sets that pass all filters, each pair once, a below b,
+    and the least prefix word they share.
 
     One shuffle by prefix word serves both sides of the join; sets that several tasks
     have given are made one behind it.
@@ -141,77 +169,80 @@ def candidates(lines: DataFrame, similarity: Fraction) -> DataFrame:
     both = F.col("a_n") + F.col("b_n")
     # Overlap needed, times num + den; what is left after the first shared word bounds it.
     rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    apart = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits")))
+    apart = _apart("a_bits", "b_bits")
     like_sizes = F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num
     positional = rest * (num + den) >= both * num
-    bitmap = (both - apart) * (num + den) >= both * (2 * num)
-    pairs = a.join(b, "word").where((F.col("a_lo") < F.col("b_lo")) & like_sizes & positional & bitmap)
-    return pairs.select(F.col("a_lo").alias("a"), F.col("b_lo").alias("b")).distinct()
-
-
-def _filter_of(keys: DataFrame) -> Broadcast:
-    """A bitmap that holds the keys ``lo``, at most FILTER_BITS large. With more keys than
-    it can tell apart it lets more lines through, never fewer."""
-    count = keys.count()
-    bits = 1 << min(FILTER_BITS, max(16, (16 * count).bit_length()))
-    part = min(bits, 1 << 20)
-
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks = np.zeros(bits, bool)
-        for batch in batches:
-            marks[batch["lo"].to_numpy() & (bits - 1)] = True
-        for first in range(0, bits, part):
-            if marks[first : first + part].any():
-                yield pd.DataFrame({"first": [first], "marks": [np.packbits(marks[first : first + part]).tobytes()]})
-
-    def unite(group: pd.DataFrame) -> pd.DataFrame:
-        marks = np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in group["marks"]])
-        return pd.DataFrame({"first": group["first"][:1], "marks": [marks.tobytes()]})
-
-    table = np.zeros(bits, bool)
-    marked = keys.select("lo").mapInPandas(mark, "first int, marks binary")
-    for row in marked.groupBy("first").applyInPandas(unite, "first int, marks binary").collect():
-        table[row["first"] : row["first"] + part] = np.unpackbits(np.frombuffer(row.marks, np.uint8))[:part].astype(bool)
-    return keys.sparkSession.sparkContext.broadcast(np.packbits(table))
+    signature = (both - apart) * (num + den) >= both * (2 * num)
+    pairs = a.join(b, "word").where((F.col("a_lo") < F.col("b_lo")) & like_sizes & positional & signature)
+    return pairs.groupBy(F.col("a_lo").alias("a"), F.col("b_lo").alias("b")).agg(F.min("word").alias("word"))
 
 
 def similar_pairs(docs: DataFrame, lines: DataFrame, text_col: str, similarity: Fraction) -> DataFrame:
-    """(a_hi, a_lo, b_hi, b_lo): sets with the similarity, each pair once. The words of
-    candidates, and of no other lines but what the filter mistakes for them, are shuffled."""
+    """(a_hi, a_lo, b_hi, b_lo): sets with the similarity, each pair once.
+
+    Only the texts of candidates are shuffled, and of what the filter mistakes for them.
+    Pairs meet their texts by a prefix word they share: members of one family share few
+    such words, so a text travels once or twice, not once per partner.
+    """
     pairs = materialize(candidates(lines, similarity), "candidates")
-    wanted = pairs.select(F.col("a").alias("lo")).unionByName(pairs.select(F.col("b").alias("lo"))).distinct()
-    wanted = materialize(wanted, "wanted")
-    marks = _filter_of(wanted)
+    ends = pairs.select(F.col("a").alias("lo"), "word").unionByName(pairs.select(F.col("b").alias("lo"), "word"))
+    wanted = materialize(ends.distinct(), "wanted")
+    marks = key_filter(wanted, "lo")
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = marks.value
-        mask = len(table) * 8 - 1
+    def texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[int, int]] = set()
+        known = Hashes()
+        texts: list[str] = []
+        keys: list[tuple[int, int]] = []
+
+        def flush() -> pd.DataFrame:
+            fresh = []
+            for k in np.flatnonzero(may_hold(marks.value, np.array([k[1] for k in keys]))):
+                if keys[k] not in seen:
+                    seen.add(keys[k])
+                    fresh.append((*keys[k], texts[k]))
+            texts.clear()
+            keys.clear()
+            return pd.DataFrame(fresh, columns=["hi", "lo", "text"])
+
         for batch in batches:
-            out = []
             for text in batch["text"]:
                 for line in (text or "").split("\n"):
-                    hashes = word_hashes(line)
-                    key = set_key(hashes)
-                    slot = key[1] & mask
-                    if len(hashes) and table[slot >> 3] >> (7 - (slot & 7)) & 1 and key not in seen:
-                        seen.add(key)
-                        out.append((*key, hashes.view(np.int64)))
-                if len(out) > 5_000:
-                    yield pd.DataFrame(out, columns=["hi", "lo", "words"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["hi", "lo", "words"])
+                    hashes = word_hashes(line, known)
+                    if len(hashes):
+                        hashes.sort()
+                        texts.append(line)
+                        keys.append(set_key(hashes))
+                if len(keys) > 4_000:
+                    yield flush()
+        if keys:
+            yield flush()
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(texts_of, "hi long, lo long, text string")
+    rows = rows.join(wanted.select("lo").distinct(), "lo", "left_semi").dropDuplicates(["lo", "hi"])
+    sets = materialize(rows, "texts")
+
+    parts = max(1, -(-pairs.count() // VERIFY_PAIRS))
+    part = F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("part")
+    placed = sets.join(wanted.select("lo", part).distinct(), "lo").select("part", "hi", "lo", "text")
+    num, den = similarity.numerator, similarity.denominator
 
-    texts = docs.select(F.col(text_col).alias("text"))
-    words_of = texts.mapInPandas(words, "hi long, lo long, words array<long>").join(wanted, "lo", "left_semi")
-    words_of = materialize(words_of.dropDuplicates(["lo", "hi"]), "words")
-    a = words_of.select(F.col("hi").alias("a_hi"), F.col("lo").alias("a"), F.col("words").alias("a_words"))
-    b = words_of.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b"), F.col("words").alias("b_words"))
-    shared = F.size(F.array_intersect("a_words", "b_words"))
-    union = F.size("a_words") + F.size("b_words") - shared
-    verified = pairs.join(a, "a").join(b, "b").where(shared * similarity.denominator >= union * similarity.numerator)
-    return verified.select("a_hi", F.col("a").alias("a_lo"), "b_hi", F.col("b").alias("b_lo"))
+    def verify(pair: pd.DataFrame, line: pd.DataFrame) -> pd.DataFrame:
+        words: dict[int, list[tuple[int, set[bytes]]]] = {}
+        for hi, lo, text in zip(line["hi"], line["lo"], line["text"], strict=True):
+            words.setdefault(lo, []).append((hi, set(space_words(text))))
+        out = []
+        for a, b in zip(pair["a"], pair["b"], strict=True):
+            for a_hi, x in words.get(a, ()):
+                for b_hi, y in words.get(b, ()):
+                    shared = len(x & y)
+                    if shared * den >= (len(x) + len(y) - shared) * num:
+                        out.append((a_hi, a, b_hi, b))
+        return pd.DataFrame(out, columns=["a_hi", "a_lo", "b_hi", "b_lo"])
+
+    asked = pairs.select(part.alias("of_part"), "a", "b")
+    together = asked.groupBy("of_part").cogroup(placed.groupBy("part"))
+    return together.applyInPandas(verify, "a_hi long, a_lo long, b_hi long, b_lo long")
 
 
 def similar_lines(
@@ -267,14 +298,15 @@ def drop_later_lines(
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        out = []
+        out, known = [], Hashes()
         for text, marks in zip(texts, removed, strict=True):
             if text is not None and marks is not None:
                 lines = text.split("\n")
                 drop = {
                     x["line"] - 1
                     for x in marks
-                    if x["line"] <= len(lines) and set_key(word_hashes(lines[x["line"] - 1])) == (x["hi"], x["lo"])
+                    if x["line"] <= len(lines)
+                    and set_key(np.sort(word_hashes(lines[x["line"] - 1], known))) == (x["hi"], x["lo"])
                 }
                 text = "\n".join(line for k, line in enumerate(lines) if k not in drop)
             out.append(text)
