@@ -4,7 +4,8 @@ Each DOM node gets its characters per tag, adjusted for links; a container's sum
 the densities of its children. The container with the greatest sum is the content,
 and the least density on the path from the body to it is the threshold that any
 other part must reach to join it. Menus, adverts, forms and the like, which their
-tag, role or class names, are no content whatever their density.
+tag, role or class names, are no content; but a name never takes away the part that
+holds most of the page's text outside links, nor all text there is.
 """
 
 from __future__ import annotations
@@ -41,6 +42,14 @@ MARKS = frozenset(
     "sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split()
 )
 COMMENTS = frozenset("comment commentlist comments disqus respond responses".split())
+#: Long texts of these are still not the article while any other text is there.
+ASIDES = COMMENTS | frozenset("consent cookie cookies gdpr modal popup".split())
+#: Words beside a mark that do not change what it says: "comment-list" is marked,
+#: "content-with-comments" and "has-sidebar" are only likely to be.
+FILLERS = frozenset(
+    "area articles block bottom box buttons col column container content group inner item items left links list main "
+    "news outer panel post posts primary right row secondary section site stories thread top wrap wrapper".split()
+)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -56,23 +65,34 @@ class Node:
 
 
 def _why_dropped(tag: str, attrs: list[tuple[str, str | None]], inside: bool) -> str:
-    """'tag' or 'name' for an element that is no content; 'name' gives way to an
-    article inside. ``inside``: within an article or main element."""
+    """Why an element may be no content: 'tag' is final, 'name' gives way to an article
+    inside or to nearly all the text, 'hint' also to most of it, and 'last' to an article
+    inside or when nothing else is left. ``inside``: within an article or main element."""
     if tag in DROPPED or tag == "header" and not inside:
         return "tag"
-    if tag == "form":
-        return "name"
+    if tag in ("body", "html"):
+        return ""
+    why = "hint" if tag == "form" else ""
+    marks = COMMENTS if tag == "article" else MARKS if inside else MARKS | {"header"}
     for key, value in attrs:
         value = value or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
-            return "name"
+            return "last"
         if key == "role" and value.lower() in ROLES:
-            return "name"
-        if key in ("class", "id") and tag not in ("body", "html", "main"):
-            words = {w.lower() for w in _WORD.findall(value)}
-            if words & (COMMENTS if tag == "article" else MARKS) or "header" in words and not inside:
-                return "name"
-    return ""
+            if value.lower() in ("alert", "alertdialog", "dialog"):
+                return "last"
+            why = "hint" if value.lower() == "form" and why != "name" else "name"
+        if key in ("class", "id") and tag != "main":
+            for token in value.split():
+                words = {w.lower() for w in _WORD.findall(token)}
+                if found := words & marks:
+                    if words <= MARKS | FILLERS | {"header"}:
+                        if found & ASIDES:
+                            return "last"
+                        why = "name"
+                    else:
+                        why = why or "hint"
+    return why
 
 
 class Tree(HTMLParser):
@@ -136,24 +156,65 @@ def _in_order(top: Node) -> list[Node]:
     return nodes
 
 
+def _without(root: Node, gone: set[int]) -> None:
+    for node in _in_order(root):
+        node.parts = [x for x in node.parts if isinstance(x, str) or id(x) not in gone]
+
+
+def _body(root: Node) -> Node:
+    return next((n for n in _in_order(root) if n.tag == "body"), root)
+
+
 def _prune(root: Node) -> None:
+    """Take out what is no content by name. What is marked beyond doubt goes first, so
+    that long asides do not hide how much of the rest a doubtful part holds."""
     nodes = _in_order(root)
     holds = {id(n): n.tag in ("article", "main") and not n.dropped for n in nodes}
     for node in reversed(nodes):
         if node.parent is not None and holds[id(node)]:
             holds[id(node.parent)] = True
-    for node in reversed(nodes):
-        node.parts = [
-            x
-            for x in node.parts
-            if isinstance(x, str) or not x.dropped or x.dropped == "name" and holds[id(x)]
-        ]
+    doubtful = [n for n in nodes if n.dropped and not holds[id(n)]]
+    for kind in ("last", "name", "hint"):
+        named = [n for n in doubtful if n.dropped == kind]
+        if not named:
+            continue
+        if kind == "last":
+            _without(root, {id(n) for n in named})
+            continue
+        body = _body(root)
+        within = _measure(body)
+        whole = body.chars - body.link_chars
+        kept: set[int] = set()
+        if kind == "name":
+            # An article elsewhere that has text is the content; names are right then.
+            if not any(n.tag in ("article", "main") and not n.dropped and n.chars > n.link_chars for n in within):
+                kept = {id(n) for n in within if 10 * (n.chars - n.link_chars) >= 9 * max(whole, 1)}
+        else:
+            kept = {id(n) for n in within if 2 * (n.chars - n.link_chars) > whole}
+            at: Node | None = max((n for n in within if n is body or n.tag in CONTAINERS), key=lambda n: n.total)
+            while at is not None:
+                if 3 * (at.chars - at.link_chars) > whole:
+                    kept.add(id(at))
+                at = at.parent
+        _without(root, {id(n) for n in named} - kept)
+
+
+def _parse(page: str) -> Node:
+    """The tree of a page without the elements that their tag rules out."""
+    tree = Tree()
+    tree.feed(page)
+    tree.close()
+    nodes = _in_order(tree.root)
+    _without(tree.root, {id(n) for n in nodes if n.dropped == "tag"})
+    return tree.root
 
 
-def _measure(root: Node, body: Node) -> list[Node]:
+def _measure(body: Node) -> list[Node]:
     """Densities of all nodes below the body, in page order."""
     nodes = _in_order(body)
     for node in reversed(nodes):
+        node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         node.chars = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
         for x in node.parts:
             if isinstance(x, Node):
@@ -220,13 +281,16 @@ def main_text(html: str | None) -> str:
     """Blocks of the main text joined by line feeds; empty for an empty or null page."""
     if not html:
         return ""
-    tree = Tree()
-    tree.feed(_whole_markup(html))
-    tree.close()
-    _prune(tree.root)
-    bodies = [n for n in _in_order(tree.root) if n.tag == "body"]
-    body = bodies[0] if bodies else tree.root
-    nodes = _measure(tree.root, body)
+    page = _whole_markup(html)
+    root = _parse(page)
+    _prune(root)
+    body = _body(root)
+    nodes = _measure(body)
+    if not body.chars:
+        # Names left nothing: they do not say what is content here.
+        root = _parse(page)
+        body = _body(root)
+        nodes = _measure(body)
     if not body.chars:
         return ""
     candidates = [n for n in nodes if n is body or n.tag in CONTAINERS]
@@ -259,7 +323,7 @@ def main_text(html: str | None) -> str:
             blocks += _blocks(node)
         else:
             todo.extend(x for x in reversed(node.parts) if isinstance(x, Node))
-    if best is tree.root or not blocks:
+    if best is root or not blocks:
         blocks = _blocks(body)
     return "\n".join(blocks)
 

@@ -31,6 +31,26 @@ PAGES = {
 }
 
 
+STORY = f"<p>{A}</p><p>{B}</p><p>{C}</p>"
+NAMED = {
+    "form around divs": f"<body><form id=aspnetForm><div>{MENU}</div><div>{STORY}</div></form></body>",
+    "form, leftover": f"<body><form id=aspnetForm><div>{STORY}</div></form><div><p>All rights kept.</p></div></body>",
+    "has-sidebar": f'<body><div class="layout has-sidebar"><div>{STORY}</div><div class="sidebar"><p>{A}</p></div></div></body>',
+    "with comments": f'<body><div id="content-with-comments"><div>{STORY}</div><div id="comments">{STORY * 4}</div></div></body>',
+    "fixed header": f'<body><div class="page-header-fixed"><div>{STORY}</div></div></body>',
+    "article has-comments": f'<body><div>{MENU}</div><article class="post has-comments">{STORY}</article></body>',
+    "long comments": f'<body><div class="text">{STORY}</div><div id="comments">{STORY * 9}</div></body>',
+    "only a widget": f'<body><div class="widget"><div>{STORY}</div></div><div><p>All rights kept.</p></div></body>',
+    "only comments": f'<body><div id="comments">{STORY}</div></body>',
+    "hidden body": f'<body style="visibility:hidden"><div>{STORY}</div></body>',
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_names_do_not_take_the_article_away(name):
+    assert main_text(NAMED[name]) == f"{A}\n{B}\n{C}"
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_designs(name):
     page, want = PAGES[name]
