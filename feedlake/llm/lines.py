@@ -34,7 +34,7 @@ COUNTERS = 1 << COUNTER_BITS
 _PART = 1 << 12
 _HALVES = struct.Struct(">qq")
 _SHIFTS = np.arange(16, dtype=np.uint64) * np.uint64(4)
-#: Pairs that one task verifies together, on average.
+#: Pairs that are verified together, on average; a word with more is split.
 VERIFY_PAIRS = 200_000
 
 
@@ -177,12 +177,34 @@ def candidates(lines: DataFrame, similarity: Fraction) -> DataFrame:
     return pairs.groupBy(F.col("a_lo").alias("a"), F.col("b_lo").alias("b")).agg(F.min("word").alias("word"))
 
 
+def verify_parts(pairs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(part, a, b) of all pairs, and (part, lo): the sets that each part needs.
+
+    Pairs are dealt by their word. One with more than ``size`` pairs is a grid, split by
+    hashes of both ends, so that k times k cells cost each of its texts 2 k copies.
+    """
+    heavy = pairs.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > size)
+    side = F.ceil(F.sqrt(F.col("n") / size)).cast("int").alias("side")
+    heavy = materialize(heavy.select("word", side), "heavy")
+    parts = max(1, -(-pairs.count() // size))
+    row = column = F.lit(0)
+    if not heavy.isEmpty():
+        # Broadcast: at most one row for every ``size`` pairs; a shuffle would put a word in one task.
+        pairs = pairs.join(F.broadcast(heavy), "word", "left")
+        side = F.coalesce("side", F.lit(1))
+        row, column = F.pmod(F.xxhash64("a"), side), F.pmod(F.xxhash64("b"), side)
+    part = F.pmod(F.xxhash64("word", row, column), F.lit(parts)).cast("int").alias("part")
+    dealt = pairs.select(part, "a", "b")
+    ends = dealt.select("part", F.explode(F.array("a", "b")).alias("lo")).distinct()
+    return dealt, ends
+
+
 def similar_pairs(docs: DataFrame, lines: DataFrame, text_col: str, similarity: Fraction) -> DataFrame:
     """(a_hi, a_lo, b_hi, b_lo): sets with the similarity, each pair once.
 
     Only the texts of candidates are shuffled, and of what the filter mistakes for them.
-    Pairs meet their texts by a prefix word they share: members of one family share few
-    such words, so a text travels once or twice, not once per partner.
+    Pairs meet their texts by a prefix word they share, in parts of bounded size (see
+    verify_parts), so a text travels a few times, not once per partner.
     """
     pairs = materialize(candidates(lines, similarity), "candidates")
     ends = pairs.select(F.col("a").alias("lo"), "word").unionByName(pairs.select(F.col("b").alias("lo"), "word"))
@@ -222,9 +244,8 @@ def similar_pairs(docs: DataFrame, lines: DataFrame, text_col: str, similarity:
     rows = rows.join(wanted.select("lo").distinct(), "lo", "left_semi").dropDuplicates(["lo", "hi"])
     sets = materialize(rows, "texts")
 
-    parts = max(1, -(-pairs.count() // VERIFY_PAIRS))
-    part = F.pmod(F.xxhash64("word"), F.lit(parts)).cast("int").alias("part")
-    placed = sets.join(wanted.select("lo", part).distinct(), "lo").select("part", "hi", "lo", "text")
+    dealt, needed = verify_parts(pairs, VERIFY_PAIRS)
+    placed = sets.join(needed, "lo").select("part", "hi", "lo", "text")
     num, den = similarity.numerator, similarity.denominator
 
     def verify(pair: pd.DataFrame, line: pd.DataFrame) -> pd.DataFrame:
@@ -240,7 +261,7 @@ def similar_pairs(docs: DataFrame, lines: DataFrame, text_col: str, similarity:
                         out.append((a_hi, a, b_hi, b))
         return pd.DataFrame(out, columns=["a_hi", "a_lo", "b_hi", "b_lo"])
 
-    asked = pairs.select(part.alias("of_part"), "a", "b")
+    asked = dealt.withColumnRenamed("part", "of_part")
     together = asked.groupBy("of_part").cogroup(placed.groupBy("part"))
     return together.applyInPandas(verify, "a_hi long, a_lo long, b_hi long, b_lo long")
 
@@ -288,13 +309,41 @@ def similar_lines(
     )
 
 
+def nameless_marks(rows: DataFrame, gone: DataFrame, text_col: str) -> DataFrame:
+    """(__row, __gone): of each row without an id, by its row key, the lines in ``gone``
+    (line, hi, lo). Such rows share one id, null, so their lines are met by what they
+    hold and no list is longer than its text has lines."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Hashes()
+        names = ["__row", "line", "hi", "lo"]
+        for batch in batches:
+            out = []
+            for row, text in zip(batch["__row"], batch["text"], strict=True):
+                for number, line in enumerate((text or "").split("\n"), 1):
+                    hashes = word_hashes(line, known)
+                    if len(hashes):
+                        out.append((row, number, *set_key(np.sort(hashes))))
+                if len(out) > 20_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    texts = rows.select("__row", F.col(text_col).alias("text"))
+    lines = texts.mapInPandas(cut, "__row long, line int, hi long, lo long")
+    found = lines.join(gone.select("line", "hi", "lo"), ["line", "hi", "lo"], "left_semi")
+    return found.groupBy("__row").agg(F.collect_list(F.struct("line", "hi", "lo")).alias("__gone"))
+
+
 def drop_later_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = SIMILARITY
 ) -> DataFrame:
     """``docs`` without the lines that similar_lines removes; all rows stay, a text whose
     lines all go becomes empty. A column n_chars, if there, follows the text."""
-    gone = similar_lines(docs, id_col, text_col, similarity).where("removed")
-    gone = gone.groupBy(F.col("id").alias("__gone_id")).agg(F.collect_list(F.struct("line", "hi", "lo")).alias("__gone"))
+    gone = similar_lines(docs, id_col, text_col, similarity).where("removed").select("id", "line", "hi", "lo")
+    marks = F.collect_list(F.struct("line", "hi", "lo")).alias("__gone")
+    named = gone.where("id is not null").groupBy(F.col("id").alias("__gone_id")).agg(marks)
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
@@ -312,7 +361,16 @@ def drop_later_lines(
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone_id")), "left")
+    nameless = docs.where(F.col(id_col).isNull())
+    if nameless.isEmpty():
+        joined = docs.join(named, F.col(id_col) == F.col("__gone_id"), "left")
+    else:
+        gone = materialize(gone, "gone")
+        marked = gone.where("id is not null").groupBy(F.col("id").alias("__gone_id")).agg(marks)
+        joined = docs.where(F.col(id_col).isNotNull()).join(marked, F.col(id_col) == F.col("__gone_id"), "left")
+        rows = materialize(nameless.withColumn("__row", F.monotonically_increasing_id()), "nameless")
+        own = nameless_marks(rows, gone.where("id is null"), text_col)
+        joined = joined.drop("__gone_id").unionByName(rows.join(own, "__row", "left").drop("__row"))
     changed = joined.withColumn(text_col, without(F.col(text_col), F.col("__gone")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from feedlake.llm import keyfilter
 from feedlake.llm import lines as m
@@ -99,3 +101,29 @@ def test_odd_rows_and_removal(spark):
     empty = docs.where("false")
     assert m.similar_lines(empty).count() == 0
     assert m.drop_later_lines(empty).count() == 0
+
+
+def test_pairs_of_one_word_are_split(spark):
+    rows = [(a, b, 7) for a, b in itertools.combinations(range(200), 2)] + [(a, a + 1, a) for a in range(1000, 1300)]
+    pairs = spark.createDataFrame(rows, "a long, b long, word int")
+    dealt, needed = m.verify_parts(pairs, 500)
+    got = [tuple(r) for r in dealt.collect()]
+    assert sorted(r[1:] for r in got) == sorted(r[:2] for r in rows)
+    largest = max(Counter(r[0] for r in got).values())
+    assert largest < 3 * 500
+    assert {tuple(r) for r in needed.collect()} == {(p, x) for p, *ends in got for x in ends}
+    assert needed.count() < 200 * 2 * 8 + 2 * 300
+
+
+def test_rows_without_an_id_get_their_own_lines(spark):
+    texts = [f"only here number {k} word{k} again{k}\nshared line of some words\nclose to w{k} x{k} y{k} z{k}" for k in range(60)]
+    rows = [(None, t) for t in texts] + [(None, "shared line of some words\nshared line of some words"), (1, "shared line of some words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone = {(r[0], r[1]) for r in plain(rows) if r[-1] and r[0] is None}
+    assert gone == {(None, 2)}
+    want = ["\n".join(x for k, x in enumerate(t.split("\n"), 1) if k != 2) for t in texts]
+    want += ["shared line of some words", ""]
+    assert sorted(r.text for r in m.drop_later_lines(docs).collect()) == sorted(want)
+    keyed = docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id()).localCheckpoint()
+    marks = m.nameless_marks(keyed, m.similar_lines(docs).where("removed and id is null"), "text")
+    assert {len(r["__gone"]) for r in marks.collect()} == {1}
