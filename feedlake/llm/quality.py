@@ -26,12 +26,14 @@ WINDOWS = (CHUNK - WIDTH) // STEP + 1
 #: Chunks that are worked on at once.
 BLOCK = 256
 
-#: Bounds of the training sample: labelled rows, and characters of each (half from
-#: its start, half from its end). Scoring has no such bounds.
+#: Bounds of the training sample: labelled rows, and bytes of their texts in all, which
+#: are whole; the last one may exceed it. Scoring has no such bounds.
 TRAIN_ROWS = 4000
-TRAIN_CHARS = 6000
+TRAIN_BYTES = 32 << 20
 STEPS = 800
 BATCH = 32
+#: Chunks that training goes over in all; longer texts get fewer passes, one at least.
+TRAIN_CHUNKS = STEPS * BATCH * 32
 RATE = 3e-3
 
 Weights = dict[str, np.ndarray]
@@ -117,14 +119,21 @@ def initial(seed: int = 7) -> Weights:
 
 
 def gradients(w: Weights, parts: list[np.ndarray], labels: np.ndarray) -> Weights:
-    """Mean gradient of the log loss over a few documents given as chunk blocks."""
+    """Mean gradient of the log loss over a few documents given as chunk blocks.
+
+    Responses of BLOCK chunks are held at once; of each chunk only the winners of the
+    max-pooling are kept, so documents may be of any length."""
     lengths = np.array([len(p) for p in parts])
     block = np.concatenate(parts)
     doc = np.repeat(np.arange(len(parts)), lengths)
     starts = np.cumsum(lengths) - lengths
-    flat, responses = _responses(w, block)
-    where = responses.argmax(axis=1)
-    raw = np.take_along_axis(responses, where[:, None], axis=1)[:, 0] + w["bias"]
+    slices = [slice(k, k + BLOCK) for k in range(0, len(block), BLOCK)]
+    where = np.empty((len(block), FILTERS), np.int64)
+    raw = np.empty((len(block), FILTERS), w["filters"].dtype)
+    for part in slices:
+        responses = _responses(w, block[part])[1]
+        where[part] = responses.argmax(axis=1)
+        raw[part] = np.take_along_axis(responses, where[part][:, None], axis=1)[:, 0] + w["bias"]
     pooled = np.maximum(raw, 0)
     inner = pooled @ w["hidden"] + w["hidden_bias"]
     described = np.maximum(inner, 0)
@@ -142,12 +151,15 @@ def gradients(w: Weights, parts: list[np.ndarray], labels: np.ndarray) -> Weight
     g["hidden"], g["hidden_bias"] = pooled.T @ d_inner, d_inner.sum(axis=0)
     d_raw = (d_inner @ w["hidden"].T) * (raw > 0)
     g["bias"] = d_raw.sum(axis=0)
-    picked = flat[np.arange(len(block))[:, None], where]
-    g["filters"] = np.einsum("nfd,nf->df", picked, d_raw)
-    d_window = (d_raw[:, :, None] * w["filters"].T).reshape(-1, EMBED)
-    position = where[:, :, None] * STEP + np.arange(WIDTH)
-    used = block[np.arange(len(block))[:, None, None], position].ravel()
-    g["embed"] = np.stack([np.bincount(used, d_window[:, e], 256) for e in range(EMBED)], axis=1)
+    g["filters"], g["embed"] = np.zeros_like(w["filters"]), np.zeros_like(w["embed"])
+    for part in slices:
+        chunk, d = block[part], d_raw[part]
+        position = where[part][:, :, None] * STEP + np.arange(WIDTH)
+        used = chunk[np.arange(len(chunk))[:, None, None], position]
+        picked = w["embed"][used].reshape(len(chunk), FILTERS, WIDTH * EMBED)
+        g["filters"] += np.einsum("nfd,nf->df", picked, d)
+        d_window = (d[:, :, None] * w["filters"].T).reshape(-1, EMBED)
+        g["embed"] += np.stack([np.bincount(used.ravel(), d_window[:, e], 256) for e in range(EMBED)], axis=1).astype(raw.dtype)
     return {k: v.astype(np.float32) for k, v in g.items()}
 
 
@@ -165,11 +177,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Weights:
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     order: list[int] = []
-    for step in range(1, STEPS + 1):
-        if len(order) < BATCH:
+    size = min(BATCH, len(parts))
+    affordable = int(TRAIN_CHUNKS / (size * np.mean([len(p) for p in parts])))
+    steps = min(STEPS, max(affordable, -(-len(parts) // size)))
+    for step in range(1, steps + 1):
+        if len(order) < size:
             order += rng.permutation(len(parts)).tolist()
-        batch, order = order[:BATCH], order[BATCH:]
-        rate = RATE * (1 - 0.9 * step / STEPS)
+        batch, order = order[:size], order[size:]
+        rate = RATE * (1 - 0.9 * step / steps)
         for k, g in gradients(w, [parts[i] for i in batch], y[batch]).items():
             first[k] += 0.1 * (g - first[k])
             second[k] += 0.001 * (g * g - second[k])
@@ -181,7 +196,8 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Weights:
 def training_rows(
     docs: DataFrame, labels: DataFrame, learn: Column | None = None, rows: int = TRAIN_ROWS
 ) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts, chosen by a hash of the id.
+    """At most ``rows`` labelled texts, whole, in the order of a hash of the id until
+    they have TRAIN_BYTES.
 
     ``learn`` is a condition on doc_id for rows that may be learned from. Labels that
     are null, other than 0 and 1 or without a document are passed over.
@@ -191,13 +207,17 @@ def training_rows(
         sample = sample.where(learn)
     sample = sample.select("doc_id", "quality").distinct()
     sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
-    half = TRAIN_CHARS // 2
     text = F.coalesce("text", F.lit(""))
-    cut = F.when(F.length(text) <= TRAIN_CHARS, text).otherwise(
-        F.concat(F.substring(text, 1, half), F.substring(text, -half, half))
-    )
     # Broadcast: at most ``rows`` ids and labels.
-    found = docs.select("doc_id", cut.alias("text")).join(F.broadcast(sample), "doc_id")
+    sized = docs.select("doc_id", F.octet_length(text).alias("size")).join(F.broadcast(sample), "doc_id")
+    sized = sized.groupBy("doc_id", "quality").agg(F.max("size").cast("long").alias("size"))
+    sized = sized.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").collect()
+    before = np.cumsum([0, *(r.size for r in sized)])[:-1]
+    chosen = [(r.doc_id, r.quality) for r, size in zip(sized, before, strict=True) if size < TRAIN_BYTES]
+    if not chosen:
+        return [], []
+    kept = docs.sparkSession.createDataFrame(chosen, sample.schema)
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(kept), "doc_id")
     got = found.dropDuplicates(["doc_id", "quality"]).limit(rows).collect()
     got.sort(key=lambda r: (r.doc_id, r.quality))
     return [r.text for r in got], [r.quality for r in got]

@@ -92,3 +92,27 @@ def test_odd_rows(spark):
     assert q.keep_good(docs.where("false"), w).count() == 0
     untrained = q.fit(docs, labels.where("false"))
     assert [r.s for r in docs.select(q.scorer(untrained, docs.text).alias("s")).collect()] == pytest.approx([0.5] * 6)
+
+
+def test_training_texts_are_whole(spark, monkeypatch):
+    texts = {i: f"{i} " * 2_000 + f"middle{i} " + "tail " * 3_000 for i in range(30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    got, _ = q.training_rows(docs, labels)
+    assert sorted(got) == sorted(texts.values())
+    monkeypatch.setattr(q, "TRAIN_BYTES", 100_000)
+    fewer, marks = q.training_rows(docs, labels)
+    assert set(fewer) < set(got) and len(fewer) == len(marks)
+    assert 100_000 <= sum(map(len, fewer)) < 100_000 + max(map(len, got))
+
+
+def test_blocks_do_not_change_gradients(monkeypatch):
+    rng = np.random.default_rng(6)
+    w = {k: v.astype(np.float64) for k, v in q.initial().items()}
+    w["out"][:] = rng.normal(size=2 * q.HIDDEN)
+    parts = [q.chunks("".join(map(chr, rng.integers(32, 127, n)))) for n in (30, 70_000, 9_000)]
+    labels = np.array([1.0, 0.0, 1.0])
+    whole = q.gradients(w, parts, labels)
+    monkeypatch.setattr(q, "BLOCK", 7)
+    for name, values in q.gradients(w, parts, labels).items():
+        assert np.allclose(values, whole[name], atol=1e-6), name
