@@ -38,7 +38,8 @@ def line_ctes(docs: str = "documents") -> str:
 split AS (SELECT doc_id, string_split({lower}, chr(10)) AS ls FROM {docs} WHERE text IS NOT NULL),
 numbered AS (SELECT doc_id, unnest(ls) AS l, unnest(range(1, len(ls) + 1)) AS line FROM split),
 worded AS (SELECT DISTINCT doc_id, line,
-                  list_sort(list_distinct(regexp_extract_all(l, '[^ 	-]+'))) AS ws FROM numbered),
+                  list_sort(list_distinct(regexp_extract_all(l, '[^ 	-
+]+'))) AS ws FROM numbered),
 lines AS (SELECT * FROM worded WHERE len(ws) > 0),
 sets AS (SELECT ws, len(ws) AS n, arg_min(doc_id, (doc_id, line)) AS first_id, arg_min(line, (doc_id, line)) AS first_line,
                 row_number() OVER () AS s FROM lines GROUP BY ws),
@@ -113,6 +114,73 @@ SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, pass::INTEGER AS pass, bloc
        md5(concat_ws('|', 'mix', pass, source, block)) AS order_key FROM passed"""
 
 
+def resample_sql(docs: str = "documents") -> str:
+    """crc32 is worked out byte by byte, for each word once."""
+    byte = "('0x' || substr(h, 2 * i - 1, 2))::BIGINT"
+    table = "CASE WHEN t & 1 = 1 THEN xor(t >> 1, 3988292384) ELSE t >> 1 END"
+    return rf"""
+WITH RECURSIVE poly AS (
+  SELECT 0 AS k, i::BIGINT AS i, i::BIGINT AS t FROM range(256) r(i)
+  UNION ALL SELECT k + 1, i, {table} FROM poly WHERE k < 8),
+tables AS (SELECT list(t ORDER BY i) AS ts FROM poly WHERE k = 8),
+words AS (SELECT doc_id, coalesce({_WORDS}, []) AS ws FROM {docs}),
+item_words AS (SELECT unnest({_WORDS}) AS w FROM benchmark WHERE text IS NOT NULL),
+grams AS (SELECT doc_id, unnest(ws) AS w FROM words),
+vocabulary AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM (SELECT w FROM grams UNION ALL SELECT w FROM item_words)),
+hashed AS (
+  SELECT w, xor(4294967295, list_reduce(list_transform(range(1, len(h) // 2 + 1), lambda i: {byte}),
+         lambda c, b: xor(c >> 8, ts[xor(c & 255, b) + 1]), 4294967295::BIGINT)) % 10000 AS bucket
+  FROM vocabulary, tables),
+s AS (SELECT bucket, count(*) AS n FROM grams JOIN hashed USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM item_words JOIN hashed USING (w) GROUP BY bucket),
+gain AS (
+  SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+           / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE)))::BIGINT AS g
+  FROM s LEFT JOIN t USING (bucket)),
+weighed AS (SELECT doc_id, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight
+            FROM grams JOIN hashed USING (w) JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE)
+                                                    / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM words LEFT JOIN weighed USING (doc_id)),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n
+           FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)"""
+
+
+def search_sql(docs: str = "documents") -> str:
+    return rf"""
+WITH grams AS (SELECT doc_id, unnest({_WORDS}) AS w FROM {docs} WHERE text IS NOT NULL),
+lengths AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+whole AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+item_terms AS (SELECT item_id, unnest(list_distinct({_WORDS})) AS w FROM benchmark WHERE text IS NOT NULL),
+counted AS (SELECT doc_id, w, count(*) AS tf FROM grams WHERE w IN (SELECT w FROM item_terms) GROUP BY ALL),
+weights AS (SELECT w, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+            FROM counted, whole GROUP BY w, n_docs),
+norms AS (SELECT doc_id, 10 + (90 * n * n_docs) // n_terms AS m FROM lengths, whole),
+scored AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+           FROM item_terms JOIN counted USING (w) JOIN weights USING (w) JOIN norms USING (doc_id) GROUP BY ALL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+           FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM placed WHERE rank <= 10"""
+
+
+WARC_SQL = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+digests AS (SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS d, max(page_id) OVER (PARTITION BY html) AS last
+            FROM payloads),
+numbers AS (SELECT *, list_transform(range(8), lambda k: ('0x' || substr(d, 5 * k + 1, 5))::BIGINT) AS groups FROM digests)
+SELECT page_id, n::BIGINT AS payload_bytes,
+       list_reduce(list_transform(groups, lambda g: list_reduce(list_transform([15, 10, 5, 0],
+         lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((g >> s) & 31)::INTEGER, 1)), lambda a, b: a || b)),
+         lambda a, b: a || b) AS payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> last THEN last END AS refers_to, NULL::VARCHAR AS problem
+FROM numbers"""
+
+
 SQL = {
     "op5_decontaminate": f"""
 WITH {contamination_ctes()},
@@ -126,4 +194,7 @@ WITH {line_ctes()}
 SELECT doc_id, line::INTEGER AS line, first_id, first_line::INTEGER AS first_line, n_links, match_id,
        match_line::INTEGER AS match_line, NOT (match_id = doc_id AND match_line = line) AS removed FROM judged""",
     "op7_mixing": mixing_sql(),
+    "op11_resample": resample_sql(),
+    "op12_search": search_sql(),
+    "op13_warc": WARC_SQL,
 }
