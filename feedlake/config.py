@@ -201,6 +201,16 @@ class NearDuplicateSettings:
     percent: int = 80
 
 
+@dataclass(frozen=True)
+class AdjacencySettings:
+    """Neighbours of a topic: how many, their least support, and how much terms count."""
+
+    k: int = 10
+    min_users: int = 2
+    min_terms: int = 2
+    term_weight: float = 0.5
+
+
 @dataclass(frozen=True)
 class LearningSettings:
     """Step and bounds of the keyword weight update, and rating smoothing."""

@@ -42,7 +42,8 @@ def _slashes(text: Column) -> Column:
 
 
 def _common_shape(text: Column) -> Column:
-    """Shapes that differ from a known one in arrangement only, rearranged."""
+    """Shapes that differ from a known one in arrangement only, rearranged. Steps that use
+    their input several times get it through ``let``: the chain before is one copy."""
     text = F.regexp_replace(text, r"(\.\d{6})\d+", "$1")
     text = F.regexp_replace(text, r"^(\d{4})/(\d{2})/(\d{2})(?=\s|T|$)", "$1-$2-$3")
     text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
@@ -50,7 +51,7 @@ def _common_shape(text: Column) -> Column:
     text = F.regexp_replace(text, r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(?!\d)", "$1-$2-$3T$4:$5")
     asctime = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s+(\d{4})$"
     text = F.regexp_replace(text, asctime, "$2 $1 $4 $3")
-    return _slashes(_with_century(text))
+    return let(let(text, _with_century), _slashes)
 
 
 def _parse(text: Column, shape: str, head: str, pattern: str) -> Column:
@@ -75,14 +76,25 @@ def parse_published(text: Column) -> Column:
     us_head = rf"(?i)^([A-Za-z]{{3,9}}\s+\d{{1,2}},\s+\d{{4}}(?:\s+{time}\s*[AP]M)?){_ZONE}"
 
     def attempt(value: Column) -> Column:
-        us = F.initcap(value)
-        us = F.regexp_replace(us, r"(?i)\s*\b([AP])M\b", " $1M")
-        us = F.regexp_replace(F.regexp_replace(us, r"\bam\b|\bAm\b|\baM\b", "AM"),
-                              r"\bpm\b|\bPm\b|\bpM\b", "PM")
         return F.coalesce(
             _parse(value, iso_head, iso_head, "yyyy-MM-dd[ H:mm[:ss][.SSSSSS][.SSS]]"),
-            _parse(F.initcap(value), rfc_head, rfc_head, "d[ ][-]MMM[ ][-]yyyy[ H:mm[:ss]]"),
-            _parse(F.initcap(value), rfc_long_head, rfc_long_head, "d MMMM yyyy[ H:mm[:ss]]"),
+            F.when(value.rlike(r"^\d{1,2}[\s-][A-Za-z]"), let(F.initcap(value), in_words)),
+            F.when(value.rlike(r"^[A-Za-z]"), let(halves(F.initcap(value)), month_first)),
+        )
+
+    def in_words(value: Column) -> Column:
+        return F.coalesce(
+            _parse(value, rfc_head, rfc_head, "d[ ][-]MMM[ ][-]yyyy[ H:mm[:ss]]"),
+            _parse(value, rfc_long_head, rfc_long_head, "d MMMM yyyy[ H:mm[:ss]]"),
+        )
+
+    def halves(us: Column) -> Column:
+        us = F.regexp_replace(us, r"(?i)\s*\b([AP])M\b", " $1M")
+        us = F.regexp_replace(us, r"\bam\b|\bAm\b|\baM\b", "AM")
+        return F.regexp_replace(us, r"\bpm\b|\bPm\b|\bpM\b", "PM")
+
+    def month_first(us: Column) -> Column:
+        return F.coalesce(
             _parse(us, us_head, us_head, "MMMM d, yyyy[ h:mm[:ss] a]"),
             _parse(us, us_head, us_head, "MMM d, yyyy[ h:mm[:ss] a]"),
         )

@@ -123,6 +123,69 @@ def adjacent_topics(interests: DataFrame) -> DataFrame:
     )
 
 
+def _weighted_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """(topic_a, topic_b, shared, product): topics that meet in a key (a user or a term),
+    how often, and the sum of the keys' squared weights. ``rows``: key, topic, weight;
+    distinct. Sums form on the map side, so a key that many topics share costs its
+    pairs in one task's memory only as far as they differ."""
+    a = rows.select(key, F.col("topic").alias("topic_a"), "weight")
+    b = rows.select(key, F.col("topic").alias("topic_b"))
+    met = a.join(b, key).where(F.col("topic_a") < F.col("topic_b"))
+    return met.groupBy("topic_a", "topic_b").agg(
+        F.count(F.lit(1)).alias("shared"), F.sum(F.col("weight") * F.col("weight")).alias("product")
+    )
+
+
+def _cosines(rows: DataFrame, key: str, least: int, shared: str, score: str) -> DataFrame:
+    """Cosine of two topics' weighted key sets, for pairs that share ``least`` keys."""
+    norms = rows.groupBy("topic").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm"))
+    pairs = _weighted_pairs(rows, key).where(F.col("shared") >= least)
+    pairs = pairs.join(norms.select(F.col("topic").alias("topic_a"), F.col("norm").alias("na")), "topic_a")
+    pairs = pairs.join(norms.select(F.col("topic").alias("topic_b"), F.col("norm").alias("nb")), "topic_b")
+    cosine = F.round(F.col("product") / F.sqrt(F.col("na") * F.col("nb")), 6)
+    return pairs.select("topic_a", "topic_b", F.col("shared").alias(shared), cosine.alias(score))
+
+
+def neighbouring_topics(
+    interests: DataFrame, terms: DataFrame, settings: C.AdjacencySettings = C.AdjacencySettings()
+) -> DataFrame:
+    """(topic, neighbour, shared_users, shared_terms, user_score, term_score, score, rank):
+    the ``k`` topics next to each, by users and by terms in common.
+
+    ``interests``: user_id, topic; ``terms``: topic, term; repeats count once. Users weigh
+    the same; a term weighs ln(topics / topics that have it), so one that all topics have
+    adds nothing and is left out before anything is paired. Both scores are cosines of
+    weighted sets; a pair with less than the minimum support in users or terms has no
+    score of that kind, and one without either is no neighbour. Topics that share terms
+    but no user are found, and the other way round. Ties go to the smaller topic.
+    """
+    liked = interests.where("user_id is not null and topic is not null").select("user_id", "topic").distinct()
+    by_user = _cosines(liked.withColumn("weight", F.lit(1.0)), "user_id", settings.min_users, "shared_users", "user_score")
+
+    used = materialize(terms.where("topic is not null and term is not null").select("topic", "term").distinct(), "terms")
+    n_topics = used.agg(F.count_distinct("topic")).scalar()
+    weighed = used.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("n_topics", n_topics)
+    weighed = weighed.where("n > 1 and n < n_topics").select("term", F.log(F.col("n_topics") / F.col("n")).alias("weight"))
+    # A term of one topic meets no other, but belongs to that topic's norm.
+    alone = used.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("topic").alias("topic")).where("n = 1")
+    alone = alone.withColumn("n_topics", n_topics).where("n_topics > 1")
+    rows = used.join(weighed, "term").select("topic", "term", "weight")
+    rows = rows.unionByName(alone.select("topic", "term", F.log(F.col("n_topics").cast("double")).alias("weight")))
+    by_term = _cosines(rows, "term", settings.min_terms, "shared_terms", "term_score")
+
+    pairs = by_user.join(by_term, ["topic_a", "topic_b"], "full_outer").na.fill(0)
+    score = F.round(
+        (1 - settings.term_weight) * F.col("user_score") + settings.term_weight * F.col("term_score"), 8
+    )
+    pairs = pairs.withColumn("score", score)
+    measures = ("shared_users", "shared_terms", "user_score", "term_score", "score")
+    both = pairs.select(F.col("topic_a").alias("topic"), F.col("topic_b").alias("neighbour"), *measures).unionByName(
+        pairs.select(F.col("topic_b").alias("topic"), F.col("topic_a").alias("neighbour"), *measures)
+    )
+    order = Window.partitionBy("topic").orderBy(F.desc("score"), "neighbour")
+    return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.k)
+
+
 def kpi_daily(activity: DataFrame) -> DataFrame:
     """Usage per day.
 

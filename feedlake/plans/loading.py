@@ -70,8 +70,13 @@ def scan_corrupt_feed(spark, sf):
     return parsed.select("page_id", F.col("item.link").alias("link"), "parse_error")
 
 
+#: Items of under a hundred bytes each.
+CHANNEL_ITEMS = 20_000
+
+
 def _landed_channels(spark, sf):
-    """A folder with one RSS file per host; a page cut before its end is a cut item."""
+    """A folder of RSS files per host, CHANNEL_ITEMS items or so in each; a page cut before
+    its end is a cut item."""
     path = scratch_path(spark, "channels")
     host = urls.url_host(F.col("url"))
     title = F.when(host.startswith("www."), F.lit("")).otherwise(
@@ -82,7 +87,9 @@ def _landed_channels(spark, sf):
         F.when(F.col("html").contains("</html>"), F.lit("</title></item>")).otherwise(F.lit("</ti")),
     )
     per_host = I.table(spark, sf, "pages").select(host.alias("host"), title.alias("title"), item.alias("item"))
-    whole = per_host.groupBy("host", "title").agg(F.array_join(F.collect_list("item"), "\n").alias("items"))
+    files_of = per_host.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / CHANNEL_ITEMS).alias("files"))
+    dealt = per_host.join(files_of, "host").withColumn("file", F.pmod(F.xxhash64("item"), F.col("files")))
+    whole = dealt.groupBy("host", "title", "file").agg(F.array_join(F.collect_list("item"), "\n").alias("items"))
     text = F.concat(
         F.lit("<rss><channel>"), F.col("title"), F.lit("<link>https://"), F.col("host"), F.lit("</link>"),
         F.col("items"), F.lit("</channel></rss>"),
@@ -106,9 +113,10 @@ def _landed_channels(spark, sf):
 )
 def feed_metadata(spark, sf):
     """Hosts as feeds, landed as files and read back."""
-    found = feeds.feed_metadata(spark, _landed_channels(spark, sf))
+    host = F.regexp_extract("feed_path", r"folder=host-([^/]+)/", 1)
+    found = feeds.feed_metadata(spark, _landed_channels(spark, sf), feed=host)
     return found.select(
-        F.regexp_extract("feed_path", r"folder=host-([^/]+)/", 1).alias("host"),
+        F.col("feed_path").alias("host"),
         "title", "link", "description", "entry_count",
         F.array_join("parsing_errors", "; ").alias("parsing_errors"),
     )

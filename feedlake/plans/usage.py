@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from feedlake import config as C
-from feedlake.functions.tokens import words
+from feedlake.functions.tokens import each, words
 from feedlake.operators import insights, summaries
 from feedlake.plans import inputs as I
 from feedlake.plans import sqltext as S
@@ -122,6 +122,48 @@ def adjacent_topics(spark, sf):
     return insights.adjacent_topics(interests).withColumn("lift", F.round("lift", 6))
 
 
+@query(
+    "neighbouring_topics",
+    f"""WITH likes AS (SELECT DISTINCT user_id, props->>'$.k' AS topic FROM events WHERE event_type = 'purchase'),
+       used AS (SELECT DISTINCT (doc_id % 130)::VARCHAR AS topic, unnest({S.words("string_split(text, chr(10))[1]")}) AS term
+                FROM documents),
+       n AS (SELECT count(DISTINCT topic) AS n FROM used),
+       weighed AS (SELECT term, ln(any_value(n.n)::DOUBLE / count(*)) AS w FROM used, n GROUP BY term),
+       terms AS (SELECT topic, term, w FROM used JOIN weighed USING (term) WHERE w > 0),
+       sized AS (SELECT topic, count(*) AS users FROM likes GROUP BY topic),
+       normed AS (SELECT topic, sum(w * w) AS norm FROM terms GROUP BY topic),
+       by_user AS (SELECT a.topic AS topic_a, b.topic AS topic_b, count(*) AS shared_users,
+                          round(count(*) / sqrt(any_value(sa.users * sb.users)), 6) AS user_score
+                   FROM likes a JOIN likes b ON a.user_id = b.user_id AND a.topic <> b.topic
+                   JOIN sized sa ON sa.topic = a.topic JOIN sized sb ON sb.topic = b.topic
+                   GROUP BY ALL HAVING count(*) >= 2),
+       by_term AS (SELECT a.topic AS topic_a, b.topic AS topic_b, count(*) AS shared_terms,
+                          round(sum(a.w * a.w) / sqrt(any_value(na.norm * nb.norm)), 6) AS term_score
+                   FROM terms a JOIN terms b ON a.term = b.term AND a.topic <> b.topic
+                   JOIN normed na ON na.topic = a.topic JOIN normed nb ON nb.topic = b.topic
+                   GROUP BY ALL HAVING count(*) >= 2),
+       pairs AS (SELECT topic_a AS topic, topic_b AS neighbour, coalesce(shared_users, 0) AS shared_users,
+                        coalesce(shared_terms, 0) AS shared_terms, coalesce(user_score, 0) AS user_score,
+                        coalesce(term_score, 0) AS term_score
+                 FROM by_user FULL JOIN by_term USING (topic_a, topic_b))
+       SELECT *, round(0.5 * user_score + 0.5 * term_score, 8) AS score,
+              row_number() OVER (PARTITION BY topic
+                ORDER BY round(0.5 * user_score + 0.5 * term_score, 8) DESC, neighbour)::INTEGER AS rank
+       FROM pairs QUALIFY rank <= 10""",
+)
+def neighbouring_topics(spark, sf):
+    """Numbers of events' properties are topics, liked by who purchased; documents belong
+    to topics by their id, and their first lines give the terms. Thirty have no event."""
+    interests = I.table(spark, sf, "events").where("event_type = 'purchase'").select(
+        "user_id", F.get_json_object("props", "$.k").alias("topic")
+    )
+    title = F.substring_index("text", "\n", 1)
+    terms = I.documents_table(spark, sf).select(
+        (F.col("doc_id") % 130).cast("string").alias("topic"), each(words(title)).alias("term")
+    )
+    return insights.neighbouring_topics(interests, terms)
+
+
 def _activity(spark, sf):
     kind = F.col("event_type")
     return I.table(spark, sf, "events").select(

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedlake.operators.dedup import first_wins, run_counters, stored_hashes
+from feedlake.operators.dedup import first_wins, run_counters
 from feedlake.operators.validation import accepted, rejected, validate_articles
 from feedlake.session import scratch_path
+from feedlake.sinks.index import HashIndex
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -48,15 +49,20 @@ def write_run(rows: DataFrame, path: str, run: str) -> None:
     rows.write.mode("overwrite").parquet(f"{path}/run={run}")
 
 
+def article_index(spark: SparkSession, table: str) -> HashIndex:
+    return HashIndex(spark, f"{table}/index", f"{table}/articles")
+
+
 def load_articles(
     batch: DataFrame, table: str, run: str, order: list[str], feed: str = "source_id"
 ) -> DataFrame:
     """Validate, deduplicate and append one batch; returns its counters per feed.
 
     The batch is cleaned once and staged in the shared folder, because four
-    readers need it. The table below ``table`` has articles/, quarantine/ and
-    counters/. ``run`` must sort after all earlier runs; running it again
-    replaces its output and leaves the same table.
+    readers need it. The table below ``table`` has articles/, quarantine/, counters/
+    and index/, the hashes of all runs: a load reads the part of the index that its
+    own hashes fall on, never the articles of earlier runs. ``run`` must sort after all
+    earlier runs; running it again replaces its output and leaves the same table.
     """
     spark = batch.sparkSession
     staged_path = scratch_path(spark, "stage")
@@ -64,14 +70,19 @@ def load_articles(
     staged = spark.read.parquet(staged_path)
     good = accepted(staged).drop("link_scheme_ok")
 
-    existing = read_runs(spark, f"{table}/articles", good.schema, before=run).select("content_hash")
-    known = stored_hashes(good, existing)
+    index = article_index(spark, table)
+    # Three readers follow; a batch's known hashes are no more than the batch.
+    known_path = scratch_path(spark, "known")
+    index.stored(good, run).write.parquet(known_path)
+    known = spark.read.parquet(known_path)
     fresh = first_wins(good, "content_hash", order).join(known, "content_hash", "left_anti")
     write_run(rejected(staged), f"{table}/quarantine", run)
     counters = run_counters(staged, known, feed, order[0])
     write_run(counters, f"{table}/counters", run)
     write_run(fresh.select(*good.columns), f"{table}/articles", run)
+    index.add(run)
     _drop_stage(spark, staged_path)
+    _drop_stage(spark, known_path)
     return spark.read.parquet(f"{table}/counters/run={run}")
 
 

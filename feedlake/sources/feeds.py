@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,10 +210,14 @@ def _head_text(tag: str) -> Column:
     return unescape(F.trim(F.regexp_replace(inner, r"(?s)^\s*<!\[CDATA\[(.*)\]\]>\s*$", "$1")))
 
 
-def feed_metadata(spark: SparkSession, path: str, limit: int = C.MAX_PAYLOAD_BYTES) -> DataFrame:
-    """Per feed file: title, link, description, entry_count, parsing_errors.
+def feed_metadata(
+    spark: SparkSession, path: str, limit: int = C.MAX_PAYLOAD_BYTES, feed: Column | None = None
+) -> DataFrame:
+    """Per feed: title, link, description, entry_count, parsing_errors.
 
-    One scan. The channel's own fields are those ahead of its first item.
+    One scan. The channel's own fields are those ahead of its first item. A feed is a
+    file, or all files for which ``feed``, an expression over feed_path, is the same:
+    their entries are counted together, in as many tasks as there are files.
     """
     items = split_items(read_texts(spark, path, limit=limit))
     closed = F.col("text").rlike(r"(?i)</(?:channel|feed)\s*>")
@@ -227,7 +234,8 @@ def feed_metadata(spark: SparkSession, path: str, limit: int = C.MAX_PAYLOAD_BYT
     )
     good = F.col("xml").isNotNull() & F.coalesce(f"rss.{_CORRUPT}", f"atom.{_CORRUPT}").isNull()
     # One row of a file has its head; the others are null there.
-    per_file = rows.groupBy("feed_path").agg(
+    name = F.col("feed_path") if feed is None else feed
+    per_feed = rows.groupBy(name.alias("feed_path")).agg(
         F.max("_title").alias("title"),
         F.max("_link").alias("link"),
         F.max("_about").alias("description"),
@@ -235,7 +243,7 @@ def feed_metadata(spark: SparkSession, path: str, limit: int = C.MAX_PAYLOAD_BYT
         F.count_if(good).alias("entry_count"),
         F.count_if(F.col("ordinal").isNotNull() & ~good).alias("bad_entries"),
     )
-    return summarize_feeds(per_file)
+    return summarize_feeds(per_feed)
 
 
 def summarize_feeds(feeds: DataFrame) -> DataFrame:
@@ -256,16 +264,47 @@ def summarize_feeds(feeds: DataFrame) -> DataFrame:
     )
 
 
-def write_rss(entries: DataFrame, path: str, per_file: int = 100) -> None:
-    """Write entries as RSS files of at most ``per_file`` items (title, link, description,
-    author, ...): a file is read by one task and has a size limit."""
+def _xml_bytes(value: Column) -> Column:
+    """Bytes of a text in XML, at most: a character that is escaped takes up to six."""
+    plain = F.translate(value, "<>&\"'", "")
+    return F.coalesce(F.octet_length(value) + 5 * (F.length(value) - F.length(plain)), F.lit(0))
+
+
+def _numbered_files(rows: DataFrame, size: Column, most: int) -> DataFrame:
+    """Add ``file``: each task's rows in order, a new number before ``most`` is exceeded."""
+    sized = rows.withColumn("_size", size.cast("long"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = held = 0
+        for batch in batches:
+            files = []
+            for n in batch.column("_size").to_pylist():
+                if held and held + n > most:
+                    file, held = file + 1, 0
+                held += n
+                files.append(file)
+            columns = batch.drop_columns(["_size"])
+            yield columns.append_column("file", pa.array(files, pa.int32()))
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("file", T.IntegerType())])
+    return sized.mapInArrow(number, schema)
+
+
+def write_rss(entries: DataFrame, path: str, most: int = C.MAX_PAYLOAD_BYTES // 2) -> None:
+    """Write entries as RSS files (title, link, description, author, ...) of at most
+    ``most`` bytes: a file is read by one task and has a size limit. Only an entry that
+    is longer by itself makes a longer file. Files lie in numbered folders."""
+    rows = entries.select("title", "link", "description", "author", "pubDate", "category")
+    texts = ("title", "link", "description", "author", "pubDate")
+    tags = F.coalesce(_xml_bytes(F.array_join("category", "")) + 40 * F.size("category"), F.lit(0))
+    size = sum((_xml_bytes(F.col(c).cast("string")) for c in texts), tags) + 300
     (
-        entries.select("title", "link", "description", "author", "pubDate", "category")
-        .write.format("xml")
+        _numbered_files(rows, size, most)
+        .write.partitionBy("file")
+        .format("xml")
         .option("rowTag", "item")
         .option("rootTag", "channel")
         .option("declaration", 'version="1.0" encoding="UTF-8"')
-        .option("maxRecordsPerFile", per_file)
         .mode("overwrite")
         .save(path)
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from feedlake.operators.entries import map_articles
-from feedlake.sinks.tables import load_articles
+from feedlake.sinks.tables import article_index, load_articles
 from feedlake.sources.feeds import feed_order, read_entries
 
 
@@ -21,12 +21,14 @@ def stream_ingest(
     dialects: tuple[str, ...] = ("rss", "atom"),
     every: str | None = None,
     files_per_trigger: int | None = None,
+    compact_every: int = 200,
 ) -> StreamingQuery:
     """Follow a landing folder.
 
     Each micro-batch is one run of :func:`load_articles` named after its batch
     id: a batch replayed after a failure overwrites its own run, and the check
-    against earlier runs covers all history without any streaming state. The first
+    against earlier runs covers all history without any streaming state: it looks
+    hashes up in the table's index, which every ``compact_every`` batches merge. The first
     of equal articles is that of the earlier file, or place in a file. Entries and
     files that cannot be read are counted as errors and kept in quarantine.
     ``every`` polls (for instance "5 minutes"); by default the query drains what
@@ -38,6 +40,8 @@ def stream_ingest(
     def load(batch: DataFrame, batch_id: int) -> None:
         placed = feed_order(batch.withColumn("source_id", source_id))
         load_articles(map_articles(placed, run_date), table, f"{batch_id:012d}", ["feed_order"])
+        if (batch_id + 1) % compact_every == 0:
+            article_index(spark, table).compact()
 
     writer = entries.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": every} if every else {"availableNow": True}
