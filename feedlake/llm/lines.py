@@ -9,54 +9,143 @@ met once, through the first line that has the set.
 
 from __future__ import annotations
 
+import functools
 import operator
-import struct
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import xxhash
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm.keyfilter import key_filter, may_hold
-from feedlake.llm.textrules import space_words
+from feedlake.llm.textrules import LOWER, byte_slices, free_name
 from feedlake.session import materialize
 
 SIMILARITY = Fraction(4, 5)
 #: The rarity table has a fixed size: words share counters, and ties are broken by
 #: hash. Any common order gives right results; a finer one gives shorter lists.
-COUNTER_BITS = 18
+COUNTER_BITS = 21
 COUNTERS = 1 << COUNTER_BITS
-_PART = 1 << 12
-_HALVES = struct.Struct(">qq")
+_PART = 1 << 16
 _SHIFTS = np.arange(16, dtype=np.uint64) * np.uint64(4)
-#: Pairs that are verified together, on average; a word with more is split.
+#: Pairs, and bytes of text, that are verified together, on average.
 VERIFY_PAIRS = 200_000
-
-
-class Hashes(dict):
-    """Word hashes, each worked out once while it is held."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
-            self.clear()
-        number = self[word] = xxhash.xxh64_intdigest(word)
-        return number
-
-
-def word_hashes(line: str, known: Hashes) -> np.ndarray:
-    """Distinct word hashes of a line, in no special order."""
-    words = set(space_words(line))
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-
-
-def set_key(hashes: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a word set, given by its sorted hashes."""
-    return _HALVES.unpack(xxhash.xxh3_128_digest(hashes.tobytes()))
+VERIFY_BYTES = 16 << 20
+#: Counts from here on are ordered alike.
+_COMMON_BITS = 16
+_COMMON = (1 << _COMMON_BITS) - 1
+#: Bytes whose words are hashed at a time; a longer word is hashed in one piece.
+_CHUNK = 1 << 18
+_SLICE = 1 << 20
+_BLANK = re.compile(rb"[ \t-\r]")
+_MULTIPLIER = 0x5851F42D4C957F2D
+_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
+
+
+def _mixed(numbers: np.ndarray, odd: int) -> np.ndarray:
+    """Numbers of 64 bits, scrambled; ``odd`` chooses how."""
+    numbers = (numbers ^ (numbers >> np.uint64(31))) * np.uint64(odd)
+    numbers = (numbers ^ (numbers >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return numbers ^ (numbers >> np.uint64(32))
+
+
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the multiplier and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_MULTIPLIER, _INVERSE):
+        row = np.full(n, base, np.uint64)
+        row[0] = 1
+        out.append(np.cumprod(row, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, line) of every word ``[^\\x20\\x09-\\x0D]+``, in order; lines count from 0.
+
+    A word's hash is a polynomial in its bytes, a difference of running sums, so all
+    words of a chunk are hashed at once.
+    """
+    hashes, lines, at, line = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, 0
+    while at < len(data):
+        end = at + _CHUNK
+        cut = _BLANK.search(data, end) if end < len(data) else None
+        end = cut.end() if cut else len(data)
+        bytes_ = np.frombuffer(data, np.uint8, end - at, at)
+        inside = np.zeros(len(bytes_) + 2, bool)
+        inside[1:-1] = (bytes_ > 32) | (bytes_ < 9) | ((bytes_ > 13) & (bytes_ < 32))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, stops = edges[::2], edges[1::2]
+        up, down = _powers(1 << (len(bytes_) - 1).bit_length() if len(bytes_) > 1 else 1)
+        sums = np.zeros(len(bytes_) + 1, np.uint64)
+        np.cumsum((bytes_.astype(np.uint64) + np.uint64(1)) * up[: len(bytes_)], out=sums[1:])
+        hashes.append(_mixed((sums[stops] - sums[starts]) * down[starts], 0xD6E8FEB86659FD93))
+        breaks = np.flatnonzero(bytes_ == 10)
+        lines.append(line + np.searchsorted(breaks, starts))
+        line += len(breaks)
+        at = end
+    return np.concatenate(hashes), np.concatenate(lines)
+
+
+@dataclass
+class Sets:
+    """The distinct words of the lines that have any: line k of them is line[k] of the
+    text, and its words are hashes[first[k] : first[k + 1]]."""
+
+    hashes: np.ndarray
+    line: np.ndarray
+    first: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.first, append=len(self.hashes))
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits that stand for each word set: two sums of scrambled hashes."""
+        if not len(self.first):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(
+            np.add.reduceat(_mixed(self.hashes, odd), self.first).view(np.int64)
+            for odd in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
+        )
+
+    def signatures(self) -> np.ndarray:
+        """Sixteen counters of four bits: words by hash, 15 at most. The counters of two
+        sets differ by no more in all than the sets differ in words."""
+        owner = np.repeat(np.arange(len(self.first)), self.sizes)
+        cells = owner * 16 + (self.hashes & np.uint64(15)).astype(np.int64)
+        counts = np.minimum(np.bincount(cells, minlength=16 * len(self.first)), 15).reshape(-1, 16)
+        return (counts.astype(np.uint64) << _SHIFTS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def sets_of(data: bytes, counts: np.ndarray | None = None) -> Sets:
+    """Word sets of all lines; with ``counts``, each line's words by rarity, then hash."""
+    hashes, line = words_of(data)
+    if not len(hashes):
+        return Sets(hashes, line, line)
+    # One number of 64 bits orders line, rarity and as much of the hash as there is room for.
+    bits = max(1, int(line[-1]).bit_length())
+    rare = np.zeros(len(hashes), np.int64) if counts is None else np.minimum(counts[_slots(hashes)], _COMMON)
+    place = line.astype(np.uint64) << np.uint64(64 - bits) | rare.astype(np.uint64) << np.uint64(64 - bits - _COMMON_BITS)
+    place |= hashes >> np.uint64(bits + _COMMON_BITS)
+    order = np.argsort(place)
+    sorted_place, sorted_hashes = place[order], hashes[order]
+    if ((sorted_place[1:] == sorted_place[:-1]) & (sorted_hashes[1:] != sorted_hashes[:-1])).any():
+        order = np.lexsort((hashes, rare, line))
+    hashes, line = hashes[order], line[order]
+    fresh = np.ones(len(hashes), bool)
+    fresh[1:] = (hashes[1:] != hashes[:-1]) | (line[1:] != line[:-1])
+    hashes, line = hashes[fresh], line[fresh]
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    return Sets(hashes, line[first], first)
 
 
 def _slots(hashes: np.ndarray) -> np.ndarray:
@@ -64,91 +153,94 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
 
 
 def rarity(texts: DataFrame, text_col: str) -> Broadcast:
-    """How many lines hold the words of each counter, over all lines."""
+    """How often words of each counter occur, over all lines; at most 2^31 - 1."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(COUNTERS, np.int64)
-        known = Hashes()
-        held: list[np.ndarray] = []
-        size = 0
+        waiting, size = [], 0
         for batch in batches:
-            for text in batch["text"]:
-                for line in (text or "").split("\n"):
-                    held.append(word_hashes(line, known))
-                    size += len(held[-1])
-                    if size > COUNTERS:
-                        total += np.bincount(_slots(np.concatenate(held)), minlength=COUNTERS)
-                        held, size = [], 0
+            for _, _, held in byte_slices(batch["text"].tolist(), _SLICE):
+                waiting.append(_slots(words_of(b"\n".join(held))[0]))
+                size += len(waiting[-1])
+                if size > COUNTERS:
+                    total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
+                    waiting, size = [], 0
         if size:
-            total += np.bincount(_slots(np.concatenate(held)), minlength=COUNTERS)
+            total += np.bincount(np.concatenate(waiting), minlength=COUNTERS)
         for first in range(0, COUNTERS, _PART):
-            yield pd.DataFrame({"first": [first], "n": [total[first : first + _PART].tobytes()]})
+            used = np.flatnonzero(total[first : first + _PART])
+            if len(used):
+                n = total[first + used]
+                yield pd.DataFrame({"first": [first], "at": [used.astype(np.uint16).tobytes()], "n": [n.tobytes()]})
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(n, np.int64) for n in group["n"])
+        total = np.zeros(_PART, np.int64)
+        for at, n in zip(group["at"], group["n"], strict=True):
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+        total = np.minimum(total, 2**31 - 1).astype(np.int32)
         return pd.DataFrame({"first": group["first"][:1], "n": [total.tobytes()]})
 
-    counted = texts.select(F.col(text_col).alias("text")).mapInPandas(count, "first int, n binary")
-    table = np.zeros(COUNTERS, np.int64)
+    counted = texts.select(F.col(text_col).alias("text")).mapInPandas(count, "first int, at binary, n binary")
+    table = np.zeros(COUNTERS, np.int32)
     for row in counted.groupBy("first").applyInPandas(add, "first int, n binary").collect():
-        table[row["first"] : row["first"] + _PART] = np.frombuffer(row.n, np.int64)
+        table[row["first"] : row["first"] + _PART] = np.frombuffer(row.n, np.int32)
     return texts.sparkSession.sparkContext.broadcast(table)
 
 
-def _signature(hashes: np.ndarray) -> int:
-    """Sixteen counters of four bits: words by hash, 15 at most. The counters of two sets
-    differ by no more in all than the sets differ in words."""
-    counts = np.minimum(np.bincount((hashes & np.uint64(15)).astype(np.int64), minlength=16), 15)
-    packed = int((counts.astype(np.uint64) << _SHIFTS).sum())
-    return packed - (1 << 64) if packed >> 63 else packed
-
-
 def _apart(a: str, b: str) -> Column:
     """Sum of the differences of two signatures' counters."""
     nibble = lambda c, k: F.shiftrightunsigned(c, 4 * k).bitwiseAND(15)
     return reduce(operator.add, (F.abs(nibble(a, k) - nibble(b, k)) for k in range(16)))
 
 
+def _numbers(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, number) of every line of some texts, numbers from 1."""
+    lines = np.array([t.count(b"\n") + 1 for t in held])
+    owner = np.repeat(np.arange(len(held)), lines)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(lines) - lines, lines) + 1
+
+
 def line_sets(docs: DataFrame, table: Broadcast, id_col: str, text_col: str, similarity: Fraction) -> DataFrame:
     """(id, line, hi, lo, n, bits, prefix) of every line with a word; lines count from 1.
 
     ``prefix`` has short hashes of the rarest words, rarest first: as many as must hold
-    one word of any set that is similar enough. A task gives it once for equal lines.
+    one word of any set that is similar enough. A word that occurs once in all lines is
+    marked by a zero, since no other set has it. A task gives it once for equal lines.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
-        names = ["id", "line", "hi", "lo", "n", "bits", "prefix"]
-        seen: set[tuple[int, int]] = set()
-        known = Hashes()
+        seen: set[int] = set()
         for batch in batches:
-            out = []
-            for i, text in zip(batch["id"].astype(object), batch["text"], strict=True):
-                i = None if pd.isna(i) else i
-                for number, line in enumerate((text or "").split("\n"), 1):
-                    hashes = word_hashes(line, known)
-                    n = len(hashes)
-                    if not n:
-                        continue
-                    hashes.sort()
-                    key, prefix = set_key(hashes), None
+            for begin, _, held in byte_slices(batch.column(1).to_pylist(), _SLICE):
+                found = sets_of(b"\n".join(held), counts)
+                if not len(found.first):
+                    continue
+                owner, number = _numbers(held)
+                (hi, lo), n = found.keys(), found.sizes
+                fresh = np.zeros(len(n), bool)
+                for k, key in enumerate(lo.tolist()):
                     if key not in seen:
                         seen.add(key)
-                        # Sorted already, so a stable sort by count breaks ties by hash.
-                        order = np.argsort(counts[_slots(hashes)], kind="stable")
-                        length = n + 1 + -n * similarity.numerator // similarity.denominator
-                        prefix = hashes[order[:length]].astype(np.uint32).view(np.int32)
-                    out.append((i, number, *key, n, _signature(hashes), prefix))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=names)
+                        fresh[k] = True
+                length = np.where(fresh, n + 1 + -n * similarity.numerator // similarity.denominator, 0)
+                stops = np.cumsum(length)
+                within = np.arange(stops[-1]) - np.repeat(stops - length, length)
+                words = found.hashes[np.repeat(found.first, length) + within]
+                shared = counts[_slots(words)] > 1
+                short = np.where(shared, words.astype(np.uint32) | np.uint32(1), np.uint32(0)).view(np.int32)
+                offsets = pa.array(np.concatenate(([0], stops)).astype(np.int32))
+                prefix = pa.ListArray.from_arrays(offsets, pa.array(short), mask=pa.array(~fresh))
+                columns = [
+                    batch.column(0).take(pa.array(begin + owner[found.line])), pa.array(number[found.line].astype(np.int32)),
+                    pa.array(hi), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(found.signatures()), prefix,
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "line", "hi", "lo", "n", "bits", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = f"id {id_type}, line int, hi long, lo long, n int, bits long, prefix array<int>"
-    return materialize(rows.mapInPandas(cut, schema), "lines")
+    return materialize(rows.mapInArrow(cut, schema), "lines")
 
 
 def candidates(lines: DataFrame, similarity: Fraction) -> DataFrame:
@@ -162,7 +254,7 @@ def candidates(lines: DataFrame, similarity: Fraction) -> DataFrame:
     # Sets of fewer words than one miss costs can only be equal.
     smallest = -(-num // (den - num))
     rows = lines.where((F.col("n") >= smallest) & F.col("prefix").isNotNull())
-    rows = rows.select("lo", "n", "bits", F.posexplode("prefix").alias("at", "word"))
+    rows = rows.select("lo", "n", "bits", F.posexplode("prefix").alias("at", "word")).where("word <> 0")
     rows = rows.repartition("word").dropDuplicates(["word", "lo", "at", "n", "bits"])
     a = rows.select("word", *(F.col(c).alias(f"a_{c}") for c in ("lo", "n", "bits", "at")))
     b = rows.select("word", *(F.col(c).alias(f"b_{c}") for c in ("lo", "n", "bits", "at")))
@@ -177,93 +269,123 @@ def candidates(lines: DataFrame, similarity: Fraction) -> DataFrame:
     return pairs.groupBy(F.col("a_lo").alias("a"), F.col("b_lo").alias("b")).agg(F.min("word").alias("word"))
 
 
-def verify_parts(pairs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def verify_parts(
+    pairs: DataFrame, size: int, ends: DataFrame | None = None, most: int = VERIFY_BYTES
+) -> tuple[DataFrame, DataFrame]:
     """(part, a, b) of all pairs, and (part, lo): the sets that each part needs.
 
-    Pairs are dealt by their word. One with more than ``size`` pairs is a grid, split by
-    hashes of both ends, so that k times k cells cost each of its texts 2 k copies.
+    Pairs are dealt by their word. One with more than ``size`` pairs, or whose texts
+    (``ends``: word, lo, bytes) have more than ``most`` bytes, is a grid, split by hashes
+    of both ends: k times k cells cost each of its texts 2 k copies.
     """
-    heavy = pairs.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > size)
-    side = F.ceil(F.sqrt(F.col("n") / size)).cast("int").alias("side")
-    heavy = materialize(heavy.select("word", side), "heavy")
-    parts = max(1, -(-pairs.count() // size))
+    heavy = pairs.groupBy("word").agg(F.count("*").alias("n")).withColumn("bytes", F.lit(0))
+    total = 0
+    if ends is not None:
+        weighed = materialize(ends.groupBy("word").agg(F.sum("bytes").alias("bytes")), "weights")
+        total = weighed.agg(F.sum("bytes")).first()[0] or 0
+        heavy = heavy.drop("bytes").join(weighed, "word")
+    side = F.greatest(F.ceil(F.sqrt(F.col("n") / size)), F.ceil(F.col("bytes") * 2 / most)).cast("int")
+    heavy = materialize(heavy.where((F.col("n") > size) | (F.col("bytes") > most)).select("word", side.alias("side")), "heavy")
+    parts = max(1, -(-pairs.count() // size), -(-total // most))
     row = column = F.lit(0)
     if not heavy.isEmpty():
-        # Broadcast: at most one row for every ``size`` pairs; a shuffle would put a word in one task.
-        pairs = pairs.join(F.broadcast(heavy), "word", "left")
+        pairs = pairs.join(heavy, "word", "left")
         side = F.coalesce("side", F.lit(1))
         row, column = F.pmod(F.xxhash64("a"), side), F.pmod(F.xxhash64("b"), side)
     part = F.pmod(F.xxhash64("word", row, column), F.lit(parts)).cast("int").alias("part")
     dealt = pairs.select(part, "a", "b")
-    ends = dealt.select("part", F.explode(F.array("a", "b")).alias("lo")).distinct()
-    return dealt, ends
-
-
-def similar_pairs(docs: DataFrame, lines: DataFrame, text_col: str, similarity: Fraction) -> DataFrame:
-    """(a_hi, a_lo, b_hi, b_lo): sets with the similarity, each pair once.
+    needed = dealt.select("part", F.explode(F.array("a", "b")).alias("lo")).distinct()
+    return dealt, needed
+
+
+def shared_words(sets: Sets, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words each pair of sets has in common; ``words``: the hashes as small numbers."""
+    sizes = sets.sizes
+    out = np.zeros(len(a), np.int64)
+    ends = np.cumsum(sizes[a] + sizes[b])
+    at = 0
+    while at < len(a):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+        keys = []
+        for side in (a[at:stop], b[at:stop]):
+            n = sizes[side]
+            pair = np.repeat(np.arange(stop - at), n)
+            within = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)
+            keys.append(pair << 32 | words[np.repeat(sets.first[side], n) + within])
+        both = np.sort(np.concatenate(keys))
+        out[at:stop] = np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=stop - at)
+        at = stop
+    return out
+
+
+def links(docs: DataFrame, lines: DataFrame, sets: DataFrame, text_col: str, similarity: Fraction) -> DataFrame:
+    """(hi, lo, n_links, there): of each set that has similar ones, how many, and the first
+    place (id, line) of the earliest.
 
     Only the texts of candidates are shuffled, and of what the filter mistakes for them.
     Pairs meet their texts by a prefix word they share, in parts of bounded size (see
-    verify_parts), so a text travels a few times, not once per partner.
+    verify_parts). A part verifies its pairs and returns a row per set, not per pair.
     """
     pairs = materialize(candidates(lines, similarity), "candidates")
     ends = pairs.select(F.col("a").alias("lo"), "word").unionByName(pairs.select(F.col("b").alias("lo"), "word"))
     wanted = materialize(ends.distinct(), "wanted")
     marks = key_filter(wanted, "lo")
 
-    def texts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[int, int]] = set()
-        known = Hashes()
-        texts: list[str] = []
-        keys: list[tuple[int, int]] = []
-
-        def flush() -> pd.DataFrame:
-            fresh = []
-            for k in np.flatnonzero(may_hold(marks.value, np.array([k[1] for k in keys]))):
-                if keys[k] not in seen:
-                    seen.add(keys[k])
-                    fresh.append((*keys[k], texts[k]))
-            texts.clear()
-            keys.clear()
-            return pd.DataFrame(fresh, columns=["hi", "lo", "text"])
-
+    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for text in batch["text"]:
-                for line in (text or "").split("\n"):
-                    hashes = word_hashes(line, known)
-                    if len(hashes):
-                        hashes.sort()
-                        texts.append(line)
-                        keys.append(set_key(hashes))
-                if len(keys) > 4_000:
-                    yield flush()
-        if keys:
-            yield flush()
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(texts_of, "hi long, lo long, text string")
+            for _, _, held in byte_slices(batch.column(0).to_pylist(), _SLICE):
+                data = b"\n".join(held)
+                found = sets_of(data)
+                hi, lo = found.keys()
+                may = np.flatnonzero(may_hold(marks.value, lo))
+                fresh = []
+                for k, key in zip(may.tolist(), lo[may].tolist(), strict=True):
+                    if key not in seen:
+                        seen.add(key)
+                        fresh.append(k)
+                if fresh:
+                    split = data.split(b"\n")
+                    text = [split[found.line[k]].decode() for k in fresh]
+                    yield pa.RecordBatch.from_arrays([pa.array(hi[fresh]), pa.array(lo[fresh]), pa.array(text)], ["hi", "lo", "text"])
+
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(texts_of, "hi long, lo long, text string")
     rows = rows.join(wanted.select("lo").distinct(), "lo", "left_semi").dropDuplicates(["lo", "hi"])
-    sets = materialize(rows, "texts")
+    texts = materialize(rows.join(sets, ["hi", "lo"]), "texts")
 
-    dealt, needed = verify_parts(pairs, VERIFY_PAIRS)
-    placed = sets.join(needed, "lo").select("part", "hi", "lo", "text")
+    bytes_of = texts.groupBy("lo").agg(F.max(F.octet_length("text")).alias("bytes"))
+    dealt, needed = verify_parts(pairs, VERIFY_PAIRS, wanted.join(bytes_of, "lo"))
+    placed = texts.join(needed, "lo").select("part", "hi", "lo", "id", "line", "text")
     num, den = similarity.numerator, similarity.denominator
-
-    def verify(pair: pd.DataFrame, line: pd.DataFrame) -> pd.DataFrame:
-        words: dict[int, list[tuple[int, set[bytes]]]] = {}
-        for hi, lo, text in zip(line["hi"], line["lo"], line["text"], strict=True):
-            words.setdefault(lo, []).append((hi, set(space_words(text))))
-        out = []
-        for a, b in zip(pair["a"], pair["b"], strict=True):
-            for a_hi, x in words.get(a, ()):
-                for b_hi, y in words.get(b, ()):
-                    shared = len(x & y)
-                    if shared * den >= (len(x) + len(y) - shared) * num:
-                        out.append((a_hi, a, b_hi, b))
-        return pd.DataFrame(out, columns=["a_hi", "a_lo", "b_hi", "b_lo"])
+    id_type = sets.schema["id"].dataType.simpleString()
+
+    def verify(pair: pa.Table, line: pa.Table) -> pa.Table:
+        found = sets_of(b"\n".join(t.encode() for t in line["text"].to_pylist()))
+        words = np.unique(found.hashes, return_inverse=True)[1]
+        keyed = pd.DataFrame({"lo": line["lo"].to_numpy(), "k": np.arange(line.num_rows)})
+        both = pair.select(["a", "b"]).to_pandas().merge(keyed, left_on="a", right_on="lo")
+        both = both.merge(keyed, left_on="b", right_on="lo", suffixes=("", "_b"))
+        a, b, n = both["k"].to_numpy(), both["k_b"].to_numpy(), found.sizes
+        shared = shared_words(found, words, a, b)
+        similar = shared * den >= (n[a] + n[b] - shared) * num
+        a, b = a[similar], b[similar]
+        order = pc.sort_indices(line, [("id", "ascending"), ("line", "ascending")], null_placement="at_start").to_numpy()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        best = np.full(len(order), len(order))
+        np.minimum.at(best, a, place[b])
+        np.minimum.at(best, b, place[a])
+        count = np.bincount(a, minlength=len(order)) + np.bincount(b, minlength=len(order))
+        some = np.flatnonzero(count)
+        other = line.take(pa.array(order[best[some]]))
+        mine = line.take(pa.array(some))
+        columns = [mine["hi"], mine["lo"], pa.array(count[some]), other["id"], other["line"]]
+        return pa.table(columns, names=["hi", "lo", "n", "id", "line"])
 
     asked = dealt.withColumnRenamed("part", "of_part")
     together = asked.groupBy("of_part").cogroup(placed.groupBy("part"))
-    return together.applyInPandas(verify, "a_hi long, a_lo long, b_hi long, b_lo long")
+    found = together.applyInArrow(verify, f"hi long, lo long, n long, id {id_type}, line int")
+    return found.groupBy("hi", "lo").agg(F.sum("n").alias("n_links"), F.min(F.struct("id", "line")).alias("there"))
 
 
 def similar_lines(
@@ -277,21 +399,15 @@ def similar_lines(
     its own or a similar class; the line is ``removed`` if that is another line. Lines
     are ordered by id and number; a row without an id comes first. Rows that share an
     id are one document whose equal lines stay or go together. Lines without a word are
-    never removed and have no row. A null text has no lines; other columns are not read.
+    never removed and have no row; texts and lines of any length are read whole. A null
+    text has no lines; an empty table has none either; other columns are not read.
     """
     table = rarity(docs, text_col)
     lines = line_sets(docs, table, id_col, text_col, similarity)
     first = F.min(F.struct("id", "line")).alias("first")
     sets = lines.groupBy("hi", "lo").agg(first).select("hi", "lo", "first.id", "first.line")
     sets = materialize(sets, "sets")
-    pairs = materialize(similar_pairs(docs, lines, text_col, similarity), "pairs")
-    both = pairs.unionByName(
-        pairs.select(*(F.col(f"{x}_{c}").alias(f"{y}_{c}") for x, y in (("b", "a"), ("a", "b")) for c in ("hi", "lo")))
-    )
-    other = sets.select(F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"), F.struct("id", "line").alias("there"))
-    best = both.join(other, ["b_hi", "b_lo"]).groupBy(F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo")).agg(
-        F.count("*").alias("n_links"), F.min("there").alias("there")
-    )
+    best = links(docs, lines, sets, text_col, similarity)
     here = F.struct("id", "line")
     classes = sets.join(best, ["hi", "lo"], "left").select(
         "hi", "lo", here.alias("first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -309,71 +425,67 @@ def similar_lines(
     )
 
 
-def nameless_marks(rows: DataFrame, gone: DataFrame, text_col: str) -> DataFrame:
-    """(__row, __gone): of each row without an id, by its row key, the lines in ``gone``
+def nameless_marks(rows: DataFrame, gone: DataFrame, text_col: str, row_col: str = "__row") -> DataFrame:
+    """(row_col, marks): of each row without an id, by its row key, the lines in ``gone``
     (line, hi, lo). Such rows share one id, null, so their lines are met by what they
     hold and no list is longer than its text has lines."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Hashes()
-        names = ["__row", "line", "hi", "lo"]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row, text in zip(batch["__row"], batch["text"], strict=True):
-                for number, line in enumerate((text or "").split("\n"), 1):
-                    hashes = word_hashes(line, known)
-                    if len(hashes):
-                        out.append((row, number, *set_key(np.sort(hashes))))
-                if len(out) > 20_000:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=names)
-
-    texts = rows.select("__row", F.col(text_col).alias("text"))
-    lines = texts.mapInPandas(cut, "__row long, line int, hi long, lo long")
+            for begin, _, held in byte_slices(batch.column(1).to_pylist(), _SLICE):
+                found = sets_of(b"\n".join(held))
+                owner, number = _numbers(held)
+                rows_ = batch.column(0).take(pa.array(begin + owner[found.line]))
+                hi, lo = found.keys()
+                columns = [rows_, pa.array(number[found.line].astype(np.int32)), pa.array(hi), pa.array(lo)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "line", "hi", "lo"])
+
+    texts = rows.select(F.col(row_col).alias("row"), F.col(text_col).alias("text"))
+    lines = texts.mapInArrow(cut, "row long, line int, hi long, lo long")
     found = lines.join(gone.select("line", "hi", "lo"), ["line", "hi", "lo"], "left_semi")
-    return found.groupBy("__row").agg(F.collect_list(F.struct("line", "hi", "lo")).alias("__gone"))
+    marked = found.groupBy("row").agg(F.collect_list(F.struct("line", "hi", "lo")).alias("marks"))
+    return marked.withColumnRenamed("row", row_col)
+
+
+def _without(texts: pd.Series, removed: pd.Series) -> pd.Series:
+    """Texts without the marked lines; a mark holds where its line has the marked words."""
+    out = []
+    for text, marks in zip(texts, removed, strict=True):
+        if text is not None and marks is not None:
+            found = sets_of(text.encode().translate(LOWER))
+            hi, lo = found.keys()
+            at = {line: k for k, line in enumerate(found.line.tolist())}
+            drop = set()
+            for x in marks:
+                k = at.get(x["line"] - 1)
+                if k is not None and (hi[k], lo[k]) == (x["hi"], x["lo"]):
+                    drop.add(x["line"] - 1)
+            text = "\n".join(line for k, line in enumerate(text.split("\n")) if k not in drop)
+        out.append(text)
+    return pd.Series(out, dtype=object)
 
 
 def drop_later_lines(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: Fraction = SIMILARITY
 ) -> DataFrame:
     """``docs`` without the lines that similar_lines removes; all rows stay, a text whose
-    lines all go becomes empty. A column n_chars, if there, follows the text."""
+    lines all go becomes empty, a null text stays null. A column n_chars, if there,
+    follows the text. Columns may have any names."""
     gone = similar_lines(docs, id_col, text_col, similarity).where("removed").select("id", "line", "hi", "lo")
-    marks = F.collect_list(F.struct("line", "hi", "lo")).alias("__gone")
-    named = gone.where("id is not null").groupBy(F.col("id").alias("__gone_id")).agg(marks)
-
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, removed: pd.Series) -> pd.Series:
-        out, known = [], Hashes()
-        for text, marks in zip(texts, removed, strict=True):
-            if text is not None and marks is not None:
-                lines = text.split("\n")
-                drop = {
-                    x["line"] - 1
-                    for x in marks
-                    if x["line"] <= len(lines)
-                    and set_key(np.sort(word_hashes(lines[x["line"] - 1], known))) == (x["hi"], x["lo"])
-                }
-                text = "\n".join(line for k, line in enumerate(lines) if k not in drop)
-            out.append(text)
-        return pd.Series(out, dtype=object)
-
+    gone = materialize(gone, "gone")
+    key, list_, row = (free_name(docs, c) for c in ("gone_id", "gone_lines", "gone_row"))
+    marks = F.collect_list(F.struct("line", "hi", "lo")).alias(list_)
+    named = gone.where("id is not null").groupBy(F.col("id").alias(key)).agg(marks)
     nameless = docs.where(F.col(id_col).isNull())
-    if nameless.isEmpty():
-        joined = docs.join(named, F.col(id_col) == F.col("__gone_id"), "left")
-    else:
-        gone = materialize(gone, "gone")
-        marked = gone.where("id is not null").groupBy(F.col("id").alias("__gone_id")).agg(marks)
-        joined = docs.where(F.col(id_col).isNotNull()).join(marked, F.col(id_col) == F.col("__gone_id"), "left")
-        rows = materialize(nameless.withColumn("__row", F.monotonically_increasing_id()), "nameless")
-        own = nameless_marks(rows, gone.where("id is null"), text_col)
-        joined = joined.drop("__gone_id").unionByName(rows.join(own, "__row", "left").drop("__row"))
-    changed = joined.withColumn(text_col, without(F.col(text_col), F.col("__gone")))
+    joined = docs.join(named, F.col(id_col) == F.col(key), "left").drop(key)
+    if not nameless.isEmpty():
+        joined = joined.where(F.col(id_col).isNotNull())
+        rows = materialize(nameless.withColumn(row, F.monotonically_increasing_id()), "nameless")
+        own = nameless_marks(rows, gone.where("id is null"), text_col, row).withColumnRenamed("marks", list_)
+        joined = joined.unionByName(rows.join(own, row, "left").drop(row))
+    changed = joined.withColumn(text_col, F.pandas_udf(_without, "string")(F.col(text_col), F.col(list_)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         length = F.length(text_col).cast(kind)
-        changed = changed.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(length))
+        changed = changed.withColumn("n_chars", F.when(F.col(list_).isNull(), F.col("n_chars")).otherwise(length))
     return changed.select(*docs.columns)

@@ -70,6 +70,8 @@ def test_against_brute_force(spark, similarity, vocabulary):
 def test_small_filter_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(keyfilter, "MOST_BITS", 3)
     monkeypatch.setattr(m, "VERIFY_PAIRS", 3)
+    monkeypatch.setattr(m, "_CHUNK", 7)
+    monkeypatch.setattr(m, "_SLICE", 100)
     rows = varied(5, 150, [f"w{i}" for i in range(30)])
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(m.similar_lines(docs)) == plain(rows)
@@ -126,4 +128,40 @@ def test_rows_without_an_id_get_their_own_lines(spark):
     assert sorted(r.text for r in m.drop_later_lines(docs).collect()) == sorted(want)
     keyed = docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id()).localCheckpoint()
     marks = m.nameless_marks(keyed, m.similar_lines(docs).where("removed and id is null"), "text")
-    assert {len(r["__gone"]) for r in marks.collect()} == {1}
+    assert {len(r["marks"]) for r in marks.collect()} == {1}
+
+
+def test_words_and_sets_of_a_text():
+    rng = random.Random(3)
+    texts = ["", "\n\n", "a", " a\tb\x0bc\x0cd\r\n\x1c e", "x" * 700_000 + " y", "é日 \x00\x01 a"]
+    texts += ["".join(rng.choices("ab \n\t", k=k)) for k in range(40)] + [" ".join(str(rng.random()) for _ in range(60_000))]
+    known = {}
+    for text in texts:
+        hashes, line = m.words_of(text.encode())
+        want = [(w, k) for k, x in enumerate(text.split("\n")) for w in space_words(x)]
+        assert line.tolist() == [k for _, k in want]
+        for (word, _), h in zip(want, hashes.tolist(), strict=True):
+            assert known.setdefault(word, h) == h
+    assert len(set(known.values())) == len(known)
+    one, two = m.sets_of(b"b a a c\n\nc b a"), m.sets_of(b"a b c d")
+    assert one.line.tolist() == [0, 2] and one.sizes.tolist() == [3, 3]
+    assert one.keys()[0][0] == one.keys()[0][1] != two.keys()[0][0]
+
+
+def test_column_names_of_the_lines_own(spark):
+    rows = [(1, "a b c d e\nx y z", 3), (2, "a b c d e", 4), (None, "x y z", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id int").selectExpr(
+        "*", "gone_id as __gone", "gone_id as __gone_id", "gone_id as gone_lines", "gone_id as gone_row", "gone_id as part"
+    )
+    kept = m.drop_later_lines(docs)
+    assert kept.columns == docs.columns
+    assert {(r.doc_id, r.text, r.gone_id) for r in kept.collect()} == {(1, "a b c d e", 3), (2, "", 4), (None, "x y z", 5)}
+
+
+def test_long_lines_are_split_by_bytes(spark):
+    rows = [(a, 1 + a, 7) for a in range(300)]
+    pairs = spark.createDataFrame(rows, "a long, b long, word int")
+    ends = spark.createDataFrame([(7, k, 1000) for k in range(301)], "word int, lo long, bytes long")
+    dealt, needed = m.verify_parts(pairs, 10_000, ends, most=60_000)
+    assert sorted(r[1:] for r in map(tuple, dealt.collect())) == sorted(r[:2] for r in rows)
+    assert max(Counter(r["part"] for r in needed.collect()).values()) < 200
