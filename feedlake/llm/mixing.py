@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedlake.llm.textrules import free_name
 from feedlake.session import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,16 +38,23 @@ class Target:
     repeats: float | None = None
 
 
+def _key(row_id: Column, text: Column) -> Column:
+    """What names a unit within its source: the id, or without one the text."""
+    return F.coalesce(row_id.cast("string"), F.concat(F.lit("text:"), F.md5(text.cast("binary"))))
+
+
 def units(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """(id, source, n_tokens): rows of one id and source are one unit and stay together.
-    A null source counts as an empty name, a null text as empty."""
-    tokens = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD))
+    """(id, source, key, n_tokens): rows of one id and source are one unit and stay
+    together; so are rows of a source that have no id and the same text. A null source
+    counts as an empty name, a null text as empty."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        tokens.cast("long").alias("n"),
+        _key(F.col(id_col), text).alias("key"),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("n"),
     )
-    return materialize(rows.groupBy("id", "source").agg(F.sum("n").alias("n_tokens")), "units")
+    return materialize(rows.groupBy("id", "source", "key").agg(F.sum("n").alias("n_tokens")), "units")
 
 
 def exponent(sources: DataFrame, target: Target, scale: float = 1.0) -> float:
@@ -133,6 +141,37 @@ def plan(unit: DataFrame, target: Target, budget: int | None = None) -> DataFram
     )
 
 
+def _dealt(unit: DataFrame, target: Target, budget: int | None) -> DataFrame:
+    """(id, source, key, n_tokens, pass, block, order_key) per unit and pass; see mix."""
+    sources = materialize(plan(unit, target, budget), "plan")
+    known = sources.select("source", "passes", "rest", "n_blocks")
+    block = F.pmod(_number(F.col("key")), F.col("n_blocks"))
+    rows = unit.join(known, "source").withColumn("block", block)
+    rows = rows.select("id", "source", "key", "n_tokens", "passes", "rest", "block")
+
+    last_pass = F.col("passes") + 1
+    blocks = rows.groupBy("source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("size"))
+    blocks = blocks.withColumn("place", _order(last_pass, F.col("source"), F.col("block")))
+    blocks = blocks.withColumn("part", F.substring("place", 1, 2))
+    parts = blocks.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
+    through = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("source", "part", F.coalesce(F.sum("part_size").over(through), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy("source", "part").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = F.coalesce(F.sum("size").over(inside), F.lit(0))
+    starts = blocks.withColumn("earlier", earlier).join(parts, ["source", "part"]).select(
+        "source", "block", (F.col("offset") + F.col("earlier")).alias("start")
+    )
+    own = _order(last_pass, F.col("key"))
+    in_block = Window.partitionBy("source", "block").orderBy(own, "key").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("start") + F.coalesce(F.sum("n_tokens").over(in_block), F.lit(0))
+    placed = rows.join(starts, ["source", "block"]).withColumn("ahead", ahead)
+    # The unit that reaches the budget is the last: a source without a rest takes none.
+    more = (F.col("ahead") < F.col("rest")).cast("long")
+    taken = placed.select("id", "source", "key", "n_tokens", "block", (F.col("passes") + more).alias("times"))
+    dealt = taken.where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return dealt.withColumn("order_key", _order(F.col("pass"), F.col("source"), F.col("block")))
+
+
 def mix(
     docs: DataFrame,
     target: Target,
@@ -145,50 +184,29 @@ def mix(
 
     Sorting by order_key and id gives the permuted order: blocks of all sources mingle,
     a block's documents stay together. In a source's last pass, units are taken in this
-    order as long as their tokens fit into what is left of its budget.
+    order until their tokens reach what is left of its budget: a source gets its budget,
+    and over it less than the tokens of one unit, however long its texts are.
 
     The order of a source's blocks is worked out in two steps, by the first byte of
     their keys and then within it, so a source that holds much of the corpus is no
-    single window. An empty table gives an empty one.
+    single window. Ties of hashes go to the smaller key. An empty table gives an empty one.
     """
-    unit = units(docs, id_col, text_col, source_col)
-    sources = materialize(plan(unit, target, budget), "plan")
-    known = sources.select("source", "passes", "rest", "n_blocks")
-    block = F.pmod(_number(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.col("n_blocks"))
-    rows = unit.join(known, "source").withColumn("block", block)
-    rows = rows.select("id", "source", "n_tokens", "passes", "rest", "block")
-
-    last_pass = F.col("passes") + 1
-    blocks = rows.groupBy("source", "block", "passes", "rest").agg(F.sum("n_tokens").alias("size"))
-    blocks = blocks.withColumn("key", _order(last_pass, F.col("source"), F.col("block")))
-    blocks = blocks.withColumn("part", F.substring("key", 1, 2))
-    parts = blocks.groupBy("source", "part").agg(F.sum("size").alias("part_size"))
-    through = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("source", "part", F.coalesce(F.sum("part_size").over(through), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("source", "part").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.coalesce(F.sum("size").over(inside), F.lit(0))
-    starts = blocks.withColumn("earlier", earlier).join(parts, ["source", "part"]).select(
-        "source", "block", (F.col("offset") + F.col("earlier")).alias("start")
-    )
-    own = _order(last_pass, F.coalesce(F.col("id").cast("string"), F.lit("")))
-    in_block = Window.partitionBy("source", "block").orderBy(own, "id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.join(starts, ["source", "block"]).withColumn("through", F.sum("n_tokens").over(in_block))
-    more = (F.col("start") + F.col("through") <= F.col("rest")).cast("long")
-    # A source without tokens has no budget to spend, not even on empty texts.
-    more = F.when((F.col("passes") == 0) & (F.col("rest") == 0), 0).otherwise(more)
-    taken = placed.select("id", "source", "n_tokens", "block", (F.col("passes") + more).alias("times")).where("times > 0")
-    dealt = taken.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return dealt.select(
-        "id", "source", "n_tokens", "pass", "block",
-        _order(F.col("pass"), F.col("source"), F.col("block")).alias("order_key"),
-    )
+    dealt = _dealt(units(docs, id_col, text_col, source_col), target, budget)
+    return dealt.select("id", "source", "n_tokens", "pass", "block", "order_key")
 
 
 def mixed(docs: DataFrame, target: Target, budget: int | None = None) -> DataFrame:
-    """The documents of the mixture: all columns of ``docs``, pass and order_key, a row
-    per document and pass."""
-    dealt = mix(docs, target, budget).select(
-        F.col("id").alias("__id"), F.col("source").alias("__source"), F.col("pass").alias("mix_pass"), "order_key"
+    """The documents of the mixture: all columns of ``docs``, mix_pass and order_key (which
+    replace columns of these names), a row per row of a unit and pass. Rows of one id and
+    source stay together; see ``units`` for rows without an id, and for nulls."""
+    own = [c for c in docs.columns if c.lower() not in ("mix_pass", "order_key")]
+    key, source = (free_name(docs, c) for c in ("unit_key", "unit_source"))
+    dealt = _dealt(units(docs, "doc_id", "text", "source"), target, budget).select(
+        F.col("key").alias(key), F.col("source").alias(source), F.col("pass").alias("mix_pass"), "order_key"
+    )
+    rows = docs.select(
+        *own,
+        _key(F.col("doc_id"), F.coalesce("text", F.lit(""))).alias(key),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias(source),
     )
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.coalesce("source", F.lit("")) == F.col("__source"))
-    return docs.join(dealt, same).drop("__id", "__source")
+    return rows.join(dealt, [key, source]).select(*own, "mix_pass", "order_key")

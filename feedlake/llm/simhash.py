@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedlake.llm.components import connected_components
-from feedlake.llm.textrules import space_words
+from feedlake.llm.textrules import free_name, space_words
 from feedlake.session import materialize
 
 BITS = 64
@@ -159,8 +159,9 @@ def keep_one(
     if its row is repeated. Rows without an id stay as they are."""
     found = near_duplicates(docs, id_col, text_col, shingle_words, radius)
     kept = found.where("id = component").groupBy("id").agg(F.count("*").alias("n"))
-    kept = materialize(kept.withColumnRenamed("id", "__kept"), "kept")
-    chosen = F.col(id_col) == F.col("__kept")
-    single = docs.join(kept.where("n = 1"), chosen, "left_semi")
-    repeated = docs.join(kept.where("n > 1"), chosen, "left_semi").dropDuplicates([id_col])
+    name = free_name(docs, "kept_id")
+    kept = materialize(kept.select(F.col("id").alias(name), "n"), "kept")
+    chosen = F.col(id_col) == F.col(name)
+    single = docs.join(kept.where("n = 1").select(name), chosen, "left_semi")
+    repeated = docs.join(kept.where("n > 1").select(name), chosen, "left_semi").dropDuplicates([id_col])
     return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))

@@ -83,7 +83,7 @@ def mixing_sql(docs: str = "documents") -> str:
 
     return f"""
 WITH RECURSIVE unit AS (
-  SELECT doc_id, coalesce(source, '') AS source,
+  SELECT doc_id, coalesce(source, '') AS source, coalesce(doc_id::VARCHAR, 'text:' || md5(coalesce(text, ''))) AS key,
          sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS n_tokens
   FROM {docs} GROUP BY ALL),
 sources AS (SELECT source, sum(n_tokens) AS total, count(*) AS n_units FROM unit GROUP BY source),
@@ -99,16 +99,15 @@ budgets AS (SELECT *, round(r / (SELECT sum(r) FROM raised) * t)::BIGINT AS budg
 planned AS (SELECT source, CASE WHEN total > 0 THEN budget // total ELSE 0 END AS passes,
                    CASE WHEN total > 0 THEN budget % total ELSE budget END AS rest,
                    ceil(n_units / 64)::BIGINT AS n_blocks FROM budgets),
-dealt AS (SELECT u.doc_id, u.source, u.n_tokens, p.passes, p.rest,
-                 {_hex_number("md5(coalesce(u.doc_id::VARCHAR, ''))")} % n_blocks AS block
+dealt AS (SELECT u.doc_id, u.source, u.key, u.n_tokens, p.passes, p.rest,
+                 {_hex_number("md5(u.key)")} % n_blocks AS block
           FROM unit u JOIN planned p USING (source)),
 ordered AS (SELECT *, sum(n_tokens) OVER (
               PARTITION BY source
               ORDER BY md5(concat_ws('|', 'mix', passes + 1, source, block)), block,
-                       md5(concat_ws('|', 'mix', passes + 1, coalesce(doc_id::VARCHAR, ''))), doc_id
+                       md5(concat_ws('|', 'mix', passes + 1, key)), key
               ROWS UNBOUNDED PRECEDING) AS through FROM dealt),
-counted AS (SELECT *, passes + CASE WHEN passes = 0 AND rest = 0 THEN 0 WHEN through <= rest THEN 1 ELSE 0 END AS times
-            FROM ordered),
+counted AS (SELECT *, passes + CASE WHEN through - n_tokens < rest THEN 1 ELSE 0 END AS times FROM ordered),
 passed AS (SELECT *, unnest(range(1, times::BIGINT + 1)) AS pass FROM counted)
 SELECT doc_id, source, n_tokens::BIGINT AS n_tokens, pass::INTEGER AS pass, block::BIGINT AS block,
        md5(concat_ws('|', 'mix', pass, source, block)) AS order_key FROM passed"""
