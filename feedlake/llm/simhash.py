@@ -158,10 +158,14 @@ def keep_one(
     """``docs`` with one row of each component: the one with the least id, once even
     if its row is repeated. Rows without an id stay as they are."""
     found = near_duplicates(docs, id_col, text_col, shingle_words, radius)
-    kept = found.where("id = component").groupBy("id").agg(F.count("*").alias("n"))
-    name = free_name(docs, "kept_id")
-    kept = materialize(kept.select(F.col("id").alias(name), "n"), "kept")
-    chosen = F.col(id_col) == F.col(name)
-    single = docs.join(kept.where("n = 1").select(name), chosen, "left_semi")
-    repeated = docs.join(kept.where("n > 1").select(name), chosen, "left_semi").dropDuplicates([id_col])
-    return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    rows = found.groupBy("id", "component").agg(F.count("*").alias("n"))
+    name = free_name(docs, "judged_id")
+    # Most rows stay as they are, so it is the others' ids that the documents meet.
+    judged = rows.where("id <> component or n > 1").select(
+        F.col("id").alias(name), (F.col("id") == F.col("component")).alias("stays")
+    )
+    judged = materialize(judged, "judged")
+    same = F.col(id_col) == F.col(name)
+    single = docs.join(judged.select(name), same, "left_anti")
+    repeated = docs.join(judged.where("stays").select(name), same, "left_semi").dropDuplicates([id_col])
+    return single.unionByName(repeated)
