@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake import config as C
-from feedlake.functions.text import let
-from feedlake.functions.tokens import each, ngrams, words
+from feedlake.functions.text import let, settled
+from feedlake.functions.tokens import each, words
 from feedlake.session import materialize
 
 SCORE_DIGITS = 6
@@ -53,47 +53,52 @@ def topic_terms(topics: DataFrame) -> DataFrame:
     )
 
 
+def _windows(tokens: Column, size: int) -> Column:
+    """Each token with those behind it, ``size`` in all; null beyond the end."""
+    return let(tokens, lambda w: F.arrays_zip(*(F.slice(w, k + 1, F.size(w)).alias(f"t{k}") for k in range(size))))
+
+
+def phrase_occurrences(articles: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(article_id, n_words, in_title, term): every place where a phrase stands.
+
+    ``phrases``: term, distinct; words joined by a blank. A place meets the phrases that
+    begin with its word, and the words behind decide; no n-grams are made. The longest
+    phrase, one number, is asked of the phrases first. Phrases are the small side, which
+    Spark broadcasts if it fits its limit.
+    """
+    wanted = phrases.select("term", F.split("term", " ").alias("w"))
+    longest = wanted.agg(F.max(F.size("w"))).first()[0] or 1
+    places = articles.select(
+        "article_id",
+        settled(F.size(words(F.col("title")))).alias("n_title"),
+        _windows(words(F.col("title")), longest).alias("title_places"),
+        _windows(words(F.col("body")), longest).alias("body_places"),
+    ).select(
+        "article_id",
+        "n_title",
+        (F.size("title_places") + F.size("body_places")).alias("n_words"),
+        F.posexplode_outer(F.concat("title_places", "body_places")).alias("position", "t"),
+    )
+    same = F.col("t")["t0"] == F.col("w")[0]
+    for k in range(1, longest):
+        same = same & ((F.size("w") <= k) | F.coalesce(F.col("t")[f"t{k}"] == F.get("w", F.lit(k)), F.lit(False)))
+    found = places.join(wanted, same)
+    return found.select("article_id", "n_words", (F.col("position") < F.col("n_title")).alias("in_title"), "term")
+
+
 def keyword_score(
     articles: DataFrame, topics: DataFrame, settings: C.RankingSettings = C.RankingSettings()
 ) -> DataFrame:
     """(topic_id, article_id, relevance): weighted term frequency over length.
 
-    Words and phrases of an article become rows. Those no topic asks for drop out
-    at once, the rest is summed per (article, term), and only then do terms meet
-    topics: a term shared by many topics multiplies sums, not occurrences. The
-    topics' terms are the small side of both joins; Spark broadcasts them when
-    they fit its limit. Phrases may have any number of words: the lengths in use, a
-    handful of numbers, are asked of the topics first.
+    Places where no topic's term stands drop out at once, the rest is summed per
+    (article, term), and only then do terms meet topics: a term shared by many topics
+    multiplies sums, not occurrences. Phrases may have any number of words.
     """
     terms = topic_terms(topics)
-    sizes = terms.select(F.size(F.split("term", " ")).alias("n")).distinct().collect()
-    lengths = sorted(r.n for r in sizes) or [1]
-
-    def grams(column: str) -> Column:
-        tokens = words(F.col(column))
-        return let(
-            tokens,
-            lambda w: F.concat(*[ngrams(w, n) for n in lengths]),
-        )
-
-    occurrences = (
-        articles.select(
-            "article_id",
-            (F.size(words(F.col("title"))) + F.size(words(F.col("body")))).alias("n_words"),
-            grams("title").alias("title_grams"),
-            grams("body").alias("body_grams"),
-        )
-        .select(
-            "article_id",
-            "n_words",
-            F.size("title_grams").alias("n_title"),
-            F.posexplode_outer(F.concat("title_grams", "body_grams")).alias("position", "term"),
-        )
-        .join(terms.select("term").distinct(), "term", "left_semi")
-    )
-    in_title = F.col("position") < F.col("n_title")
+    occurrences = phrase_occurrences(articles, terms.select("term").distinct())
     per_term = occurrences.groupBy("article_id", "n_words", "term").agg(
-        F.sum(F.when(in_title, settings.title_weight).otherwise(1.0)).alias("weight")
+        F.sum(F.when(F.col("in_title"), settings.title_weight).otherwise(1.0)).alias("weight")
     )
     return (
         per_term.join(terms, "term")
