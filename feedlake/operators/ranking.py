@@ -131,11 +131,13 @@ def idf_snapshot(counts: DataFrame, articles: DataFrame) -> DataFrame:
     idf = ln((1 + N) / (1 + df)) + 1.
     """
     n_articles = articles.agg(F.count(F.lit(1))).scalar()
-    return (
-        counts.groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .select("term", (F.log((1 + n_articles) / (1 + F.col("df"))) + 1).alias("idf"))
-    )
+    return idf_of(counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_articles)
+
+
+def idf_of(frequencies: DataFrame, n_articles: Column | int) -> DataFrame:
+    """(term, idf) of document frequencies (term, df)."""
+    count = n_articles if isinstance(n_articles, Column) else F.lit(n_articles)
+    return frequencies.select("term", (F.log((1 + count) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def tfidf_score(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from feedlake import config as C
 from feedlake.functions.tokens import sentences
+from feedlake.session import materialize
 
 
 def needs_summary(candidates: DataFrame, summaries: DataFrame, model: str) -> DataFrame:
@@ -45,38 +46,37 @@ def check_summaries(
     )
 
 
-def running_total(
-    rows: DataFrame,
-    keys: Sequence[str],
-    order: str,
-    value: str,
-    out: str,
-    block_size: int = 4096,
-) -> DataFrame:
-    """Running sum of ``value`` per key in the order of a unique integer column.
+def running_total(rows: DataFrame, keys: list[str], order: str, value: str, out: str) -> DataFrame:
+    """Running sum of ``value`` per key in the order of a unique column of any type.
 
-    A key may hold most of the rows, so no window spans a whole key: rows are
-    summed per block of ``order``, the block totals are accumulated, and the sum
-    inside a block (at most ``block_size`` rows) is added to its block's start.
+    A key may hold most of the rows, and its order may be sparse (hashes, times), so
+    rows are cut into ranges of key and order, of like size: each range sums its own
+    rows, and the totals of the ranges before are added. No window spans more than one
+    range. Ranges come from a sample, so they are written once and read from there. Rows
+    with a null key are one key.
     """
-    block = F.floor(F.col(order) / F.lit(block_size)).alias("_block")
-    blocked = rows.withColumn("_block", block)
-    totals = blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_total"))
-    before = (
-        Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    ranged = rows.repartitionByRange(*keys, order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(ranged, "ranges")
+    totals = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_key{k}" for k in range(len(keys))]
     starts = totals.select(
-        *keys, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")
+        *(F.col(key).alias(name) for key, name in zip(keys, names, strict=True)),
+        F.col("_range").alias("_of"),
+        F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start"),
     )
+    same = F.col("_range") == F.col("_of")
+    for key, name in zip(keys, names, strict=True):
+        same = same & F.col(key).eqNullSafe(F.col(name))
     inside = (
-        Window.partitionBy(*keys, "_block")
+        Window.partitionBy(*keys, "_range")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        blocked.join(starts, [*keys, "_block"])
+        ranged.join(starts, same)
         .withColumn(out, F.col("_start") + F.sum(value).over(inside))
-        .drop("_block", "_start")
+        .drop("_range", "_of", "_start", *names)
     )
 
 

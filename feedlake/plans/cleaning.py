@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from feedlake import config as C
 from feedlake.functions import dates, text, urls
-from feedlake.operators import entries, validation
+from feedlake.operators import entries, networks, validation
 from feedlake.plans import inputs as I
 from feedlake.plans import sqltext as S
 from feedlake.plans.registry import query
@@ -498,3 +498,36 @@ def hash_stability(spark, sf):
         F.countDistinct("content_hash").alias("n_hashes"),
         F.count(F.lit(1)).alias("n_variants"),
     )
+
+
+_DOTTED = "({0} // 16777216) || '.' || ({0} // 65536 % 256) || '.' || ({0} // 256 % 256) || '.' || ({0} % 256)"
+
+
+def _dotted(number):
+    octets = [(F.floor(number / 2**shift) % 256).cast("string") for shift in (24, 16, 8, 0)]
+    return F.concat_ws(".", *octets)
+
+
+@query(
+    "longest_network",
+    f"""WITH nets AS (
+         SELECT (s_suppkey * 2654435761) % 4294967296 AS net, 4 + (s_suppkey % 29) AS bits,
+                {_DOTTED.format('((s_suppkey * 2654435761) % 4294967296)')} || '/' || (4 + s_suppkey % 29) AS network
+         FROM supplier),
+       hosts AS (
+         SELECT DISTINCT (c_custkey * 2654435761 + (c_custkey % 7) * 3000) % 4294967296 AS ip FROM customer
+         UNION SELECT (o_orderkey * 40503 * 65537) % 4294967296 FROM orders),
+       met AS (
+         SELECT ip, bits, min(network) AS network FROM hosts JOIN nets
+         ON ip // (1::BIGINT << (32 - bits)) = net // (1::BIGINT << (32 - bits)) GROUP BY ip, bits)
+       SELECT {_DOTTED.format('ip')} AS host, arg_max(network, bits) AS network FROM met GROUP BY ip""",
+)
+def longest_network(spark, sf):
+    """A block list as long as the supplier table; customers and orders make the hosts."""
+    key = F.col("s_suppkey").cast("long")
+    network = F.concat_ws("/", _dotted((key * 2654435761) % 4294967296), (4 + key % 29).cast("string"))
+    listed = I.table(spark, sf, "supplier").select(network.alias("network"))
+    buyer, order = F.col("c_custkey").cast("long"), F.col("o_orderkey").cast("long")
+    hosts = I.table(spark, sf, "customer").select(_dotted((buyer * 2654435761 + (buyer % 7) * 3000) % 4294967296).alias("host"))
+    more = I.table(spark, sf, "orders").select(_dotted((order * 40503 * 65537) % 4294967296).alias("host"))
+    return networks.longest_network(hosts.unionByName(more), listed)

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from feedlake import config as C
 from feedlake.functions.tokens import without_stop_words, words
 from feedlake.operators import deliveries, ranking
+from feedlake.operators.idf import IdfStore
 from feedlake.plans import inputs as I
 from feedlake.plans import sqltext as S
 from feedlake.plans.registry import query
-from feedlake.session import materialize
+from feedlake.session import materialize, scratch_path
 
 # The window covers all articles of the supplied tables.
 SETTINGS = C.RankingSettings(window_days=31)
@@ -133,6 +134,15 @@ def tfidf_score(spark, sf):
     return ranking.tfidf_score(I.ranked_articles(spark, sf), I.topics(spark, sf))
 
 
+@query("tfidf_frozen", f"WITH {_TFIDF} SELECT topic_id, article_id, relevance FROM relevance")
+def tfidf_frozen(spark, sf):
+    """The same scores with the IDF of a store, which a second call reads as it is."""
+    articles, store = I.ranked_articles(spark, sf), IdfStore(spark, scratch_path(spark, "idf"))
+    bounds = F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-31").cast("timestamp")
+    store.frozen(articles, *bounds)
+    return ranking.tfidf_score(articles, I.topics(spark, sf), store.frozen(articles, *bounds))
+
+
 @query("recency_boost", f"SELECT event_id, {_RECENCY.format('ts')} AS recency FROM events")
 def recency_boost(spark, sf):
     boost = ranking.recency_boost(F.col("ts"), I.run_date())

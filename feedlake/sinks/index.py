@@ -22,7 +22,7 @@ _ROW = T.StructType([T.StructField(KEY, T.StringType()), T.StructField("run", T.
 _BASE = T.StructType([*_ROW.fields, T.StructField("prefix", T.StringType())])
 
 
-def _folders(spark: SparkSession, path: str, column: str) -> list[str]:
+def partition_folders(spark: SparkSession, path: str, column: str) -> list[str]:
     """Values of the partition folders ``column=`` below ``path``."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -41,7 +41,7 @@ class HashIndex:
     def _state(self) -> tuple[int, int, str] | None:
         """(snapshot, digits, last run in it); None before the first compaction. States
         are appended and the highest number counts, so a crash leaves the old one."""
-        if not _folders(self.spark, f"{self.path}/state", "snapshot"):
+        if not partition_folders(self.spark, f"{self.path}/state", "snapshot"):
             return None
         rows = self.spark.read.schema("digits int, through string, snapshot int").json(f"{self.path}/state")
         last = rows.agg(F.max(F.struct("snapshot", "digits", "through")).alias("s")).first().s
@@ -50,7 +50,7 @@ class HashIndex:
     def _runs(self) -> DataFrame:
         """Hashes of runs since the last compaction."""
         state = self._state()
-        if not _folders(self.spark, f"{self.path}/runs", "run"):
+        if not partition_folders(self.spark, f"{self.path}/runs", "run"):
             return self.spark.createDataFrame([], _ROW)
         rows = self.spark.read.schema(_ROW).parquet(f"{self.path}/runs")
         return rows if state is None else rows.where(F.col("run") > state[2])
@@ -63,9 +63,9 @@ class HashIndex:
     def repair(self, before: str) -> list[str]:
         """Index runs that an earlier job wrote without coming to its index; their names."""
         state = self._state()
-        known = set(_folders(self.spark, f"{self.path}/runs", "run"))
+        known = set(partition_folders(self.spark, f"{self.path}/runs", "run"))
         through = "" if state is None else state[2]
-        missing = [r for r in _folders(self.spark, self.articles, "run") if through < r < before and r not in known]
+        missing = [r for r in partition_folders(self.spark, self.articles, "run") if through < r < before and r not in known]
         for run in missing:
             self.add(run)
         return missing
@@ -106,7 +106,7 @@ class HashIndex:
         digits = 1
         while digits < MOST_DIGITS and counted.n > PARTITION_ROWS * 16**digits:
             digits += 1
-        names = _folders(self.spark, f"{self.path}/runs", "run")
+        names = partition_folders(self.spark, f"{self.path}/runs", "run")
         through = max([*names, *([state[2]] if state else [])], default="")
         number = 0 if state is None else state[0] + 1
         (

@@ -402,7 +402,7 @@ def test_running_total_crosses_blocks(spark):
     frame = spark.createDataFrame(rows, "k string, o long, v long")
     got = {
         (r.k, r.o): r.t
-        for r in summaries.running_total(frame, ["k"], "o", "v", "t", block_size=16).collect()
+        for r in summaries.running_total(frame, ["k"], "o", "v", "t").collect()
     }
     expected, total = {("cold", 1): 9}, 0
     for _, o, v in rows[:-1]:
