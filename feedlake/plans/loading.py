@@ -12,6 +12,7 @@ from feedlake.plans import sqltext as S
 from feedlake.plans.registry import query
 from feedlake.session import materialize, scratch_path
 from feedlake.sources import decode, feeds, tables
+from feedlake.streaming.health import current_health, follow_health
 from feedlake.streaming.ingest import stream_ingest as start_stream
 
 # --- Scans ------------------------------------------------------------------
@@ -420,6 +421,25 @@ def source_health(spark, sf):
     )
 
 
+@query(
+    "stream_source_health",
+    f"""WITH {_HEALTH_SQL}
+        SELECT source_id, strftime(ok_at, '%Y-%m-%d %H:%M:%S') AS last_fetched_at, error_count,
+               last_error
+        FROM health""",
+)
+def stream_source_health(spark, sf):
+    """The fetch log landed in a folder, which a stream follows until drained."""
+    landing, health = scratch_path(spark, "runs"), scratch_path(spark, "health")
+    log = I.fetch_runs(spark, sf)
+    log.write.parquet(landing)
+    runs = spark.readStream.schema(log.schema).parquet(landing)
+    follow_health(runs, health, scratch_path(spark, "checkpoint")).awaitTermination()
+    return current_health(spark, health).select(
+        "source_id", I.text_stamp("last_fetched_at"), "error_count", "last_error"
+    )
+
+
 def _sources_with_health(spark, sf):
     """One source per user id, folded with the fetch log."""
     users = I.table(spark, sf, "events").select(F.col("user_id").alias("id")).distinct()

@@ -10,6 +10,8 @@ from feedlake.operators import insights, summaries
 from feedlake.plans import inputs as I
 from feedlake.plans import sqltext as S
 from feedlake.plans.registry import query
+from feedlake.session import scratch_path
+from feedlake.sinks.shingles import ShingleIndex
 
 
 @query(
@@ -103,6 +105,16 @@ def near_duplicates(spark, sf):
     return insights.near_duplicates(I.documents_table(spark, sf).select("doc_id", "text"))
 
 
+@query("near_duplicates_history", _near_duplicates_sql())
+def near_duplicates_history(spark, sf):
+    """The older half of the documents is stored first, then the newer half meets it."""
+    docs = I.documents_table(spark, sf).select("doc_id", "text")
+    middle = docs.select((F.min("doc_id") + F.max("doc_id")) / 2).scalar()
+    index = ShingleIndex(spark, scratch_path(spark, "shingles"))
+    older = index.add(docs.where(F.col("doc_id") <= middle), "0000")
+    return older.unionByName(index.add(docs.where(F.col("doc_id") > middle), "0001"))
+
+
 @query(
     "adjacent_topics",
     """WITH likes AS (SELECT DISTINCT user_id, props->>'$.k' AS topic FROM events),
