@@ -66,14 +66,111 @@ def test_class_probabilities_sum_to_one():
     assert np.array_equal(m.Weights(np.ones(m.CLASSES), weights.both()).both(), weights.both())
 
 
-def test_shares_of_a_class_sum_to_one():
-    words = [f"w{i}ly".encode() for i in range(50)]
-    counts = np.arange(1, 51)
-    k = m.ending_class(words[0])
-    classes = m.Classes([], np.zeros(m.CLASSES), np.zeros(m.CLASSES))
-    classes.total[k], classes.distinct[k] = counts.sum(), 50
-    both = 10 ** classes.log_share(np.full(51, k), np.append(counts, 0))
-    assert both.sum() == pytest.approx(1)
+def tiny_words(rng, words=40):
+    """Kinds, counts, cells and times of random words in a random order of histories."""
+    kinds = np.sort(rng.integers(0, 3, words))
+    last, skip = rng.integers(0, m.HISTORIES, 400), rng.integers(0, m.HISTORIES, 400)
+    which = rng.integers(0, words, 400)
+    which[last < 4] //= 4
+    c = np.bincount(which, minlength=words)
+    cells, times = np.unique(np.concatenate([which * m.SIDES + last, which * m.SIDES + m.HISTORIES + skip]), return_counts=True)
+    seen = np.zeros((m.CLASSES, m.HISTORIES, m.HISTORIES))
+    np.add.at(seen, (kinds[which], last, skip), 1)
+    return kinds, c, cells, times, seen, (which, last, skip)
+
+
+def test_words_of_a_class_sum_to_one_and_fit_better_by_round():
+    kinds, c, cells, times, seen, (which, last, skip) = tiny_words(np.random.default_rng(5))
+    tables, fits = [], []
+    for _ in range(m.WORD_ROUNDS + 1):
+        weights = m.word_weights(kinds, c, cells, times, tables)
+        total = m.word_sums(kinds, c, weights) + 1
+        for k, g, h in ((0, 3, 5), (2, 0, 15)):
+            mine = kinds == k
+            each = (c[mine] + 1) * np.exp(weights[mine, 0, g] + weights[mine, 1, h])
+            assert each.sum() + 1 == pytest.approx(total[k, g, h], rel=1e-5)
+        own = np.log(c + 1)[which] + weights[which, 0, last] + weights[which, 1, skip]
+        fits.append((own - np.log(total[kinds[which], last, skip])).sum())
+        tables = [*tables, seen / total]
+    assert fits == sorted(fits) and fits[-1] > fits[0] + 5
+
+
+def test_slope_of_words_matches_difference():
+    kinds, c, cells, times, seen, (which, last, skip) = tiny_words(np.random.default_rng(6))
+    start = np.zeros((len(c), 2, m.HISTORIES), np.float32)
+    table = seen / (m.word_sums(kinds, c, start) + 1)
+
+    def fit(weights):
+        total = m.word_sums(kinds, c, weights) + 1
+        own = weights[which, 0, last] + weights[which, 1, skip]
+        return (own - np.log(total[kinds[which], last, skip])).sum()
+
+    moved = m.word_weights(kinds, c, cells, times, [table])
+    cell, n = cells[0], times[0]
+    w, g = cell // m.SIDES, cell % m.HISTORIES
+    nudged = start.copy()
+    nudged[w, 0, g] = 1e-2
+    slope = (fit(nudged) - fit(start)) / 1e-2
+    expected = n - slope
+    assert moved[w, 0, g] == pytest.approx(slope / (max(n, expected) + m.WORD_PRIOR), rel=0.05, abs=1e-3)
+
+
+def plain_scores(rows, held, weights, classes):
+    """Scores word by word from the model's own tables of groups and classes, and weights
+    of words worked out over the whole corpus at once."""
+    texts = [[*space_words(t), b""] for _, t in rows]
+    learned = [t for t, h in zip(texts, held, strict=True) if not h]
+    counts = Counter(w for t in learned for w in t)
+    kind = lambda w: int(classes.of(np.array([m.word_hash(w)], np.uint32), np.array([m.ending(w)]))[0])
+    words = sorted(counts, key=kind)
+    bucket = lambda t, k, s: (m.word_hash(t[k - s]) if k >= s else int(m.BEFORE)) >> 28
+    cells = Counter()
+    seen = np.zeros((m.CLASSES, m.HISTORIES, m.HISTORIES))
+    for t in learned:
+        for k, w in enumerate(t):
+            g, h = bucket(t, k, 1), bucket(t, k, 2)
+            seen[kind(w), g, h] += 1
+            cells[words.index(w) * m.SIDES + g] += 1
+            cells[words.index(w) * m.SIDES + m.HISTORIES + h] += 1
+    kinds, c = np.array([kind(w) for w in words]), np.array([counts[w] for w in words])
+    at, times = np.array(sorted(cells)), np.array([cells[x] for x in sorted(cells)])
+    tables = []
+    for _ in range(m.WORD_ROUNDS):
+        tables.append(seen / (m.word_sums(kinds, c, m.word_weights(kinds, c, at, times, tables)) + 1))
+    own = m.word_weights(kinds, c, at, times, tables)
+    total = m.word_sums(kinds, c, own) + 1
+    out = []
+    for t in texts:
+        hashes, kk = np.array([m.word_hash(w) for w in t], np.uint32), np.array([kind(w) for w in t])
+        score = m.class_log10(weights, hashes, np.arange(len(t)), kk).sum()
+        for k, w in enumerate(t):
+            g, h = bucket(t, k, 1), bucket(t, k, 2)
+            up = math.log(counts[w] + 1)
+            up += own[words.index(w), 0, g] + own[words.index(w), 1, h] if w in counts else 0
+            score += (up - math.log(total[kk[k], g, h])) / math.log(10)
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("block", [16 << 20, 60])
+def test_scores_against_plain_model(spark, monkeypatch, block):
+    monkeypatch.setattr(m, "BLOCK_BYTES", block)
+    monkeypatch.setattr(m, "SHARD_BYTES", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 60) % 300)) for i in range(30)]
+    held = [i % 4 == 0 for i, _ in rows]
+    kept = {}
+    real = m.train
+
+    def train(staged, classes):
+        kept["classes"], kept["weights"] = classes, real(staged, classes)
+        return kept["weights"]
+
+    monkeypatch.setattr(m, "train", train)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: r.score for r in m.scores(docs, F.col("doc_id") % 4 == 0).collect()}
+    want = plain_scores(rows, held, kept["weights"], kept["classes"])
+    assert [got[i] for i, _ in rows] == pytest.approx(want, rel=2e-3)
 
 
 def test_gradient_matches_difference():
@@ -116,10 +213,9 @@ def test_query_on_supplied_table(spark):
     assert [r.h for r in kept.orderBy("i").collect()] == [h for _, h in sorted(zip([i for i, _ in rows], held, strict=True))]
 
 
-def test_classes_in_spark_and_python_agree(spark):
-    tokens = [b"", b"a", b"ab", b"the", b"of", "été".encode(), b"x" * 50, b"ing."]
-    heads = [b"the", b"", b"zz"]
-    frame = spark.createDataFrame([(bytearray(t),) for t in tokens], "token binary")
-    got = frame.select(m.class_column(heads).alias("k"), F.crc32("token").alias("h")).collect()
+def test_classes_of_words():
+    heads = [m.word_hash(w) for w in (b"the", b"", b"zz")]
     classes = m.Classes(heads, np.zeros(m.CLASSES), np.zeros(m.CLASSES))
-    assert [(r.k, r.h) for r in got] == [(classes.of(t), m.word_hash(t)) for t in tokens]
+    words = [b"zz", b"a", b"the", "été".encode(), b""]
+    got = classes.of(np.array([m.word_hash(w) for w in words], np.uint32), np.array([m.ending(w) for w in words]))
+    assert got.tolist() == [2, m.HEADS + m.ending(b"a"), 0, m.HEADS + m.ending("été".encode()), 1]
