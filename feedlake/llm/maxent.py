@@ -105,7 +105,7 @@ def back(hashes: np.ndarray, at: np.ndarray, steps: int) -> np.ndarray:
 
 def histories(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the last word and of the one before it at each position."""
-    return tuple((back(hashes, at, steps) >> np.uint32(28)).astype(np.int64) for steps in (1, 2))
+    return tuple((back(hashes, at, steps) >> np.uint32(28)).astype(np.uint8) for steps in (1, 2))
 
 
 def features(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -224,6 +224,15 @@ def _unpacked(data: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
+def _steps(values: np.ndarray) -> bytes:
+    """Ascending numbers below 2^31 as packed differences, most of them one small byte."""
+    return _packed(np.diff(values, prepend=0).astype(np.int32))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.int32), dtype=np.int64)
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
     """Documents as numbered words, and parts of the dictionaries that explain them.
 
@@ -248,28 +257,27 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> Dat
     def parts(numbers: dict[bytes, int], hashes: np.ndarray, words, lengths, held) -> Iterator[tuple]:
         tokens = np.empty(len(numbers), object)
         tokens[:] = list(numbers)
-        learned = np.repeat(~held, lengths)
-        last, skip = (g[learned] for g in histories(hashes[words], positions(lengths)))
-        kept = words[learned].astype(np.int64)
-        n = np.bincount(kept, minlength=len(tokens))
-        cells, times = np.unique(np.concatenate([kept * SIDES + last, kept * SIDES + HISTORIES + skip]), return_counts=True)
         shard = hashes % np.uint32(shards)
         order = np.argsort(shard, kind="stable")
-        place = np.empty(len(tokens), np.int64)
         firsts = np.flatnonzero(np.diff(shard[order].astype(np.int64), prepend=-1))
         ends = np.append(firsts[1:], len(tokens))
-        place[order] = np.arange(len(tokens)) - np.repeat(firsts, ends - firsts)
-        owner = cells // SIDES
-        cells = place[owner] * SIDES + cells % SIDES
-        by_shard = np.argsort(shard[owner], kind="stable")
-        cells, times, of_cells = cells[by_shard], times[by_shard], shard[owner][by_shard]
-        for first, end in zip(firsts, ends, strict=True):
+        # Words are numbered anew by shard, so that one sort brings cells into shards too.
+        kind = np.int32 if len(tokens) * SIDES < 1 << 31 else np.int64
+        place = np.empty(len(tokens), kind)
+        place[order] = np.arange(len(tokens), dtype=kind)
+        learned = np.repeat(~held, lengths)
+        last, skip = (g[learned] for g in histories(hashes[words], positions(lengths)))
+        kept = place[words[learned]]
+        n = np.bincount(kept, minlength=len(tokens)).astype(np.int32)
+        kept *= SIDES
+        cells, times = np.unique(np.concatenate([kept + last, kept + (skip + HISTORIES)]), return_counts=True)
+        times = times.astype(np.int32)
+        bounds = np.searchsorted(cells, np.append(firsts, len(tokens)).astype(np.int64) * SIDES)
+        for first, end, low, high in zip(firsts, ends, bounds[:-1], bounds[1:], strict=True):
             mine = order[first:end]
-            s = shard[mine[0]]
-            part = slice(*np.searchsorted(of_cells, [s, s + 1]))
             yield (
-                int(s), b" ".join(tokens[mine]), mine.astype(np.int32).tobytes(), _packed(n[mine].astype(np.int32)),
-                _packed(cells[part]), _packed(times[part].astype(np.int32)),
+                int(shard[mine[0]]), b" ".join(tokens[mine]), _steps(mine), _packed(n[first:end]),
+                _steps(cells[low:high] - first * SIDES), _packed(times[low:high]),
             )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,7 +292,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> Dat
             hashes = np.fromiter(map(word_hash, numbers), np.uint32, len(numbers))
             endings = np.fromiter(map(ending, numbers), np.uint8, len(numbers))
             row = (
-                block, ids, _packed(words), lengths.tobytes(), hold.tobytes(), hashes.tobytes(), endings.tobytes(),
+                block, ids, _packed(words), _packed(lengths), hold.tobytes(), hashes.tobytes(), endings.tobytes(),
                 *[None] * 6,
             )
             yield pd.DataFrame([row], columns=schema.names, dtype=object)
@@ -323,7 +331,7 @@ def dictionary(staged: DataFrame) -> DataFrame:
             place = np.array([known.setdefault(t, len(known)) for t in bytes(row.tokens).split(b" ")], np.int64)
             places.append(place)
             n.append(_unpacked(row.n, np.int32))
-            cell = _unpacked(row.cells, np.int64)
+            cell = _from_steps(row.cells)
             cells.append(place[cell // SIDES] * SIDES + cell % SIDES)
             times.append(_unpacked(row.times, np.int32))
         c = np.bincount(np.concatenate(places), np.concatenate(n), len(known)).astype(np.int64)
@@ -338,7 +346,7 @@ def dictionary(staged: DataFrame) -> DataFrame:
                 "shard": group["shard"][:1],
                 "hashes": [np.fromiter(map(word_hash, tokens), np.uint32, len(tokens)).tobytes()],
                 "endings": [np.fromiter(map(ending, tokens), np.uint8, len(tokens)).tobytes()],
-                "c": [_packed(c)], "cells": [_packed(cells)], "times": [_packed(times)],
+                "c": [_packed(c)], "cells": [_steps(cells)], "times": [_packed(times)],
                 "leaders": [[{"token": token, "c": -less} for less, token in first]],
                 "blocks": [group["block"].tolist()],
                 "numbers": [[bytes(b) for b in group["numbers"]]],
@@ -380,7 +388,7 @@ def shard_words(row, classes: Classes) -> tuple[np.ndarray, ...]:
     order = order[np.argsort(kinds[order], kind="stable")]
     rank = np.zeros(len(c), np.int64)
     rank[order] = np.arange(len(order))
-    cells, times = _unpacked(row.cells, np.int64), _unpacked(row.times, np.int64)
+    cells, times = _from_steps(row.cells), _unpacked(row.times, np.int64)
     return kinds[order], c[order], rank[cells // SIDES] * SIDES + cells % SIDES, times, order
 
 
@@ -467,15 +475,20 @@ def learn_words(staged: DataFrame, words: DataFrame, classes: Classes) -> tuple[
 
 
 class Block:
-    """A block row: hash, position and class of every token, and what ``blocks`` wrote."""
+    """A block row: hash, position and class of every token, and what ``blocks`` wrote.
+    With ``turn``, only of the learned texts of that round."""
 
-    def __init__(self, row, classes: Classes):
-        self.lengths = np.frombuffer(row.lengths, np.int64)
+    def __init__(self, row, classes: Classes, turn: int | None = None):
+        self.lengths = _unpacked(row.lengths, np.int64)
         self.held = np.frombuffer(row.held, bool)
         self.words = _unpacked(row.words, np.int32)
+        if turn is not None:
+            mine = ~self.held & (np.arange(len(self.held)) % ROUNDS == turn)
+            self.words = self.words[np.repeat(mine, self.lengths)]
+            self.lengths, self.held = self.lengths[mine], self.held[mine]
         known = np.frombuffer(row.hashes, np.uint32)
         self.hashes = known[self.words]
-        self.kinds = classes.of(known, np.frombuffer(row.endings, np.uint8))[self.words]
+        self.kinds = classes.of(known, np.frombuffer(row.endings, np.uint8)).astype(np.int32)[self.words]
         self.at = positions(self.lengths)
 
 
@@ -487,8 +500,8 @@ def train(staged: DataFrame, classes: Classes) -> Weights:
     """Weights of groups and classes after ROUNDS rounds over all training texts.
 
     A round takes every ROUNDS-th document of each block. A task sends the rows it
-    changed, as half floats with the number of its words that used them; their weighted
-    means make the next round's weights. The table has a fixed size; what is sent grows
+    changed, in 255 steps of their largest change, with the number of its words that used
+    them; their weighted means make the next round's weights. The table has a fixed size; what is sent grows
     with the number of tasks.
     """
     spark = staged.sparkSession
@@ -502,35 +515,30 @@ def train(staged: DataFrame, classes: Classes) -> Weights:
             uses = np.zeros(BUCKETS, np.int64)
             for batch in batches:
                 for row in batch.itertuples():
-                    block = Block(row, classes)
-                    turn = ~block.held & (np.arange(len(block.held)) % ROUNDS == r)
-                    mine = np.flatnonzero(np.repeat(turn, block.lengths))
-                    hashes, at, kinds = block.hashes[mine], block.at[mine], block.kinds[mine]
-                    for first in range(0, len(mine), 64 * BATCH):
+                    block = Block(row, classes, r)
+                    for first in range(0, len(block.words), 64 * BATCH):
                         part = slice(first, first + 64 * BATCH)
-                        uses += learn(own, squares, hashes[part], at[part], kinds[part])
+                        uses += learn(own, squares, block.hashes[part], block.at[part], block.kinds[part])
             change = own.both() - start.value
             for first in range(0, BUCKETS, ROWS):
                 part = slice(first, first + ROWS)
                 if uses[part].any():
+                    scale = max(float(np.abs(change[part]).max()), 1e-9) / 127
+                    steps = np.rint(change[part] / scale).astype(np.int8)
                     yield pd.DataFrame(
-                        {
-                            "first": [first],
-                            "uses": [uses[part].tobytes()],
-                            "change": [zlib.compress(change[part].astype(np.float16).tobytes(), 1)],
-                        }
+                        {"first": [first], "uses": [_packed(uses[part])], "scale": [scale], "change": [_packed(steps)]}
                     )
 
         def mean(group: pd.DataFrame) -> pd.DataFrame:
             uses, change = np.zeros(ROWS, np.int64), np.zeros((ROWS, GROUPS + CLASSES))
-            for row_uses, row_change in zip(group["uses"], group["change"], strict=True):
-                n = np.frombuffer(row_uses, np.int64)
+            for row in group.itertuples():
+                n = _unpacked(row.uses, np.int64)
                 uses += n
-                change += n[:, None] * np.frombuffer(zlib.decompress(row_change), np.float16).reshape(change.shape)
+                change += n[:, None] * (row.scale * _unpacked(row.change, np.int8).reshape(change.shape))
             change /= np.maximum(uses, 1)[:, None]
             return pd.DataFrame({"first": group["first"][:1], "change": [change.astype(np.float32).tobytes()]})
 
-        sent = block_rows(staged).mapInPandas(work, "first int, uses binary, change binary")
+        sent = block_rows(staged).mapInPandas(work, "first int, uses binary, scale double, change binary")
         means = sent.groupBy("first").applyInPandas(mean, "first int, change binary")
         for row in means.collect():
             part = slice(row["first"], row["first"] + ROWS)
@@ -551,24 +559,18 @@ def explain(words: DataFrame, classes: Classes, tables: list[np.ndarray]) -> Dat
                 counts = _unpacked(row.c, np.int64)
                 rank = np.full(len(counts), -1, np.int64)
                 rank[order] = np.arange(len(order))
-                by_word = np.argsort(cells // SIDES, kind="stable")
-                cells = cells[by_word]
+                cells = np.sort(cells)
                 bounds = np.searchsorted(cells // SIDES, np.arange(len(order) + 1))
+                out = []
                 for block, numbers, places in zip(row.blocks, row.numbers, row.places, strict=True):
                     place = _unpacked(places, np.int32)
                     known = np.flatnonzero(rank[place] >= 0)
                     of = rank[place[known]]
                     sizes = bounds[of + 1] - bounds[of]
-                    at = np.repeat(bounds[of], sizes) + positions(sizes)
-                    yield pd.DataFrame(
-                        {
-                            "block": [block],
-                            "numbers": [bytes(numbers)],
-                            "c": [_packed(counts[place])],
-                            "cells": [_packed((np.repeat(known, sizes) * SIDES + cells[at] % SIDES).astype(np.int32))],
-                            "weights": [_packed(flat[cells[at]].astype(np.float16))],
-                        }
-                    )
+                    at = cells[np.repeat(bounds[of], sizes) + positions(sizes)]
+                    own = _steps(np.repeat(known * SIDES, sizes) + at % SIDES)
+                    out.append((block, bytes(numbers), _packed(counts[place]), own, _packed(flat[at].astype(np.float16))))
+                yield pd.DataFrame(out, columns=["block", "numbers", "c", "cells", "weights"])
 
     return words.drop("shard", "leaders").mapInPandas(told, "block long, numbers binary, c binary, cells binary, weights binary")
 
@@ -599,9 +601,9 @@ def scores(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
             count = np.zeros(size, np.int64)
             own = np.zeros((size, SIDES), np.float16)
             for part in dictionary.itertuples():
-                number = np.frombuffer(part.numbers, np.int32)
+                number = _from_steps(part.numbers)
                 count[number] = _unpacked(part.c, np.int64)
-                cells = _unpacked(part.cells, np.int32)
+                cells = _from_steps(part.cells)
                 own[number[cells // SIDES], cells % SIDES] = _unpacked(part.weights, np.float16)
             base = np.log10(count + 1) - lowest
             share = np.log(count + 1)
