@@ -165,12 +165,10 @@ def neighbouring_topics(
     used = materialize(terms.where("topic is not null and term is not null").select("topic", "term").distinct(), "terms")
     n_topics = used.agg(F.count_distinct("topic")).scalar()
     weighed = used.groupBy("term").agg(F.count(F.lit(1)).alias("n")).withColumn("n_topics", n_topics)
-    weighed = weighed.where("n > 1 and n < n_topics").select("term", F.log(F.col("n_topics") / F.col("n")).alias("weight"))
-    # A term of one topic meets no other, but belongs to that topic's norm.
-    alone = used.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("topic").alias("topic")).where("n = 1")
-    alone = alone.withColumn("n_topics", n_topics).where("n_topics > 1")
-    rows = used.join(weighed, "term").select("topic", "term", "weight")
-    rows = rows.unionByName(alone.select("topic", "term", F.log(F.col("n_topics").cast("double")).alias("weight")))
+    # A term of one topic meets no other, but belongs to that topic's norm. One join gives all
+    # weights: a union of joined rows may keep its parts apart, which the joins behind do not expect.
+    weighed = weighed.where("n < n_topics").select("term", F.log(F.col("n_topics") / F.col("n")).alias("weight"))
+    rows = materialize(used.join(weighed, "term").select("topic", "term", "weight"), "weights")
     by_term = _cosines(rows, "term", settings.min_terms, "shared_terms", "term_score")
 
     pairs = by_user.join(by_term, ["topic_a", "topic_b"], "full_outer").na.fill(0)
@@ -179,9 +177,11 @@ def neighbouring_topics(
     )
     pairs = pairs.withColumn("score", score)
     measures = ("shared_users", "shared_terms", "user_score", "term_score", "score")
-    both = pairs.select(F.col("topic_a").alias("topic"), F.col("topic_b").alias("neighbour"), *measures).unionByName(
-        pairs.select(F.col("topic_b").alias("topic"), F.col("topic_a").alias("neighbour"), *measures)
+    ways = F.array(
+        F.struct(F.col("topic_a").alias("topic"), F.col("topic_b").alias("neighbour")),
+        F.struct(F.col("topic_b").alias("topic"), F.col("topic_a").alias("neighbour")),
     )
+    both = pairs.select(F.explode(ways).alias("t"), *measures).select("t.topic", "t.neighbour", *measures)
     order = Window.partitionBy("topic").orderBy(F.desc("score"), "neighbour")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= settings.k)
 
