@@ -228,18 +228,51 @@ def source_diversity(activity: DataFrame, source: str) -> DataFrame:
 def time_to_delivery(deliveries: DataFrame, *by: str | Column) -> DataFrame:
     """Median and 95th percentile of delivered_at - published_at in hours, exact.
 
-    Equal delays are counted first, so the percentiles hold an entry per delay, to the
-    microsecond, and not one per delivery.
+    No task holds all delays of a key. Deliveries are counted in spans of 2**32
+    microseconds, then in pieces of 2**16 of the spans that hold a wanted place, then by
+    single delays of those pieces. Delays are written out once and read for each of these.
     """
     micros = F.unix_micros(F.col("delivered_at").cast("timestamp")) - F.unix_micros(
         F.col("published_at").cast("timestamp")
     )
-    counted = deliveries.withColumn("delay", micros).groupBy(*by, "delay").agg(F.count(F.lit(1)).alias("n"))
-    return counted.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        (F.percentile("delay", 0.5, F.col("n")) / 3_600_000_000).alias("p50_hours"),
-        (F.percentile("delay", 0.95, F.col("n")) / 3_600_000_000).alias("p95_hours"),
+    rows = materialize(deliveries.select(*by, micros.alias("delay")), "delays")
+    keys = rows.columns[:-1]
+    totals = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count("delay").alias("known")), "totals")
+    shares = F.explode(F.array(F.lit(0.5), F.lit(0.95))).alias("p")
+    wanted = totals.where("known > 0").select(*keys, shares, "known").withColumn("place", F.expr("(known - 1) * p"))
+    ends = F.posexplode(F.array(F.floor("place"), F.ceil("place"))).alias("end", "rest")
+    wanted = wanted.select(*keys, "p", "place", ends).withColumn("span", F.lit(0).cast("long"))
+    for outer, inner in ((64, 32), (32, 16), (16, 0)):
+        span = F.lit(0).cast("long") if outer == 64 else F.shiftright("delay", outer)
+        parts = rows.where("delay is not null").select(*keys, span.alias("span"), F.shiftright("delay", inner).alias("part"))
+        if outer < 64:
+            parts = _null_safe(parts, wanted.select(*keys, "span").distinct(), [*keys, "span"], "left_semi")
+        counts = parts.groupBy(*keys, "span", "part").agg(F.count(F.lit(1)).alias("n"))
+        # A window has 2**16 rows at most, on the first level one for each span in use.
+        upto = F.sum("n").over(Window.partitionBy(*keys, "span").orderBy("part"))
+        counts = counts.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+        met = _null_safe(wanted, counts, [*keys, "span"], "inner").where("before <= rest and rest < upto")
+        wanted = met.select(*keys, "p", "place", "end", (F.col("rest") - F.col("before")).alias("rest"), F.col("part").alias("span"))
+        wanted = materialize(wanted, "places")
+    delay = F.col("span").cast("double")
+    found = wanted.groupBy(*keys, "p", "place").agg(
+        F.max(F.when(F.col("end") == 0, delay)).alias("lower"), F.max(F.when(F.col("end") == 1, delay)).alias("upper")
     )
+    between = (F.ceil("place") - F.col("place")) * F.col("lower") + (F.col("place") - F.floor("place")) * F.col("upper")
+    hours = F.when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise(between) / 3_600_000_000
+    timed = found.groupBy(*keys).agg(
+        F.max(F.when(F.col("p") == 0.5, hours)).alias("p50_hours"), F.max(F.when(F.col("p") == 0.95, hours)).alias("p95_hours")
+    )
+    return _null_safe(totals.drop("known"), timed, keys, "left")
+
+
+def _null_safe(rows: DataFrame, others: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which null keys are equal; ``keys`` come once, from ``rows``."""
+    named = others.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(named, same, how).drop(*(f"_{k}" for k in keys))
 
 
 def interest_drift(interests: DataFrame, width: str = "7 days") -> DataFrame:
