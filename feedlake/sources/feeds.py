@@ -104,14 +104,19 @@ def split_items(texts: DataFrame) -> DataFrame:
     headless = F.coalesce("text", F.lit("")).rlike(r"(?i)^<(?:item|entry)[\s>]")
     rows = texts.withColumn("_pieces", F.when(headless, F.concat(F.array(F.lit("")), F.array_remove(pieces, ""))).otherwise(pieces))
     items = F.slice("_pieces", F.lit(2), F.greatest(F.size("_pieces") - 1, F.lit(0)))
-    rows = rows.select(
-        *texts.columns, F.get("_pieces", F.lit(0)).alias("_head"), F.posexplode_outer(items).alias("ordinal", "piece")
-    )
+    # The head goes with the first item, so no row carries the text or the pieces of its file.
+    first = F.get("_pieces", F.lit(0))
+    headed = F.transform(items, lambda x, i: F.struct(F.when(i == 0, first).alias("head"), x.alias("piece")))
+    none = F.array(F.struct(first.alias("head"), _null("string").alias("piece")))
+    rows = rows.select(*texts.columns, F.when(F.size(items) > 0, headed).otherwise(none).alias("_items"))
+    rows = rows.select(*texts.columns, F.posexplode("_items").alias("at", "i"))
     return rows.select(
         *texts.columns,
-        "ordinal",
-        "piece",
-        F.when(F.coalesce("ordinal", F.lit(0)) == 0, F.col("_head")).alias("head"),
+        F.when(F.col("i.piece").isNotNull(), F.col("at")).alias("ordinal"),
+        F.col("i.piece").alias("piece"),
+        F.col("i.head").alias("head"),
+    ).select(
+        "*",
         F.nullif(F.regexp_extract("piece", _ITEM, 0), F.lit("")).alias("xml"),
         F.lower(F.regexp_extract("piece", r"(?i)^<(item|entry)", 1)).alias("tag"),
     )
@@ -219,15 +224,14 @@ def feed_metadata(
     file, or all files for which ``feed``, an expression over feed_path, is the same:
     their entries are counted together, in as many tasks as there are files.
     """
-    items = split_items(read_texts(spark, path, limit=limit))
     closed = F.col("text").rlike(r"(?i)</(?:channel|feed)\s*>")
-    damaged = F.coalesce(~closed, F.lit(True))
-    rows = items.withColumns(
+    # A text is searched once, ahead of its items, whose rows go without it.
+    texts = read_texts(spark, path, limit=limit).withColumn("damaged", F.coalesce(~closed, F.lit(True)))
+    rows = split_items(texts).drop("text").withColumns(
         {
             "_title": _head_text("title"),
             "_link": _head_text("link"),
             "_about": F.coalesce(F.nullif(_head_text("description"), F.lit("")), _head_text("subtitle")),
-            "damaged": damaged,
             "rss": _parsed(F.when(F.col("tag") == "item", F.col("xml")), RSS_ITEM),
             "atom": _parsed(F.when(F.col("tag") == "entry", F.col("xml")), ATOM_ENTRY),
         }
