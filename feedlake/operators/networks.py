@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.text import let
 from feedlake.functions.urls import ipv4_number, ipv6_hex
+from feedlake.session import gathered
 
 
 def address_digits(host: Column) -> Column:
@@ -49,11 +50,12 @@ def longest_network(hosts: DataFrame, networks: DataFrame, host: str = "host", c
     An address has one key for each prefix length in use, 33 or 129 at most, and meets
     the networks by equality on it, so the list may be of any length: no range join, and
     no side is broadcast unless Spark finds it small. Copies of a host are folded first.
+    All of this happens where a host was dealt to, in parts whose size does not grow.
     """
     keys = network_keys(networks, column)
     used = keys.select("size", "bits").distinct().collect()
     lengths = {n: sorted(r.bits for r in used if r["size"] == n) for n in (32, 128)}
-    known = hosts.select(F.col(host).alias("host")).distinct()
+    known = gathered(hosts.select(F.col(host).alias("host")), "host").distinct()
     known = known.withColumn("digits", address_digits(F.lower("host"))).where("digits is not null")
 
     def of(size: int) -> Column:
