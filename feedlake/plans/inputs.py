@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedlake.functions.tokens import words
 from feedlake.functions.urls import url_host
-from feedlake.session import spread
+from feedlake.session import gathered, spread
 
 # Stand-ins for "now" and for publication times, which the tables lack.
 RUN_DATE = "2024-01-31"
@@ -87,8 +87,8 @@ def document_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as dated articles of the last thirty days."""
-    docs = documents_table(spark, sf_dir)
+    """Documents as dated articles of the last thirty days, each in one partition."""
+    docs = gathered(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     return docs.select(
         F.col("doc_id").alias("article_id"),
         F.substring_index("source", "src", -1).cast("long").alias("source_id"),
