@@ -7,6 +7,8 @@ phrase).
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from feedlake.functions.tokens import each, words
 from feedlake.session import materialize
 
 SCORE_DIGITS = 6
+#: A term in more than one of so many articles is common.
+COMMON_ONE_IN = 500
 
 
 def in_window(articles: DataFrame, as_of: Column, days: int) -> DataFrame:
@@ -111,8 +115,8 @@ def keyword_score(
 def term_counts(articles: DataFrame) -> DataFrame:
     """(article_id, term, tf) over title and body without stop words.
 
-    An article is one row, so all its words are counted in one task and the
-    shuffle carries each (article, term) once.
+    Where the rows of an article lie in one partition (``session.gathered``), its words
+    are counted there and nothing is shuffled; otherwise each (article, term) is, once.
     """
     return (
         articles.select(
@@ -140,6 +144,22 @@ def idf_of(frequencies: DataFrame, n_articles: Column | int) -> DataFrame:
     return frequencies.select("term", (F.log((1 + count) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def _weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(article_id, w): the weight of every term of an article.
+
+    Terms that more than one article in COMMON_ONE_IN has are most of the rows, and at most
+    COMMON_ONE_IN times as many as an article has on average, however many articles there
+    are. That list Spark sends to the rows; only rows of rarer terms are shuffled.
+    """
+    common = materialize(idf.where(F.col("idf") < math.log(COMMON_ONE_IN) + 1), "common")
+    marked = counts.join(common, "term", "left")
+    w = (F.col("tf") * F.col("idf")).alias("w")
+    rare = idf.where(~(F.col("idf") < math.log(COMMON_ONE_IN) + 1))
+    rarer = marked.where("idf is null").drop("idf").join(rare, "term")
+    # Rows, not sums, are put together: parts of a union of sums by article may be kept apart.
+    return marked.where("idf is not null").select("article_id", w).unionByName(rarer.select("article_id", w))
+
+
 def tfidf_score(
     articles: DataFrame, topics: DataFrame, idf: DataFrame | None = None
 ) -> DataFrame:
@@ -152,10 +172,7 @@ def tfidf_score(
     counts = materialize(term_counts(articles), "term-counts")
     if idf is None:
         idf = materialize(idf_snapshot(counts, articles), "idf")
-    weights = counts.join(idf, "term").select(
-        "article_id", "term", (F.col("tf") * F.col("idf")).alias("w")
-    )
-    norms = weights.groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    norms = _weights(counts, idf).groupBy("article_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     topic_words = (
         topic_terms(topics)
         .select("topic_id", F.explode(F.split("term", " ")).alias("term"))
