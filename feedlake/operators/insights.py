@@ -30,6 +30,13 @@ def shingle_set(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(shingles(text, n), shingle_hash))
 
 
+def rarest_first(shingles: str, shared: str) -> Column:
+    """The sorted shingles of a document, those of ``shared``, structs (f, h) in order, last;
+    a null list has none."""
+    behind = F.coalesce(F.transform(shared, lambda x: x["h"]), F.array().cast("array<bigint>"))
+    return F.concat(F.array_except(shingles, behind), behind)
+
+
 def near_duplicates(
     docs: DataFrame, settings: C.NearDuplicateSettings = C.NearDuplicateSettings()
 ) -> DataFrame:
@@ -50,14 +57,14 @@ def near_duplicates(
     leading = sets.join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi")
 
     rows = leading.select("doc_id", "n", each(F.col("s")).alias("h"))
-    frequency = rows.groupBy("h").agg(F.count(F.lit(1)).alias("f"))
-    # The words of one document at most come together here.
-    ordered = rows.join(frequency.filter("f > 0"), "h").groupBy("doc_id", "n").agg(
-        F.array_sort(F.collect_list(F.struct("f", "h"))).alias("o")
+    # Most shingles are of one document; only the others come back to it, behind its own ones.
+    frequency = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "frequency")
+    shared = rows.join(frequency, "h").groupBy("doc_id", "n").agg(
+        F.array_sort(F.collect_list(F.struct("f", "h"))).alias("shared")
     )
+    ordered = leading.join(shared, ["doc_id", "n"], "left").select("doc_id", "n", rarest_first("s", "shared").alias("o"))
     length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    prefix = ordered.select("doc_id", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "x"))
-    prefix = prefix.select("doc_id", "n", "at", F.col("x.h").alias("h"))
+    prefix = ordered.select("doc_id", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "h"))
     a = prefix.select("h", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "n", "at")))
     b = prefix.select("h", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "at")))
     rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))

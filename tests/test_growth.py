@@ -137,3 +137,12 @@ def test_common_and_rare_terms_give_the_same_scores(spark, monkeypatch):
         monkeypatch.setattr(ranking, "COMMON_ONE_IN", common)
         scores.append(sorted(map(str, ranking.tfidf_score(articles, topics).collect())))
     assert scores[0] and scores[0] == scores[1] == scores[2]
+
+
+def test_shingles_of_one_document_stay_with_it(spark):
+    """Lists of (f, h) bring back the shared shingles alone; the order is rarest first."""
+    rows = spark.createDataFrame(
+        [(1, [1, 2, 3, 9], [(2, 9), (3, 1)]), (2, [4, 5], None)], "i int, s array<bigint>, shared array<struct<f:long,h:long>>"
+    )
+    got = rows.select("i", insights.rarest_first("s", "shared").alias("o")).orderBy("i").collect()
+    assert [r.o for r in got] == [[2, 3, 9, 1], [4, 5]]
