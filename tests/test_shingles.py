@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedlake.operators.insights import near_duplicates
+from feedlake.sinks import shingles
 from feedlake.sinks.shingles import ShingleIndex
 
 
@@ -82,3 +83,29 @@ def test_texts_of_history_are_not_read(spark, tmp_path):
     sets = spark.read.parquet(f"{index.path}/generation=0/sets")
     assert "text" not in sets.columns
     assert sets.where("doc_id = 900").isEmpty()
+
+
+def test_sets_are_ordered_where_they_lie(spark, tmp_path, monkeypatch):
+    """Prefixes need no shuffle; few counters that all shingles share change no link."""
+    docs = corpus()
+    whole = links(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
+    monkeypatch.setattr(shingles, "COUNTERS", 64)
+    monkeypatch.setattr(shingles, "_PART", 16)
+    monkeypatch.setattr(shingles, "_SLICE", 50)
+    index = ShingleIndex(spark, str(tmp_path / "index"))
+    got = links(index.add(spark.createDataFrame(docs[:140], "doc_id long, text string"), "0"))
+    sets = spark.read.parquet(f"{index.path}/generation=0/sets")
+    prefixes = index._prefixes(sets, index._order(0))
+    assert "Exchange" not in prefixes._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(shingles, "COUNTERS", 128)
+    assert got | links(index.add(spark.createDataFrame(docs[140:], "doc_id long, text string"), "1")) == whole
+
+
+def test_an_index_without_counters_is_rebuilt(spark, tmp_path):
+    docs = corpus()
+    index = ShingleIndex(spark, str(tmp_path / "index"))
+    got = links(index.add(spark.createDataFrame(docs[:140], "doc_id long, text string"), "0"))
+    spark.createDataFrame([], "h long, f long").write.mode("overwrite").parquet(f"{index.path}/generation=0/order")
+    got |= links(index.add(spark.createDataFrame(docs[140:], "doc_id long, text string"), "1"))
+    assert index._generation() == 1
+    assert got == links(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")))
