@@ -236,7 +236,7 @@ def repeated_stretches(keyed: DataFrame, text_col: str, length: int, gram: int)
         F.count("*").alias("n"), (F.min("stretch") != F.max("stretch")).alias("mixed")
     )
     grams = materialize(grams.where("n > 1").select("gram", "mixed"), "grams")
-    alive = materialize(found.join(grams, "gram").select("key", "gram", "stretch", "first", "windows", "mixed"), "alive")
+    alive = materialize(found.join(grams, "gram").select("key", "stretch", "first", "windows", "mixed"), "alive")
     mixed = alive.where("mixed")
     often = mixed.groupBy("stretch").agg(F.count("*").alias("n")).where("n > 1").select("stretch")
     whole = alive.where("not mixed").unionByName(mixed.join(often, "stretch", "left_semi").select(*alive.columns))
@@ -253,7 +253,11 @@ def repeated_stretches(keyed: DataFrame, text_col: str, length: int, gram: int)
     picked = materialize(picked.select(F.col("bytes").bitwiseXOR(F.col("stretch")).alias("chosen")), "picked")
     windows = _refined(keyed, text_col, *filters, key_filter(picked, "chosen"), length, gram)
     windows = materialize(windows, "windows")
-    places = windows.join(windows.groupBy("window").agg(unlike).where("unlike"), "window")
+    # One shuffle by window serves the aggregate, which counts places to read what the join reads.
+    # The filter (nothing is null) keeps the optimizer from putting one ahead of one reader only.
+    dealt = windows.where("window is not null and bytes is not null").repartition("window")
+    several_kinds = dealt.groupBy("window").agg(unlike, F.count("at").alias("places")).where("unlike and places > 1")
+    places = dealt.join(several_kinds.select("window"), "window")
     in_runs = F.pandas_udf(_runs, "array<struct<first:int,windows:int>>")
     places = places.groupBy("bytes").agg(F.collect_set("at").alias("at")).select("bytes", in_runs("at").alias("runs"))
     found_runs = groups.join(repeated, "bytes", "left_semi").select("stretch", "at", F.lit(0).alias("f"), F.col("n").alias("w"))

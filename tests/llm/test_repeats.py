@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -89,3 +90,12 @@ def test_query_on_supplied_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(repr(tuple(x)) for x in op10_repeats(spark, sf).collect()) == plain(rows, 200)
+
+
+def test_windows_are_shuffled_once(spark):
+    """What counts the windows and what keeps the repeated ones read the same shuffle."""
+    docs = spark.createDataFrame(tables(7), "doc_id long, text string").repartition(4)
+    found = r.repeated_stretches(r._keyed(docs, "doc_id", "text"), "text", 40, 8)
+    assert found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert re.search(r"ReusedExchange \[window", plan)
