@@ -5,6 +5,14 @@ sets as similar as asked must share a word within short prefixes of that order
 (prefix filter), not too late in them (positional filter), and have like sizes
 (length filter). What is left is verified by its Jaccard similarity. Equal sets are
 met once, through the first line that has the set.
+
+Many near copies of one line are not met in pairs. They are gathered around a centre, any
+set of words, and written as their differences from it. With similarity p / q, a set that
+lacks m of the centre's words and has a others weighs q m + p a, and two sets are similar
+where their weights add up to no more than (q - p) times the centre's words, plus p + q for
+each difference they share. So all members of up to half that weight are similar to each
+other; counts by weight tell how many of them another set is similar to, and only members
+for which the shared differences matter are met one by one.
 """
 
 from __future__ import annotations
@@ -22,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake.llm.keyfilter import key_filter, may_hold
@@ -39,6 +47,16 @@ _SHIFTS = np.arange(16, dtype=np.uint64) * np.uint64(4)
 #: Pairs, and bytes of text, that are verified together, on average.
 VERIFY_PAIRS = 200_000
 VERIFY_BYTES = 16 << 20
+#: Bands of a set, words in a band, sets of a band that make a group, and sets its centre is
+#: made of. They decide who is a member of what; the result is the same for any of them.
+BANDS = 3
+_BAND_WORDS = 3
+GROUP = 32
+CENTRE_SETS = 33
+_CENTRE_WORDS = 1 << 18
+_PLACE = 0x5851F42D
+#: A word is common if more than one in 2^this many of all words falls into its counter.
+_USUAL_BITS = 12
 #: Counts from here on are ordered alike.
 _COMMON_BITS = 16
 _COMMON = (1 << _COMMON_BITS) - 1
@@ -125,6 +143,23 @@ class Sets:
         counts = np.minimum(np.bincount(cells, minlength=16 * len(self.first)), 15).reshape(-1, 16)
         return (counts.astype(np.uint64) << _SHIFTS).sum(axis=1, dtype=np.uint64).view(np.int64)
 
+    def bands(self, common: np.ndarray) -> np.ndarray:
+        """Numbers of 32 bits, BANDS for each set, each made of the least of its scrambled
+        words in some orders: sets that differ in few words have most in common. Words that
+        are ``common`` say little; they are left out where a quarter or more are not."""
+        out = np.zeros((len(self.first), BANDS), np.int32)
+        if not len(out):
+            return out
+        rarer = np.add.reduceat(~common, self.first, dtype=np.int64)
+        left = np.where(common & np.repeat(rarer * 4 >= self.sizes, self.sizes), np.uint64(2**64 - 1), np.uint64(0))
+        odds = iter(_powers(BANDS * _BAND_WORDS + 1)[0][1:])
+        for k in range(BANDS):
+            key = np.zeros(len(self.first), np.uint64)
+            for _ in range(_BAND_WORDS):
+                key = _mixed(key ^ np.minimum.reduceat(self.hashes * next(odds) | left, self.first), 0xFF51AFD7ED558CCD)
+            out[:, k] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return out
+
 
 def sets_of(data: bytes, counts: np.ndarray | None = None) -> Sets:
     """Word sets of all lines; with ``counts``, each line's words by rarity, then hash."""
@@ -201,16 +236,18 @@ def _numbers(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def line_sets(docs: DataFrame, table: Broadcast, id_col: str, text_col: str, similarity: Fraction) -> DataFrame:
-    """(id, line, hi, lo, n, bits, prefix) of every line with a word; lines count from 1.
+    """(id, line, hi, lo, n, bits, prefix, bands) of every line with a word; lines count from 1.
 
     ``prefix`` has short hashes of the rarest words, rarest first: as many as must hold
     one word of any set that is similar enough. A word that occurs once in all lines is
-    marked by a zero, since no other set has it. A task gives it once for equal lines.
+    marked by a zero, since no other set has it. A task gives it, and the ``bands``, once
+    for equal lines.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
+        usual = int(counts.sum(dtype=np.int64)) >> _USUAL_BITS
         seen: set[int] = set()
         for batch in batches:
             for begin, _, held in byte_slices(batch.column(1).to_pylist(), _SLICE):
@@ -232,41 +269,286 @@ def line_sets(docs: DataFrame, table: Broadcast, id_col: str, text_col: str, sim
                 short = np.where(shared, words.astype(np.uint32) | np.uint32(1), np.uint32(0)).view(np.int32)
                 offsets = pa.array(np.concatenate(([0], stops)).astype(np.int32))
                 prefix = pa.ListArray.from_arrays(offsets, pa.array(short), mask=pa.array(~fresh))
+                offsets = pa.array(np.concatenate(([0], np.cumsum(fresh * BANDS))).astype(np.int32))
+                bands = found.bands(counts[_slots(found.hashes)] > usual)
+                bands = pa.ListArray.from_arrays(offsets, pa.array(bands[fresh].ravel()), mask=pa.array(~fresh))
                 columns = [
                     batch.column(0).take(pa.array(begin + owner[found.line])), pa.array(number[found.line].astype(np.int32)),
-                    pa.array(hi), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(found.signatures()), prefix,
+                    pa.array(hi), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(found.signatures()), prefix, bands,
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "line", "hi", "lo", "n", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays(columns, ["id", "line", "hi", "lo", "n", "bits", "prefix", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {id_type}, line int, hi long, lo long, n int, bits long, prefix array<int>"
+    schema = f"id {id_type}, line int, hi long, lo long, n int, bits long, prefix array<int>, bands array<int>"
     return materialize(rows.mapInArrow(cut, schema), "lines")
 
 
-def candidates(lines: DataFrame, similarity: Fraction) -> DataFrame:
+def _smallest(similarity: Fraction) -> int:
+    """Sets of fewer words than one miss costs can only be equal."""
+    return -(-similarity.numerator // (similarity.denominator - similarity.numerator))
+
+
+def homes(lines: DataFrame, similarity: Fraction) -> DataFrame:
+    """(lo, band): of each set with a band that GROUP sets have, the band most sets have."""
+    rows = lines.where((F.col("n") >= _smallest(similarity)) & F.col("bands").isNotNull())
+    # Counted with what several tasks have given, then again without.
+    often = rows.select(F.explode("bands").alias("band")).groupBy("band").count().where(F.col("count") >= GROUP)
+    marks = key_filter(materialize(often.select("band"), "often"), "band")
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column(1).flatten().to_numpy()
+            may = np.flatnonzero(may_hold(marks.value, bands))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(may // BANDS)), pa.array(bands[may])], ["lo", "band"])
+
+    rows = rows.select("lo", "bands").mapInArrow(held, "lo long, band int").distinct()
+    rows = materialize(rows, "banded")
+    large = rows.groupBy("band").agg(F.count("*").alias("sets")).where(F.col("sets") >= GROUP)
+    best = rows.join(large, "band").groupBy("lo").agg(F.max(F.struct("sets", "band")).alias("best"))
+    return materialize(best.select("lo", "best.band"), "homes")
+
+
+def texts_at(docs: DataFrame, places: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``places`` (hi, lo, id, line and more: a set and a line that has it) with its text, once.
+
+    The scan hashes only the lines at these places, and what the filter mistakes for them.
+    """
+    place = F.xxhash64("id").bitwiseXOR(F.col("line").cast("long") * _PLACE)
+    marks = key_filter(places.select(place.alias("place")), "place")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for begin, _, held in byte_slices(batch.column(1).to_pylist(), _SLICE):
+                owner, number = _numbers(held)
+                may = np.flatnonzero(may_hold(marks.value, ids[begin + owner] ^ (number * _PLACE)))
+                if not len(may):
+                    continue
+                split = b"\n".join(held).split(b"\n")
+                split = [split[k] for k in may.tolist()]
+                found = sets_of(b"\n".join(split))
+                hi, lo = found.keys()
+                fresh = []
+                for k, key in enumerate(lo.tolist()):
+                    if key not in seen:
+                        seen.add(key)
+                        fresh.append(k)
+                if fresh:
+                    text = [split[found.line[k]].decode() for k in fresh]
+                    yield pa.RecordBatch.from_arrays([pa.array(hi[fresh]), pa.array(lo[fresh]), pa.array(text)], ["hi", "lo", "text"])
+
+    rows = docs.select(F.xxhash64(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(cut, "hi long, lo long, text string")
+    rows = rows.join(places.select("lo"), "lo", "left_semi").dropDuplicates(["lo", "hi"])
+    return materialize(rows.join(places, ["hi", "lo"]), "texts")
+
+
+def centres(sample: DataFrame, similarity: Fraction) -> DataFrame:
+    """(band, cluster, words, bits) from ``sample`` (band, text), a few sets of each band: the
+    words that most of those have that are similar to the one with most similar ones."""
+    num, den = similarity.numerator, similarity.denominator
+
+    def middle(group: pa.Table) -> pa.Table:
+        found = sets_of(b"\n".join(t.encode() for t in group["text"].to_pylist()))
+        few = max(1, int(np.searchsorted(np.cumsum(found.sizes), _CENTRE_WORDS, "right")))
+        n = found.sizes[:few]
+        words, at = np.unique(found.hashes[: n.sum()], return_inverse=True)
+        held = np.zeros((len(n), len(words)), np.float32)
+        held[np.repeat(np.arange(len(n)), n), at] = 1
+        similar = (held @ held.T) * (num + den) >= (n[:, None] + n) * num
+        some = similar[np.argmax(similar.sum(axis=1))]
+        one = words[held[some].sum(axis=0) * 2 > some.sum()]
+        one = Sets(one, np.zeros(1, np.int64), np.zeros(1, np.int64))
+        columns = [group["band"][:1], pa.array(one.keys()[1]), pa.array([one.hashes.view(np.int64)]), pa.array(one.signatures())]
+        return pa.table(columns, names=["band", "cluster", "words", "bits"])
+
+    return sample.groupBy("band").applyInArrow(middle, "band int, cluster long, words array<long>, bits long")
+
+
+def apart_from(rows: DataFrame, similarity: Fraction) -> DataFrame:
+    """``rows`` (hi, lo, id, line, cluster, text, words) with, instead of the last two, what the
+    text's set weighs against the centre's words, the weight that two may have in all
+    (``most``), and the hashes in which they differ."""
+    num, den = similarity.numerator, similarity.denominator
+    kept = ["hi", "lo", "id", "line", "cluster"]
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, held in byte_slices(batch.column(5).to_pylist(), _SLICE):
+                found = sets_of(b"\n".join(held))
+                centre = batch.column(6).slice(begin, end - begin)
+                sizes = np.diff(centre.offsets.to_numpy())
+                hashes = np.concatenate([found.hashes, centre.flatten().to_numpy().view(np.uint64)])
+                owner = np.concatenate([np.repeat(np.arange(end - begin), found.sizes), np.repeat(np.arange(end - begin), sizes)])
+                added = np.arange(len(hashes)) < len(found.hashes)
+                order = np.lexsort((hashes, owner))
+                same = (hashes[order][1:] == hashes[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+                alone = np.ones(len(order), bool)
+                alone[1:] &= ~same
+                alone[:-1] &= ~same
+                order = order[alone]
+                cost = np.bincount(owner[order], np.where(added[order], num, den), end - begin).astype(np.int64)
+                stops = np.concatenate(([0], np.cumsum(np.bincount(owner[order], minlength=end - begin)))).astype(np.int32)
+                differ = pa.ListArray.from_arrays(pa.array(stops), pa.array(hashes[order].view(np.int64)))
+                columns = [batch.column(k).slice(begin, end - begin) for k in range(5)]
+                columns += [pa.array(cost), pa.array(sizes.astype(np.int64) * (den - num)), differ]
+                yield pa.RecordBatch.from_arrays(columns, [*kept, "weight", "most", "differ"])
+
+    id_type = rows.schema["id"].dataType.simpleString()
+    schema = f"hi long, lo long, id {id_type}, line int, cluster long, weight long, most long, differ array<long>"
+    return rows.select(*kept, "text", "words").mapInArrow(weigh, schema)
+
+
+@dataclass
+class Clusters:
+    """``members``: as of apart_from, a row per set that belongs to a centre, all of one being
+    similar; ``centres``: (cluster, words, bits, reach), reach being in how many words a set
+    may differ that is similar to any member."""
+
+    members: DataFrame
+    centres: DataFrame
+
+
+def clusters(texts: DataFrame, similarity: Fraction) -> Clusters:
+    """Sets of ``texts`` (hi, lo, id, line, text, band) around the centre of their band; equal
+    centres are one. Sets of more than half the weight, or of few members, have none."""
+    num, den = similarity.numerator, similarity.denominator
+    place = Window.partitionBy("band").orderBy(F.xxhash64("lo"), "lo")
+    chosen = texts.select("band", "lo", "hi").withColumn("nth", F.row_number().over(place)).where(F.col("nth") <= CENTRE_SETS)
+    found = materialize(centres(texts.join(chosen.select("hi", "lo"), ["hi", "lo"]).select("band", "text"), similarity), "centres")
+    rows = apart_from(texts.join(found.select("band", "cluster", "words"), "band"), similarity)
+    near = materialize(rows.where(F.col("weight") * 2 <= F.col("most")), "near")
+    large = near.groupBy("cluster").agg(F.count("*").alias("sets"), F.max("weight").alias("weight"), F.max("most").alias("most"))
+    reach = F.floor((F.col("most") * num + F.col("weight") * den) / (num * num)).cast("int")
+    large = materialize(large.where(F.col("sets") * 4 >= GROUP).select("cluster", reach.alias("reach")), "reach")
+    kept = found.dropDuplicates(["cluster"]).drop("band").join(large, "cluster")
+    return Clusters(materialize(near.join(large.select("cluster"), "cluster", "left_semi"), "members"), materialize(kept, "clusters"))
+
+
+def candidates(lines: DataFrame, similarity: Fraction, grouped: Clusters | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(a, b, word): keys (lo) of sets that pass all filters, each pair once, a below b,
-    and the least prefix word they share.
+    and the least prefix word they share; and (lo, cluster) of sets and clusters not their
+    own that may have a similar member. Members of clusters are in no pair.
 
     One shuffle by prefix word serves both sides of the join; sets that several tasks
-    have given are made one behind it.
+    have given are made one behind it. A cluster is one row of a word, however large.
     """
     num, den = similarity.numerator, similarity.denominator
-    # Sets of fewer words than one miss costs can only be equal.
-    smallest = -(-num // (den - num))
-    rows = lines.where((F.col("n") >= smallest) & F.col("prefix").isNotNull())
-    rows = rows.select("lo", "n", "bits", F.posexplode("prefix").alias("at", "word")).where("word <> 0")
-    rows = rows.repartition("word").dropDuplicates(["word", "lo", "at", "n", "bits"])
-    a = rows.select("word", *(F.col(c).alias(f"a_{c}") for c in ("lo", "n", "bits", "at")))
-    b = rows.select("word", *(F.col(c).alias(f"b_{c}") for c in ("lo", "n", "bits", "at")))
-    both = F.col("a_n") + F.col("b_n")
+    lines = lines.where((F.col("n") >= _smallest(similarity)) & F.col("prefix").isNotNull())
+    # Two numbers in one: what is left from the word on and the least size; of a cluster,
+    # its reach and how much larger its sets may be (none: a set).
+    own = ("word", "lo", "bits", "sizes", "span")
+    packed = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32) + F.col(low)
+    high, low = (lambda c: F.shiftright(c, 32).cast("int")), (lambda c: F.col(c).bitwiseAND(2**31 - 1).cast("int"))
+
+    def posted(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("lo", "n", "bits", *more, F.posexplode("prefix").alias("at", "word")).where("word <> 0")
+        rows = rows.withColumn("rest", F.col("n") - F.col("at")).withColumn("sizes", packed("rest", "n"))
+        return rows.withColumn("span", F.lit(None).cast("long")).select(*own, *more)
+
+    if grouped is None:
+        rows, both_kinds = posted(lines).repartition("word").dropDuplicates(own), False
+    else:
+        marks, both_kinds = key_filter(grouped.members, "lo"), True
+
+        def held(lo: pd.Series) -> pd.Series:
+            return pd.Series(may_hold(marks.value, lo.to_numpy()))
+
+        lines = lines.withColumn("may", F.pandas_udf(held, "boolean")("lo"))
+        member = grouped.members.select("lo", "cluster")
+        may = lines.where("may").join(member, "lo", "left")
+        inside = materialize(posted(may.where("cluster is not null"), "cluster").distinct(), "inside")
+        n = low("sizes")
+        summed = inside.groupBy("word", "cluster").agg(
+            F.min(n).alias("n"), (F.max(n) - F.min(n)).alias("more"), F.max(high("sizes")).alias("rest")
+        )
+        around = summed.join(grouped.centres.select("cluster", "bits", "reach"), "cluster")
+        around = around.select("word", F.col("cluster").alias("lo"), "bits", packed("rest", "n").alias("sizes"), packed("reach", "more").alias("span"))
+        around = materialize(around, "around")
+        # Written, so that both sides of the join are one shuffle.
+        others = lines.where("not may").drop("may").unionByName(may.where("cluster is null").drop("may", "cluster"))
+        others = materialize(others.select("lo", "n", "bits", "prefix"), "others")
+        rows = posted(others).unionByName(around).repartition("word").dropDuplicates(own)
+
+    renamed = lambda rows, side: rows.select("word", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "word"))
+    a_n, b_n = low("a_sizes"), low("b_sizes")
+    both = a_n + b_n
     # Overlap needed, times num + den; what is left after the first shared word bounds it.
-    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    apart = _apart("a_bits", "b_bits")
-    like_sizes = F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num
+    rest = F.least(high("a_sizes"), high("b_sizes"))
+    b_most = b_n if not both_kinds else b_n + F.coalesce(low("b_span"), F.lit(0))
+    like_sizes = (a_n * num <= b_most * den) & (b_n * num <= a_n * den)
     positional = rest * (num + den) >= both * num
-    signature = (both - apart) * (num + den) >= both * (2 * num)
-    pairs = a.join(b, "word").where((F.col("a_lo") < F.col("b_lo")) & like_sizes & positional & signature)
-    return pairs.groupBy(F.col("a_lo").alias("a"), F.col("b_lo").alias("b")).agg(F.min("word").alias("word"))
+    # In how many words two similar sets may differ; signatures differ in no more.
+    apart, two = _apart("a_bits", "b_bits") * (num + den), both * (den - num)
+    reach = high("b_span") * (num + den)
+    ordered, near = F.col("a_lo") < F.col("b_lo"), apart <= two
+    if both_kinds:
+        # A sum, since a condition on one side alone would be moved below the shuffle and make two of it.
+        ordered = F.when(F.col("a_span").isNull(), 0).otherwise(1) + F.when(F.col("b_span").isNotNull() | ordered, 0).otherwise(1) == 0
+        near = apart <= F.coalesce(reach, two)
+    found = renamed(rows, "a").join(renamed(rows, "b"), "word").where(ordered & like_sizes & positional & near)
+    found = found.groupBy(F.col("a_lo").alias("a"), F.col("b_lo").alias("b"), F.col("b_span").isNotNull().alias("visit"))
+    found = materialize(found.agg(F.min("word").alias("word")), "candidates")
+    pairs = found.where("not visit").select("a", "b", "word")
+    if grouped is None:
+        return pairs, None
+    visitors = renamed(inside, "a").join(renamed(around, "b"), "word").where((F.col("a_cluster") != F.col("b_lo")) & like_sizes & positional & (apart <= reach))
+    visits = found.where("visit").select(F.col("a").alias("lo"), F.col("b").alias("cluster"))
+    visits = visits.unionByName(visitors.select(F.col("a_lo").alias("lo"), F.col("b_lo").alias("cluster")).distinct())
+    return pairs, materialize(visits, "visits")
+
+
+def cluster_links(grouped: Clusters, visits: DataFrame, similarity: Fraction) -> DataFrame:
+    """(hi, lo, n, id, line): links of members to members of their cluster, and links between
+    members and ``visits``: as of apart_from, sets that are no members of that cluster; the
+    place is that of the earliest. Rows of a set are to be added up.
+
+    A visitor that belongs to another cluster visits there what visits it here, so only
+    its own links are counted.
+    """
+    num, den = similarity.numerator, similarity.denominator
+    bound = F.col("weight") * (2 * num) <= F.col("most") * (2 * num + den)
+    strangers = visits.where(bound).join(grouped.members.select("lo", F.lit(True).alias("home")), "lo", "left")
+    strangers = strangers.withColumn("home", F.coalesce("home", F.lit(False)))
+    rows = grouped.members.withColumn("home", F.lit(None).cast("boolean")).unionByName(strangers)
+    rows = materialize(rows, "weighed")
+    member = F.col("home").isNull()
+    here = F.struct("id", "line")
+    counted = rows.where(F.coalesce(~F.col("home"), F.lit(True))).groupBy("cluster", "weight").agg(
+        F.sum(member.cast("long")).alias("members"), F.count("*").alias("all"),
+        F.min(F.when(member, here)).alias("member"), F.min(here).alias("any"),
+    )
+    steps = counted.groupBy("cluster").agg(F.collect_list(F.struct("weight", "members", "all", "member", "any")).alias("steps"))
+    asked = rows.select("hi", "lo", "cluster", "weight", "most", member.alias("inside")).join(steps, "cluster")
+    light = F.filter("steps", lambda s: s["weight"] + F.col("weight") <= F.col("most"))
+    asked = asked.select("hi", "lo", "inside", light.alias("light"))
+    n = F.aggregate("light", F.lit(0).cast("long"), lambda t, s: t + F.when(F.col("inside"), s["all"]).otherwise(s["members"]))
+    first = F.array_min(F.transform("light", lambda s: F.when(F.col("inside"), s["any"]).otherwise(s["member"])))
+    sure = asked.select("hi", "lo", (n - F.col("inside").cast("long")).alias("n"), first.alias("at")).where("n > 0")
+
+    # Too heavy together but for what they share: only differences can make these similar.
+    heaviest = rows.groupBy("cluster").agg(
+        F.max(F.when(member, F.col("weight"))).alias("inside_most"), F.max(F.when(~member, F.col("weight"))).alias("visit_most")
+    )
+    told = rows.join(heaviest, "cluster")
+    other = F.when(member, F.col("visit_most")).otherwise(F.col("inside_most"))
+    told = told.where(F.col("weight") + other > F.col("most"))
+    told = told.select("hi", "lo", "id", "line", "cluster", "weight", "most", "home", F.explode("differ").alias("word"))
+    a = told.where(member).select("cluster", "word", *(F.col(c).alias(f"a_{c}") for c in ("hi", "lo", "id", "line", "weight")))
+    b = told.where(~member).select("cluster", "word", "most", "home", *(F.col(c).alias(f"b_{c}") for c in ("hi", "lo", "id", "line", "weight")))
+    both = F.col("a_weight") + F.col("b_weight")
+    met = a.join(b, ["cluster", "word"]).where(both > F.col("most"))
+    met = met.groupBy("a_hi", "a_lo", "b_hi", "b_lo", "cluster").agg(
+        F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("a_id", "a_line", "a_weight", "b_id", "b_line", "b_weight", "most", "home"))
+    )
+    met = materialize(met.where(both <= F.col("most") + F.col("shared") * (num + den)), "met")
+    one = F.lit(1).cast("long").alias("n")
+    given = met.select(F.col("b_hi").alias("hi"), F.col("b_lo").alias("lo"), one, F.struct(F.col("a_id").alias("id"), F.col("a_line").alias("line")).alias("at"))
+    back = met.where(~F.col("home")).select(
+        F.col("a_hi").alias("hi"), F.col("a_lo").alias("lo"), one, F.struct(F.col("b_id").alias("id"), F.col("b_line").alias("line")).alias("at")
+    )
+    return sure.unionByName(given).unionByName(back).select("hi", "lo", "n", "at.id", "at.line")
 
 
 def verify_parts(
@@ -331,40 +613,36 @@ def shared_words(sets: Sets, words: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     return out
 
 
-def links(docs: DataFrame, lines: DataFrame, sets: DataFrame, text_col: str, similarity: Fraction) -> DataFrame:
+def links(
+    docs: DataFrame, lines: DataFrame, sets: DataFrame, id_col: str, text_col: str, similarity: Fraction
+) -> DataFrame:
     """(hi, lo, n_links, there): of each set that has similar ones, how many, and the first
     place (id, line) of the earliest.
 
-    Only the texts of candidates are shuffled, and of what the filter mistakes for them.
-    Pairs meet their texts by a prefix word they share, in parts of bounded size (see
-    verify_parts). A part verifies its pairs and returns a row per set, not per pair.
+    Only the texts of candidates and of large groups are shuffled. Groups of near copies are
+    counted around their centres; other pairs meet their texts by a prefix word they share,
+    in parts of bounded size (see verify_parts). A part verifies its pairs and returns a row
+    per set, not per pair.
     """
-    pairs = materialize(candidates(lines, similarity), "candidates")
+    home, grouped = homes(lines, similarity), None
+    if not home.isEmpty():
+        grouped_texts = texts_at(docs, materialize(sets.join(home, "lo"), "places"), id_col, text_col)
+        grouped = clusters(grouped_texts, similarity)
+        grouped_texts = grouped_texts.drop("band")
+    pairs, visits = candidates(lines, similarity, grouped)
     ends = pairs.select(F.col("a").alias("lo"), "word").unionByName(pairs.select(F.col("b").alias("lo"), "word"))
     wanted = materialize(ends.distinct(), "wanted")
-    marks = key_filter(wanted, "lo")
-
-    def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            for _, _, held in byte_slices(batch.column(0).to_pylist(), _SLICE):
-                data = b"\n".join(held)
-                found = sets_of(data)
-                hi, lo = found.keys()
-                may = np.flatnonzero(may_hold(marks.value, lo))
-                fresh = []
-                for k, key in zip(may.tolist(), lo[may].tolist(), strict=True):
-                    if key not in seen:
-                        seen.add(key)
-                        fresh.append(k)
-                if fresh:
-                    split = data.split(b"\n")
-                    text = [split[found.line[k]].decode() for k in fresh]
-                    yield pa.RecordBatch.from_arrays([pa.array(hi[fresh]), pa.array(lo[fresh]), pa.array(text)], ["hi", "lo", "text"])
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(texts_of, "hi long, lo long, text string")
-    rows = rows.join(wanted.select("lo").distinct(), "lo", "left_semi").dropDuplicates(["lo", "hi"])
-    texts = materialize(rows.join(sets, ["hi", "lo"]), "texts")
+    asked = wanted.select("lo")
+    if grouped is not None:
+        asked = asked.unionByName(visits.select("lo")).distinct().join(home, "lo", "left_anti")
+    places = materialize(sets.join(asked.distinct(), "lo", "left_semi"), "places")
+    texts = texts_at(docs, places, id_col, text_col)
+    if grouped is not None:
+        texts = texts.unionByName(grouped_texts)
+    clustered = None
+    if grouped is not None:
+        rows = texts.join(visits, "lo").join(grouped.centres.select("cluster", "words"), "cluster")
+        clustered = cluster_links(grouped, apart_from(rows, similarity), similarity)
 
     bytes_of = texts.groupBy("lo").agg(F.max(F.octet_length("text")).alias("bytes"))
     dealt, needed = verify_parts(pairs, VERIFY_PAIRS, wanted.join(bytes_of, "lo"))
@@ -395,9 +673,10 @@ def links(docs: DataFrame, lines: DataFrame, sets: DataFrame, text_col: str, sim
         columns = [mine["hi"], mine["lo"], pa.array(count[some]), other["id"], other["line"]]
         return pa.table(columns, names=["hi", "lo", "n", "id", "line"])
 
-    asked = dealt.withColumnRenamed("part", "of_part")
-    together = asked.groupBy("of_part").cogroup(placed.groupBy("part"))
+    together = dealt.withColumnRenamed("part", "of_part").groupBy("of_part").cogroup(placed.groupBy("part"))
     found = together.applyInArrow(verify, f"hi long, lo long, n long, id {id_type}, line int")
+    if clustered is not None:
+        found = found.unionByName(clustered)
     return found.groupBy("hi", "lo").agg(F.sum("n").alias("n_links"), F.min(F.struct("id", "line")).alias("there"))
 
 
@@ -420,7 +699,7 @@ def similar_lines(
     first = F.min(F.struct("id", "line")).alias("first")
     sets = lines.groupBy("hi", "lo").agg(first).select("hi", "lo", "first.id", "first.line")
     sets = materialize(sets, "sets")
-    best = links(docs, lines, sets, text_col, similarity)
+    best = links(docs, lines, sets, id_col, text_col, similarity)
     here = F.struct("id", "line")
     classes = sets.join(best, ["hi", "lo"], "left").select(
         "hi", "lo", here.alias("first"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -165,3 +165,57 @@ def test_long_lines_are_split_by_bytes(spark):
     dealt, needed = m.verify_parts(pairs, 10_000, ends, most=60_000)
     assert sorted(r[1:] for r in map(tuple, dealt.collect())) == sorted(r[:2] for r in rows)
     assert max(Counter(r["part"] for r in needed.collect()).values()) < 200
+
+
+def near_copies(seed, copies):
+    """Copies of three lines, edited in up to nine words, and lines of two copies in one."""
+    rng = random.Random(seed)
+    kinds = [[f"{k}x{i}" for i in range(n)] for k, n in (("a", 20), ("b", 35), ("c", 12))]
+    kinds.append(kinds[1][:30] + [f"d{i}" for i in range(6)])
+    made = []
+    for _ in range(copies):
+        words = list(rng.choice(kinds))
+        for _ in range(min(rng.randrange(10), rng.randrange(10))):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice(([], ["new"], [f"n{rng.randrange(40)}"], [words[at], f"n{rng.randrange(400)}"]))
+        made.append(" ".join(words + (rng.choice(kinds) if rng.random() < 0.05 else [])))
+    return [(i if i % 11 else None, "\n".join(made[k : k + 4])) for i, k in enumerate(range(0, copies, 4))]
+
+
+@pytest.mark.parametrize("similarity", [Fraction(4, 5), Fraction(2, 3), Fraction(9, 10)])
+def test_groups_around_centres_against_brute_force(spark, monkeypatch, similarity):
+    monkeypatch.setattr(m, "GROUP", 8)
+    monkeypatch.setattr(m, "CENTRE_SETS", 7)
+    rows = near_copies(17, 400)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(m.similar_lines(docs, similarity=similarity)) == plain(rows, similarity)
+
+
+@pytest.mark.parametrize("vocabulary", [12, 60])
+def test_poor_centres_change_nothing(spark, monkeypatch, vocabulary):
+    monkeypatch.setattr(m, "GROUP", 2)
+    monkeypatch.setattr(m, "_CENTRE_WORDS", 50)
+    rows = varied(vocabulary, 300, [f"w{i}" for i in range(vocabulary)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert rows_of(m.similar_lines(docs)) == plain(rows)
+
+
+def test_near_copies_are_not_met_in_pairs(spark):
+    base = [f"w{i}" for i in range(40)]
+    pairs = {}
+    for copies in (300, 1200):
+        rng = random.Random(copies)
+        rows = []
+        for i in range(copies):
+            words = list(base)
+            for _ in range(rng.randrange(3)):
+                words[rng.randrange(40)] = f"n{rng.randrange(10 * copies)}"
+            rows.append((i, " ".join(words)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        lines = m.line_sets(docs, m.rarity(docs, "text"), "doc_id", "text", m.SIMILARITY)
+        sets = lines.groupBy("hi", "lo").agg(F.min("id").alias("id"), F.min("line").alias("line"))
+        home = m.homes(lines, m.SIMILARITY)
+        texts = m.texts_at(docs, sets.join(home, "lo"), "doc_id", "text")
+        found, visits = m.candidates(lines, m.SIMILARITY, m.clusters(texts, m.SIMILARITY))
+        pairs[copies] = found.count(), visits.count()
+    assert all(n <= copies and visited <= 2 * copies for copies, (n, visited) in pairs.items())
