@@ -471,29 +471,32 @@ def candidates(lines: DataFrame, similarity: Fraction, grouped: Clusters | None
         others = materialize(others.select("lo", "n", "bits", "prefix"), "others")
         rows = posted(others).unionByName(around).repartition("word").dropDuplicates(own)
 
-    renamed = lambda rows, side: rows.select("word", *(F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "word"))
-    a_n, b_n = low("a_sizes"), low("b_sizes")
-    both = a_n + b_n
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        found = rows.withColumns({"n": low("sizes"), "rest": high("sizes"), "single": F.col("span").isNull()})
+        if both_kinds:
+            found = found.withColumns({"more": F.coalesce(low("span"), F.lit(0)), "reach": F.coalesce(high("span") * (num + den), F.lit(-1))})
+        return found.drop("sizes", "span").select("word", *(F.col(c).alias(f"{name}_{c}") for c in found.columns if c not in ("word", "sizes", "span")))
+
+    both = F.col("a_n") + F.col("b_n")
     # Overlap needed, times num + den; what is left after the first shared word bounds it.
-    rest = F.least(high("a_sizes"), high("b_sizes"))
-    b_most = b_n if not both_kinds else b_n + F.coalesce(low("b_span"), F.lit(0))
-    like_sizes = (a_n * num <= b_most * den) & (b_n * num <= a_n * den)
+    rest = F.least("a_rest", "b_rest")
+    b_most = F.col("b_n") if not both_kinds else F.col("b_n") + F.col("b_more")
+    like_sizes = (F.col("a_n") * num <= b_most * den) & (F.col("b_n") * num <= F.col("a_n") * den)
     positional = rest * (num + den) >= both * num
     # In how many words two similar sets may differ; signatures differ in no more.
     apart, two = _apart("a_bits", "b_bits") * (num + den), both * (den - num)
-    reach = high("b_span") * (num + den)
     ordered, near = F.col("a_lo") < F.col("b_lo"), apart <= two
     if both_kinds:
         # A sum, since a condition on one side alone would be moved below the shuffle and make two of it.
-        ordered = F.when(F.col("a_span").isNull(), 0).otherwise(1) + F.when(F.col("b_span").isNotNull() | ordered, 0).otherwise(1) == 0
-        near = apart <= F.coalesce(reach, two)
-    found = renamed(rows, "a").join(renamed(rows, "b"), "word").where(ordered & like_sizes & positional & near)
-    found = found.groupBy(F.col("a_lo").alias("a"), F.col("b_lo").alias("b"), F.col("b_span").isNotNull().alias("visit"))
+        ordered = F.when(F.col("a_single"), 0).otherwise(1) + F.when(~F.col("b_single") | ordered, 0).otherwise(1) == 0
+        near = apart <= F.when(F.col("b_single"), two).otherwise(F.col("b_reach"))
+    found = side(rows, "a").join(side(rows, "b"), "word").where(ordered & like_sizes & positional & near)
+    found = found.groupBy(F.col("a_lo").alias("a"), F.col("b_lo").alias("b"), (~F.col("b_single")).alias("visit"))
     found = materialize(found.agg(F.min("word").alias("word")), "candidates")
     pairs = found.where("not visit").select("a", "b", "word")
     if grouped is None:
         return pairs, None
-    visitors = renamed(inside, "a").join(renamed(around, "b"), "word").where((F.col("a_cluster") != F.col("b_lo")) & like_sizes & positional & (apart <= reach))
+    visitors = side(inside, "a").join(side(around, "b"), "word").where((F.col("a_cluster") != F.col("b_lo")) & like_sizes & positional & (apart <= F.col("b_reach")))
     visits = found.where("visit").select(F.col("a").alias("lo"), F.col("b").alias("cluster"))
     visits = visits.unionByName(visitors.select(F.col("a_lo").alias("lo"), F.col("b_lo").alias("cluster")).distinct())
     return pairs, materialize(visits, "visits")
