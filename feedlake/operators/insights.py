@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from feedlake import config as C
-from feedlake.functions.text import let, settled
-from feedlake.functions.tokens import each, ngrams, words
+from feedlake.functions.text import let
+from feedlake.functions.tokens import ngrams, words
+from feedlake.operators import likeness
 from feedlake.session import materialize
 
 _PRIME = 2**31 - 1
@@ -50,39 +51,17 @@ def near_duplicates(
     """
     percent = settings.percent
     sets = docs.select(
-        "doc_id", F.array_sort(shingle_set(F.col("text"), settings.shingle_words)).alias("s")
+        "doc_id", F.array_sort(shingle_set(F.col("text"), settings.shingle_words)).cast("array<int>").alias("s")
     ).select("doc_id", F.xxhash64("s").alias("key"), F.size("s").alias("n"), "s")
     sets = materialize(sets, "sets")
     leaders = materialize(sets.groupBy("key", "n").agg(F.min("doc_id").alias("leader")), "leaders")
-    leading = sets.join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_semi")
+    others = sets.select("doc_id").distinct().join(leaders.select(F.col("leader").alias("doc_id")), "doc_id", "left_anti")
 
-    rows = leading.select("doc_id", "n", each(F.col("s")).alias("h"))
-    # Most shingles are of one document; only the others come back to it, behind its own ones.
-    frequency = materialize(rows.groupBy("h").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "frequency")
-    shared = rows.join(frequency, "h").groupBy("doc_id", "n").agg(
-        F.array_sort(F.collect_list(F.struct("f", "h"))).alias("shared")
-    )
-    ordered = leading.join(shared, ["doc_id", "n"], "left").select("doc_id", "n", rarest_first("s", "shared").alias("o"))
-    length = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    prefix = ordered.select("doc_id", "n", F.posexplode(F.slice("o", F.lit(1), length)).alias("at", "h"))
-    a = prefix.select("h", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "n", "at")))
-    b = prefix.select("h", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "at")))
-    rest = F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent) & (
-        rest * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent
-    )
-    pairs = a.join(b, "h").filter((F.col("b_doc_id") < F.col("a_doc_id")) & fits)
-    pairs = pairs.select("a_doc_id", "b_doc_id").distinct()
-    both = pairs.join(
-        leading.select(F.col("doc_id").alias("a_doc_id"), F.col("s").alias("a_s")), "a_doc_id"
-    ).join(leading.select(F.col("doc_id").alias("b_doc_id"), F.col("s").alias("b_s")), "b_doc_id")
-    common = F.size(F.array_intersect("a_s", "b_s"))
-    measured = both.select(
-        F.col("a_doc_id").alias("doc_id"),
-        F.col("b_doc_id").alias("duplicate_of"),
-        settled(common).alias("common"),
-        (F.size("a_s") + F.size("b_s")).alias("total"),
-    ).filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent)
+    # Sets stay where they are: prefixes leave them, and of these the copies are taken.
+    prefixes = likeness.rarest(sets.filter("doc_id is not null"), likeness.counted(sets), percent)
+    prefixes = prefixes.join(materialize(others, "others"), "doc_id", "left_anti")
+    found = materialize(likeness.met(prefixes, percent).distinct(), "pairs")
+    measured = likeness.likest(sets, found, percent).withColumnRenamed("other", "duplicate_of")
     similar = measured.select(
         "doc_id",
         "duplicate_of",
