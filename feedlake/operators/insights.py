@@ -61,6 +61,7 @@ def near_duplicates(
     prefixes = likeness.rarest(sets.filter("doc_id is not null"), likeness.counted(sets), percent)
     prefixes = prefixes.join(materialize(others, "others"), "doc_id", "left_anti")
     found = materialize(likeness.met(prefixes, percent).distinct(), "pairs")
+    found = materialize(likeness.sifted(sets, found, percent), "alike")
     measured = likeness.likest(sets, found, percent).withColumnRenamed("other", "duplicate_of")
     similar = measured.select(
         "doc_id",

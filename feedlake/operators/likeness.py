@@ -29,9 +29,10 @@ _MOST = 0xFFFF
 _PART = 1 << 13
 #: Numbers that are put in order together, on average.
 _SLICE = 1 << 20
-#: Numbers of the sets of a block, and pairs or numbers of a group of tiles, on average.
+#: Numbers and sets of a block, and pairs or numbers of a group of tiles, on average.
 BLOCK = 1 << 17
-GROUP = 1 << 18
+MEMBERS = 1 << 9
+GROUP = 1 << 16
 #: No number of a set, but fits 31 bits.
 _NONE = 0x7FFFFFFF
 
@@ -132,7 +133,7 @@ def met(prefixes: DataFrame, percent: int) -> DataFrame:
 def _tiled(found: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs with the group of tiles they are compared in, and the sets (doc_id) in pairs.
 
-    Sets whose earliest partner is the same are cut into blocks by the numbers they hold,
+    Sets whose earliest partner is the same are cut into blocks of bounded size,
     and a tile is a pair of blocks: a family of like sets is moved once for each of its
     blocks, not for each pair."""
     first = found.groupBy("doc_id").agg(F.min("other").alias("root"))
@@ -140,7 +141,8 @@ def _tiled(found: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = paired.join(first, "doc_id", "left").join(sizes.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id")
     members = members.select("doc_id", F.coalesce("root", "doc_id").alias("root"), "n")
     members = materialize(members, "members")
-    roots = members.groupBy("root").agg(F.ceil(F.sum("n") / BLOCK).alias("blocks"))
+    parts = F.greatest(F.sum("n") / BLOCK, F.count(F.lit(1)) / MEMBERS)
+    roots = members.groupBy("root").agg(F.ceil(parts).alias("blocks"))
     blocks = members.join(roots, "root").select(
         "doc_id", F.xxhash64("root", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).alias("block")
     )
@@ -154,17 +156,86 @@ def _tiled(found: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(tiled.select("doc_id", "other", tile.alias("tile")), "tiles"), blocks.select("doc_id")
 
 
-def _kept(sets: DataFrame, wanted: Broadcast) -> DataFrame:
-    """(doc_id, s) of wanted sets, and of some others that share their counters."""
+def _sketches(n: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A bit for each remainder of a set's numbers, set if an odd count has it; a power of two bits,
+    as many as numbers or more. Two sets differ in no fewer numbers than their sketches in bits."""
+    bits = np.maximum(64, 1 << np.ceil(np.log2(n)).astype(np.int64))
+    ends = np.cumsum(bits)
+    at = np.repeat(ends - bits, n) + (values & (np.repeat(bits, n) - 1))
+    odd = np.packbits((np.bincount(at, minlength=ends[-1]) & 1).astype(bool))
+    ends = pa.array(np.concatenate(([0], ends // 8)).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, ends.buffers()[1], pa.py_buffer(odd)])
+
+
+def _kept(sets: DataFrame, wanted: Broadcast, sketched: bool) -> DataFrame:
+    """(doc_id, n, s) of wanted sets, whole or as sketches, and of some others that share their counters."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
         for batch in batches:
-            held = table[batch.column(2).to_numpy() & (len(table) - 1)] > 0
-            yield batch.select([0, 1]).filter(pa.array(held))
+            batch = batch.filter(pa.array(table[batch.column(3).to_numpy() & (len(table) - 1)] > 0)).select([0, 1, 2])
+            if not sketched:
+                yield batch
+                continue
+            for rows, n, values in _pieces([batch]):
+                columns = [rows.column(0), rows.column(1), _sketches(n, values)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s"])
+
+    rows = sets.select("doc_id", "n", "s", F.xxhash64("doc_id").alias("mark"))
+    kept = T.StructField("s", T.BinaryType()) if sketched else sets.schema["s"]
+    return rows.mapInArrow(keep, T.StructType([sets.schema["doc_id"], sets.schema["n"], kept]))
+
+
+def _compared(sets: DataFrame, found: DataFrame, sketched: bool, compare, schema: str) -> DataFrame:
+    """What ``compare`` finds in the pairs and the sets, or sketches, of each group of tiles;
+    ``schema``: its columns behind doc_id and other."""
+    tiled, wanted = _tiled(found, sets.select("doc_id", "n"))
+    marks = counted(wanted.select(F.array(F.xxhash64("doc_id")).alias("s")))
+    sent = tiled.select(F.explode(F.array("doc_id", "other")).alias("doc_id"), F.col("tile").alias("to")).distinct()
+    moved = _kept(sets, marks, sketched).join(sent, "doc_id")
+    fields = [*found.select("doc_id", "other").schema, *T.StructType.fromDDL(schema)] if schema else found.schema.fields
+    return tiled.groupBy("tile").cogroup(moved.groupBy("to")).applyInArrow(compare, T.StructType(fields))
+
+
+def _joined(pairs: pa.Table, sets: pa.Table) -> pd.DataFrame:
+    """(doc_id, other, a, b): pairs with the places of their sets, in order of the first."""
+    rows = pd.DataFrame({"doc_id": sets.column("doc_id").to_pandas(), "row": np.arange(len(sets))})
+    joined = pairs.select(["doc_id", "other"]).to_pandas().merge(rows.rename(columns={"row": "a"}), on="doc_id")
+    return joined.merge(rows.rename(columns={"doc_id": "other", "row": "b"}), on="other").sort_values("a", kind="stable")
 
-    rows = sets.select("doc_id", "s", F.xxhash64("doc_id").alias("mark"))
-    return rows.mapInArrow(keep, T.StructType([sets.schema["doc_id"], sets.schema["s"]]))
+
+def sifted(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``found`` without those whose sketches show that they are not alike; arguments as of :func:`likest`."""
+
+    def compare(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+        sketches = sets.column("s").combine_chunks()
+        size = np.diff(np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1])
+        n = sets.column("n").to_numpy().astype(np.int64)
+        met = _joined(pairs, sets)
+        a, b = met["a"].to_numpy(), met["b"].to_numpy()
+        place, words = np.zeros(len(n), np.int64), {}
+        for k in np.unique(size):
+            of = np.flatnonzero(size == k)
+            place[of] = np.arange(len(of))
+            words[k] = np.frombuffer(b"".join(sketches.take(pa.array(of)).to_pylist()), np.uint64).reshape(len(of), -1)
+        kept = np.zeros(len(met), bool)
+        kinds = size[a].astype(np.int64) << 32 | size[b]
+        for kind in np.unique(kinds):
+            both = np.flatnonzero(kinds == kind)
+            x, y = words[kind >> 32], words[kind & 0xFFFFFFFF]
+            least = min(x.shape[1], y.shape[1])
+            # A sketch of fewer bits is made of the halves of a longer one.
+            while x.shape[1] > least:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > least:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            for k in np.array_split(both, -(-len(both) * least // _SLICE)):
+                differ = np.bitwise_count(x[place[a[k]]] ^ y[place[b[k]]]).sum(axis=1, dtype=np.int64)
+                kept[k] = differ * (100 + percent) <= (n[a[k]] + n[b[k]]) * (100 - percent)
+        left = met.loc[kept, ["doc_id", "other"]].drop_duplicates()
+        return pa.Table.from_arrays([pa.array(left[c], pairs.schema.field(c).type) for c in left], ["doc_id", "other"])
+
+    return _compared(sets, found, True, compare, "")
 
 
 def likest(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -173,20 +244,13 @@ def likest(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     in their group of tiles (by over two millionths) are left out.
 
     ``sets``: doc_id, n, s; ``found``: doc_id, other; stored, for both are read more than once."""
-    tiled, wanted = _tiled(found, sets.select("doc_id", "n"))
-    marks = counted(wanted.select(F.array(F.xxhash64("doc_id")).alias("s")))
-    sent = tiled.select(F.explode(F.array("doc_id", "other")).alias("doc_id"), F.col("tile").alias("to")).distinct()
-    moved = _kept(sets, marks).join(sent, "doc_id")
 
     def compare(pairs: pa.Table, sets: pa.Table) -> pa.Table:
         lists = sets.column("s").combine_chunks()
         n = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         start = np.cumsum(n) - n
         numbers, values = np.unique(lists.flatten().to_numpy(), return_inverse=True)
-        rows = pd.DataFrame({"doc_id": sets.column("doc_id").to_pandas(), "row": np.arange(len(n))})
-        met = pairs.select(["doc_id", "other"]).to_pandas()
-        met = met.merge(rows.rename(columns={"row": "a"}), on="doc_id")
-        met = met.merge(rows.rename(columns={"doc_id": "other", "row": "b"}), on="other").sort_values("a", kind="stable")
+        met = _joined(pairs, sets)
         a, b = met["a"].to_numpy(), met["b"].to_numpy()
         common, kept = np.zeros(len(met), np.int64), np.zeros(len(met), bool)
         held = np.zeros(len(numbers), bool)
@@ -210,6 +274,4 @@ def likest(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
             ["doc_id", "other", "common", "total"],
         )
 
-    id_type = found.schema["doc_id"].dataType
-    schema = T.StructType().add("doc_id", id_type).add("other", id_type).add("common", T.LongType()).add("total", T.LongType())
-    return tiled.groupBy("tile").cogroup(moved.groupBy("to")).applyInArrow(compare, schema)
+    return _compared(sets, found, False, compare, "common long, total long")

@@ -49,7 +49,7 @@ def links(rows):
 def test_small_counters_blocks_and_groups(spark, monkeypatch, kind):
     """Counters that all share, families in many blocks, groups of few pairs; a row without
     an id and rows that come twice change nothing."""
-    for name, value in (("COUNTERS", 64), ("_PART", 16), ("_SLICE", 50), ("BLOCK", 300), ("GROUP", 200)):
+    for name, value in (("COUNTERS", 64), ("_PART", 16), ("_SLICE", 50), ("BLOCK", 300), ("MEMBERS", 5), ("GROUP", 200)):
         monkeypatch.setattr(likeness, name, value)
     docs = [(i if kind == "long" else f"{i:04d}", t) for i, t in enumerate(drifting())]
     want = brute_force(docs)
@@ -81,6 +81,24 @@ def test_numbers_are_ordered_where_they_lie(spark):
     assert {r.doc_id: r.p for r in prefixes.collect()} == {0: [4, 5, 6], 1: [20], 2: [30], 3: [2**31 - 2]}
 
 
+def test_sketches_drop_unlike_pairs_and_no_like_one(spark):
+    """Before whole sets are moved; sketches of 64 to 256 bits, of two lengths in one pair, and
+    numbers that fall to the same bit."""
+    rng = random.Random(4)
+    lists = [rng.sample(range(2**31 - 1), n) for n in (40, 60, 120, 200, 240)]
+    lists += [rng.sample(range(0, 2**20, 2**10), 90)]
+    sets, like = [], set()
+    for s in lists:
+        more = rng.sample(range(2**31 - 1), len(s) // 8)
+        sets += [s, s + more, s[len(s) // 10 :]]
+        k = len(sets)
+        like |= {(k - 2, k - 3), (k - 1, k - 3)}
+    every = [(a, b) for a in range(len(sets)) for b in range(a)]
+    found = spark.createDataFrame(every, "doc_id long, other long")
+    left = {(r.doc_id, r.other) for r in likeness.sifted(sets_of(spark, sets), found, 80).collect()}
+    assert like <= left and len(left) < len(every) // 4
+
+
 def on_disk(spark):
     """Bytes of shuffles that this session keeps."""
     files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
